@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.llm import decontam, linededup, quality, secrets, urlfilter
+from packsieve.llm import bpe, decontam, linededup, minhash, quality, secrets, urlfilter
 
 #: The rules of the URL query, as (verdict, host, path).
 URL_RULES = [
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(_read(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
@@ -28,6 +32,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_read(spark, sf_dir, "documents"))
 
@@ -60,8 +68,10 @@ FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
 """
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
+    "op6_bpe": op6_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packsieve.session import ship
+
 KINDS = ("assign", "access", "hex", "jwt", "der", "hexder", "sshkey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -132,6 +134,7 @@ def _joined(spans: list[tuple[int, int, str, int]]) -> str:
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and the spans found, as array<struct<kind, start, end>>."""
+    ship(docs.sparkSession)
     schema = docs.select(F.col(key)).schema.simpleString()[7:-1] + ",spans:array<struct<kind:string,start:int,end:int>>"
 
     def found(batches):
