@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.llm import bpe, decontam, linededup, minhash, quality, secrets, urlfilter
+from packsieve.llm import bpe, decontam, linededup, minhash, quality, secrets, urlfilter, warc
 
 #: The rules of the URL query, as (verdict, host, path).
 URL_RULES = [
@@ -24,6 +24,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
@@ -69,6 +73,7 @@ FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
