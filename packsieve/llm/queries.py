@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.llm import bpe, decontam, linededup, minhash, quality, secrets, urlfilter, warc
+from packsieve.llm import bpe, decontam, linededup, minhash, quality, repeats, secrets, toxicity, urlfilter, warc
 
 #: The rules of the URL query, as (verdict, host, path).
 URL_RULES = [
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_read(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_read(spark, sf_dir, "documents"))
 
@@ -72,11 +80,13 @@ FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
 """
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_minhash": op2_minhash,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,

@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into windows of words that
 ordinary text doesn't share; each window is compressed with either dictionary, and the difference of the two lengths
-says which kind of text it is like. The counts of windows beyond several differences, weighed by a logistic fit on
-training rows, give a score of 0 to 1; 0.5 is the threshold.
+says which kind of text it is like. Windows are counted by that difference and by how short the toxic dictionary makes
+them; the counts, weighed by a logistic fit on training rows, give a score of 0 to 1, and 0.5 is the threshold. A window
+is one word, twice, as blocks of a few bytes are stored raw; a word is compressed once a task, while ``CACHE`` lasts.
 
 Training takes a bounded sample: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows, by hash of the id, none of
 them held out. Of ordinary rows one half gives the common words, the other half the dictionary and the fit; of toxic rows
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from packsieve.session import ship
 
 TOXIC_ROWS, ORDINARY_ROWS = 3000, 8000
-WINDOW_BYTES = 24
 DICTIONARY_BYTES = 16 << 10
-LEVEL = 3
-MIN_MARKS = 4
-STEPS = (1, 2, 3, 4, 6, 8, 10)
+#: An unusual word marks toxic text if so large a share of toxic rows has it, and two rows at least.
+MARK_SHARE = 0.003
+CACHE = 500_000
+#: Differences counted, and compressed lengths (bytes) that bound the counts.
+STEPS, LENGTHS = (1, 2, 3, 4, 5, 6), (11, 12, 13, 15, 1 << 30)
+COMPRESSION = {"min_match": 3, "target_length": 999, "search_log": 6, "hash_log": 13, "chain_log": 13, "window_log": 15}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,24 +51,15 @@ def unusual(text: str, common: frozenset) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w not in common]
 
 
-def windows(words: list[str], size: int = WINDOW_BYTES) -> list[bytes]:
-    out, now, n = [], [], 0
-    for w in words:
-        b = w.encode()
-        now.append(b)
-        n += len(b) + 1
-        if n >= size:
-            out.append(b" " + b" ".join(now))
-            now, n = [], 0
-    if now:
-        out.append(b" " + b" ".join(now))
-    return out
+def window(word: str) -> bytes:
+    w = word.encode()
+    return b" %b %b" % (w, w)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary's content; too few samples to train on are its content themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=6).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
@@ -79,22 +73,39 @@ class Model:
     @functools.cached_property
     def _pair(self):
         out = []
+        params = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_BTULTRA, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_checksum=False, write_content_size=False, write_dict_id=False, **COMPRESSION
+        )
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(compression_params=params)
+            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
         return out
 
+    @functools.cached_property
+    def _known(self) -> dict[str, tuple[int, int]]:
+        return {}
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pair", "_known")}
 
     def features(self, text: str) -> list[float]:
-        a, b = (c.compress for c in self._pair)
-        d = [len(a(w)) - len(b(w)) for w in windows(unusual(text, self.common))]
-        n = len(d)
-        counts = [sum(x >= s for x in d) for s in STEPS]
-        top = sorted(d, reverse=True)[:3]
-        return [*[c / n if n else 0.0 for c in counts], *map(math.log1p, counts), top[0] if n else 0.0, sum(top) / 3, math.log1p(n)]
+        known = self._known
+        grid = [[0] * len(LENGTHS) for _ in STEPS]
+        n = 0
+        for w in unusual(text, self.common):
+            n += 1
+            cell = known.get(w)
+            if cell is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                plain, toxic = (len(c(window(w))) for c in self._pair)
+                cell = known[w] = (sum(plain - toxic >= s for s in STEPS), sum(toxic > m for m in LENGTHS))
+            for i in range(cell[0]):
+                for j in range(cell[1], len(LENGTHS)):
+                    grid[i][j] += 1
+        cells = [c for row in grid for c in row]
+        return [*[c / max(n, 1) for c in cells], *map(math.log1p, cells), math.log1p(n)]
 
     def fit(self, rows: list[list[float]], toxic: list[int]) -> None:
         """Logistic regression by Newton's method, with a small ridge and equal weight for the two kinds."""
@@ -137,11 +148,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
     for t in plain[: half + half // 2]:
         for w in set(unusual(t, common)):
             marks.pop(w, None)
-    typical = [[w for w in unusual(t, common) if marks[w] >= MIN_MARKS] for t in toxic[:share]]
+    least = max(2, round(MARK_SHARE * share))
+    typical = [[w for w in unusual(t, common) if marks[w] >= least] for t in toxic[:share]]
     model = Model(
         common,
-        _dictionary([w for t in plain[half : half + half // 2] for w in windows(unusual(t, common))]),
-        _dictionary([w for t in typical for w in windows(t)]),
+        _dictionary([window(w) for t in plain[half : half + half // 2] for w in unusual(t, common)]),
+        _dictionary([window(w) for t in typical for w in t]),
     )
     fit = [(t, 0) for t in plain[half + half // 2 :]] + [(t, 1) for t in toxic[share:]] or rows
     model.fit([model.features(t) for t, _ in fit], [y for _, y in fit])
