@@ -8,7 +8,7 @@ document id, then smallest place), so what a site-wide notice says is kept once.
 
 Defined cases: lines of white space only are never boilerplate; a null text has no lines and stays null; a null site
 counts as one site of its own; rows that repeat a document id keep or lose lines alike; an empty table gives an empty
-result; other columns are kept by ``dedup`` and may have any names without a leading ``_ld``.
+result; other columns are kept by ``apply_removals`` and may have any names without a leading ``_ld``.
 """
 
 from __future__ import annotations
@@ -70,9 +70,8 @@ def _rest(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def dedup(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines out of the text, and the column ``_ld_removed``."""
-    gone = removals(docs, work, key, text, site, min_sites)
+def apply_removals(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the lines that ``removals`` lists, and the column ``_ld_removed``."""
     both = docs.join(gone, docs[key].eqNullSafe(gone["_ld_id"]), "left")
     return both.withColumns({text: _rest(F.col(text), F.col("_ld_drop")), "_ld_removed": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long")}).drop("_ld_id", "_ld_drop")
 
@@ -83,7 +82,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str =
     with work:
         lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
         counted = docs.select(key, text, site, lines.alias("_ld_lines"))
-        out = dedup(counted, work, key, text, site)
+        out = apply_removals(counted, removals(docs, work, key, text, site), key, text)
         return settle(out.select(key, F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("kept_sha256")))
 
 

@@ -187,6 +187,21 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, score double")
 
 
+def attach(docs: DataFrame, model: Model, text: str = "text", score: str = "_score") -> DataFrame:
+    """``docs`` with its rows' scores as a further column."""
+    ship(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    names = docs.columns
+
+    def run(batches):
+        model = pickle.loads(told.value)
+        for b in batches:
+            scored = pa.array([model.score(t) for t in b.column(names.index(text)).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, scored], names=[*names, score])
+
+    return docs.mapInArrow(run, docs.withColumn(score, F.lit(0.0)).schema)
+
+
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, held_out, score, predicted."""
     out = scores(docs, train(sample(docs, labels, key, text)), key, text)
