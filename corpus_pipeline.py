@@ -1,3 +1,81 @@
-STAGES = []
+"""A corpus pipeline: toxic documents go, boilerplate lines go, one of each near-duplicate group stays, documents with
+benchmark items go, and what is left is encoded.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. A stage's result is
+written and read again before the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packsieve.llm import bpe, decontam, linededup, minhash, toxicity
+from packsieve.llm.shared import Workspace, settle
+
+#: Similarity in percent, words of a shingle and bands of the near-duplicate stage.
+SIMILARITY, SHINGLE, BANDS = 80, 5, 40
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.sample(docs, labels))
+    return toxicity.attach(docs, model).where("_score < 0.5").drop("_score")
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines; one that has no other lines goes."""
+    with Workspace(spark, "stage-lines") as work:
+        gone = settle(linededup.removals(docs, work))
+    out = linededup.apply_removals(docs, gone)
+    left = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    size = F.when(F.col("_ld_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.where((F.col("_ld_removed") == 0) | left).withColumn("n_chars", size).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate group."""
+    with Workspace(spark, "stage-minhash") as work:
+        found = minhash.near_duplicates(docs, work, width=SHINGLE, threshold=SIMILARITY, bands=BANDS)
+        gone = settle(found.where("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    with Workspace(spark, "stage-decontam") as work:
+        found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work)
+        gone = settle(found.select("doc_id", "_text_hash").distinct())
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["_hash"] == gone["_text_hash"])
+    return hashed.join(gone.hint("merge"), same, "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded bytes. Its blocks stay in the shared
+    folder, as the result is read from them."""
+    return bpe.encode(docs, Workspace(spark, "stage-bpe"), ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_boilerplate),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    work = Workspace(spark, "pipeline")
+    with work:
+        for n, (_, stage) in enumerate(STAGES[:-1]):
+            docs = work.table(stage(spark, docs, sf_dir), f"stage{n}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The classifier, the MinHash groups and the encoder have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None
