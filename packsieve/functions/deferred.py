@@ -1,0 +1,18 @@
+"""Arrow-batched Python functions as columns, made when they are used: a module can be imported without a session."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import functions as F
+
+
+def arrow_udf(returns: str):
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*columns):
+            return F.udf(f, returns, useArrow=True)(*columns)
+
+        return call
+
+    return wrap

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packsieve.functions import neturl, recipe, textnorm
+from packsieve.functions.deferred import arrow_udf
 from packsieve.functions.severity import RANK, at_least
 from packsieve.operators import catalog
 from packsieve.operators.catalog import INTERPRETER, RULES, SHELL
@@ -75,27 +76,27 @@ def line_gate() -> str:
     return "(?i)(?:" + "|".join(words) + r")|[\"'][A-Za-z0-9][\"']|\$\{[a-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}"
 
 
-@F.udf(returnType=LINE_TYPE, useArrow=True)
+@arrow_udf(LINE_TYPE)
 def _lines_of(content):
     return textnorm.variants(content or "")
 
 
-@F.udf(returnType=f"struct<{recipe.RECIPE_TYPE.replace(' ', ':')}>", useArrow=True)
+@arrow_udf(f"struct<{recipe.RECIPE_TYPE.replace(' ', ':')}>")
 def _recipe_of(content):
     return recipe.parse_recipe(content or "")
 
 
-@F.udf(returnType=recipe.HOOK_TYPE, useArrow=True)
+@arrow_udf(recipe.HOOK_TYPE)
 def _hooks_of(content):
     return recipe.parse_hooks(content)
 
 
-@F.udf(returnType="string", useArrow=True)
+@arrow_udf("string")
 def _body_of(text):
     return textnorm.executable_body(text or "")
 
 
-@F.udf(returnType="struct<code:string,plain:string,masked:string,masked_plain:string>", useArrow=True)
+@arrow_udf("struct<code:string,plain:string,masked:string,masked_plain:string>")
 def _texts_of(content):
     code = textnorm.executable_body(content or "")
     masked = textnorm.masked(content or "")

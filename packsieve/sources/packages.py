@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packsieve.functions import recipe
+from packsieve.functions.deferred import arrow_udf
 from packsieve.functions.textnorm import MAX_FILE_BYTES
 from packsieve.session import ship
 
 
-@F.udf(returnType="struct<name:string,install:string,declared:boolean>", useArrow=True)
+@arrow_udf("struct<name:string,install:string,declared:boolean>")
 def _declared(content):
     record = recipe.parse_recipe(content or "")
     if not record:
