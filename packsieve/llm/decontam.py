@@ -68,7 +68,8 @@ def matches(docs: DataFrame, items: DataFrame, work: Workspace, key: str = "doc_
     sets = work.table(item_shingles(items, item), "items")
     lengths = [r[0] for r in sets.select("_words").distinct().collect()]  # at most SHINGLE values
     if not lengths:
-        return docs.select(F.col(key), F.lit(None).cast(sets.schema["_item"].dataType).alias("_item"), F.lit(0).alias("_found"), F.lit(0).alias("_size")).limit(0)
+        none = F.lit(None).cast(sets.schema["_item"].dataType)
+        return docs.select(F.col(key), F.xxhash64(text).alias("_text_hash"), none.alias("_item"), F.lit(0).alias("_found"), F.lit(0).alias("_size")).limit(0)
     sketch = _small(sketches(sets, threshold).select("_h", "_row"))
     full = _small(sets.select("_row", F.explode("_set").alias("_h")))
     df = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text_hash"), words(F.col(text)).alias("_w"))
