@@ -58,22 +58,27 @@ BLOB = r"[A-Za-z0-9+/]{200,}={0,2}"
 SPECIAL_MODE = r"(?i)chmod\s+(?:-[a-z]+\s+)*0?[2-7][0-7]{3}\b|chmod\s+[ugoa]*[-+=][rwxt]*s\b|install\s.*-[a-z]*m[=\s]?0?[2-7][0-7]{3}\b"
 
 
+#: What each rule needs on a line: whole words, and pieces of text. A rule without either has its shape below.
+GATE_WORDS = (
+    "curl wget aria2c axel fetch nc ncat python[\\d.]* socat pip[23x]? poetry uv pdm conda cargo go gem composer deno systemctl crontab xmr monero btc bitcoin xmrig xmr-stak minerd cpuminer ethminer t-rex "
+    "nbminer lolminer phoenixminer base64 eval xxd gunzip zcat gzip bzcat xzcat exec sh bash chmod cp mv install npm pnpm yarn bun npx bunx pnpx perl php ruby lua [gm]?awk node(?:js)? openssl mkfifo "
+    "busybox telnet dig nslookup host env printenv user(?:add|mod) gpasswd chpasswd passwd permit NOPASSWD SigLevel setenforce ufw aa-disable iptables nft trust pacman-key gpg2? printf base32 base16 basenc "
+    "setsid nohup sqlite3 make logins key[34] cookies Login atomic-lockfile js-digest lockfile-js OnBootSec OnUnitActiveSec export"
+).split()
+GATE_PIECES = (
+    "http:// https:// /dev/ /.ssh /.gnupg .password-store .netrc .aws .kube .mozilla .config/ .local/share/keyrings /opt/ ./ /etc/ /var/spool/cron .timer systemd-init systemd-update systemd-network systemd-login "
+    "systemd-kernel systemd-core systemd-sys /usr/lib/systemd stratum+ supportxmr minexmr nanopool.org moneroocean hashvault 2miners wallet discord telegram.org \\x bit.ly t.co/ goo.gl tinyurl.com is.gd cli.gs ow.ly "
+    "rb.gy duckdns no-ip. ddns.net hopto.org zapto.org dyndns.org dynu. servebeer sytes.net ~/. $HOME ${HOME} /tmp/ LD_PRELOAD PATH= provides= scales.bpf.c src/hooks/deps hooks.slack .office transfer.sh 0x0.st file.io "
+    "anonfiles gofile.io catbox.moe bashupload temp.sh ngrok trycloudflare serveo.net kwallet .electrum .bitcoin .ethereum nkbihfbeogaeaoehlefnkodbefgpgknn pam_permit index-url --registry PIP_ NPM_CONFIG GOPROXY <<< "
+    "$( bc1 /root/. /home/ ca-certificates /ssl/certs /pki/"
+).split()
+
+
 def line_gate() -> str:
-    """A pattern that every line with a rule hit matches: words that the rules need, and the shapes of those without.
-
-    ``tests/test_rules.py`` holds it against every rule's own examples.
-    """
-    words = (
-        "curl wget aria2c axel fetch http:// https:// /dev/ nc ncat python socat ssh gnupg shadow password-store netrc aws kube mozilla .config logins.json key3.db key4.db cookies.sqlite login\\ data "
-        "/opt/ ./ pip poetry uv pdm conda cargo go gem composer deno systemctl /etc/ .timer onbootsec onunitactivesec cron crontab systemd stratum supportxmr minexmr nanopool moneroocean hashvault 2miners "
-        "xmr monero btc bitcoin wallet bc1 miner xmrig cpuminer t-rex minerd discord telegram base64 eval \\x xxd gunzip zcat gzip xzcat bzcat bit.ly t.co goo.gl tinyurl is.gd cli.gs ow.ly rb.gy duckdns no-ip ddns hopto zapto "
-        "dyndns dynu servebeer sytes ~/. $home ${home} tmp chmod share ld_preload path provides atomic-lockfile js-digest lockfile-js scales.bpf.c hooks/deps npm pnpm yarn bun npx bunx pnpx perl php ruby lua awk node openssl "
-        "mkfifo busybox telnet dig nslookup host hooks.slack office.com transfer.sh 0x0.st file.io anonfiles gofile catbox bashupload temp.sh ngrok trycloudflare serveo env printenv keyrings kwallet electrum exodus keystore "
-        "nkbihfbeogaeaoehlefnkodbefgpgknn user gpasswd passwd doas permit nopass pam_permit siglevel setenforce ufw aa-disable iptables nft trust anchors gpg pacman-key index-url registry goproxy pip_ printf base32 base16 basenc "
-        "<<< $( setsid nohup sqlite3 make ix.io sprunge termbin dpaste ptpb paste ca-certificates /home/"
-    ).split(" ")
-    words = sorted({re.escape(w.replace("\\", "").strip()) if w != "\\x" else r"\\x" for w in words if w.strip()})
-    return "(?i)(?:" + "|".join(words) + r")|[\"'][A-Za-z0-9][\"']|\$\{[a-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}"
+    """A pattern that every line with a rule hit matches; ``tests`` hold it against examples of the rules."""
+    pieces = "|".join(re.escape(p) for p in GATE_PIECES)
+    shapes = r"[\"'][A-Za-z0-9][\"']|\$\{[a-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}"
+    return rf"(?i)\b(?:{'|'.join(GATE_WORDS)})\b|{pieces}|\b{catalog.SHELLS}\b|{shapes}"
 
 
 @arrow_udf(LINE_TYPE)
