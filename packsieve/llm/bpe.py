@@ -3,11 +3,13 @@
 Three passes, cut by tables in the shared folder:
 
 1. Documents are cut into pre-tokens. Each task gathers documents into blocks of ``BLOCK_BYTES``; a block keeps, per
-   document, the sequence of its pre-tokens as places in the block's list of distinct pre-tokens, and deals that list
-   into buckets by hash.
+   document, the sequence of its pre-tokens as places in the block's list of distinct pre-tokens, in a file of its own,
+   and deals that list into buckets by hash. A file's name carries the attempt of its task, and only files that the
+   pass's table names are read.
 2. Buckets are shuffled by number, so that a pre-token meets all its copies from all blocks in one task, which encodes
    it once. A very frequent word costs one entry a block, as every other word of the block does.
-3. Encoded lists return to their blocks, where each document's ids are put together by position. Decoding looks every
+3. Encoded lists return to their blocks, where each document's ids are put together by position; the sequences are
+   read from the block's file and never shuffled. Decoding looks every
    id up in the token-byte table, which has as many rows as the vocabulary.
 
 White space never joins what precedes it, so runs of white space with the characters after them are cut once a block
@@ -29,6 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,31 +110,34 @@ class _Block:
         self.size += len(text)
 
 
-def _blocks(buckets: int):
-    """Pass 1: rows (block, bucket, rows, blob); bucket -1 has the documents, each other one its share of words."""
+def _blocks(folder: str, buckets: int):
+    """Pass 1: rows (block, bucket, n, blob), a bucket's share of a block's words; and the file of each block."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().taskAttemptId()
+        disk, root = pafs.FileSystem.from_uri(folder)
         made = 0
 
         def emit(block, keys):
             nonlocal made
             name = f"{task}-{made}"
             made += 1
+            sizes = np.fromiter(map(len, block.places), np.int32, len(block.places))
+            blob = zstandard.compress(sizes.tobytes() + np.concatenate(block.places).tobytes(), 6)
+            disk.create_dir(root, recursive=True)
+            whole = pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(kind)), pa.array([blob], pa.binary())], names=["keys", "blob"])
+            with disk.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_stream(f, whole.schema) as out:
+                out.write_batch(whole)
             words = [w.encode() for w in block.words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-            sizes = np.fromiter(map(len, block.places), np.uint32, len(block.places))
-            body = np.concatenate([*block.places, np.zeros(0, np.int32)])
-            blob = zstandard.compress(sizes.tobytes() + body.tobytes(), 6)
-            yield name, -1, len(sizes), keys, blob
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
                 share = order[cuts[k] : cuts[k + 1]]
-                if len(share):
-                    yield name, k, len(share), None, share.astype(np.int32).tobytes() + _pack([words[i] for i in share])
+                if len(share) or not k:  # a block without words has a row too
+                    yield name, k, len(share), share.astype(np.int32).tobytes() + _pack([words[i] for i in share])
 
         def rows(keys, texts):
             nonlocal block, kept
@@ -139,15 +145,12 @@ def _blocks(buckets: int):
                 block.add(len(kept), text or "")
                 kept.append(key)
                 if block.size >= BLOCK_BYTES:
-                    yield from emit(block, kept)
-                    block, kept = _Block(), []
+                    done, names, block, kept = block, kept, _Block(), []
+                    yield from emit(done, names)
 
         def frame(parts):
-            name, bucket, n, keys, blob = (list(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(kind)), pa.array(blob, pa.binary())],
-                names=["block", "bucket", "n", "keys", "blob"],
-            )
+            name, bucket, n, blob = (list(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["block", "bucket", "n", "blob"])
 
         block, kept, kind = _Block(), [], pa.int64()
         for b in batches:
@@ -197,40 +200,46 @@ def _encoder(vocab: str):
     return run
 
 
-def _assemble(vocab: str, key: str, ids_too: bool):
-    """Pass 3: a block's documents and its encoded words to ids, digests and decoded bytes."""
+def _assemble(folder: str, vocab: str, key: str, kind: pa.DataType, ids_too: bool):
+    """Pass 3: a block's encoded words, with its file, to ids, digests and decoded bytes."""
 
-    def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
+    def run(lists: pa.Table) -> pa.Table:
         _, table = load(vocab)
-        found: list = [None] * sum(lists.column("n").to_pylist())
+        total = sum(lists.column("n").to_pylist())
+        shown, back, count = [""] * total, [b""] * total, np.zeros(total, np.int64)
+        found: list = [()] * total if ids_too else []
         for n, blob in zip(lists.column("n").to_pylist(), lists.column("blob").to_pylist(), strict=True):
             data = np.frombuffer(zstandard.decompress(blob), np.uint32)
-            places, sizes, flat = data[:n], data[n : 2 * n], data[2 * n :]
-            for p, ids in zip(places.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
-                found[p] = ids
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        shown = [" ".join(map(str, x.tolist())) for x in found]
-        back = [b"".join([table[i] for i in x.tolist()]) for x in found]
-        out = {k: [] for k in ("key", "n", "sha", "decoded", "ids")}
-        for keys, n, blob in zip(docs.column("keys").to_pylist(), docs.column("n").to_pylist(), docs.column("blob").to_pylist(), strict=True):
-            data = np.frombuffer(zstandard.decompress(blob), np.int32)
-            sizes, body = data[:n], data[n:]
-            at = 0
-            for k, size in zip(keys, sizes.tolist(), strict=True):
-                seq = body[at : at + size]
+            places, sizes = data[:n], data[n : 2 * n]
+            count[places] = sizes
+            ids, at = data[2 * n :].tolist(), 0
+            for p, size in zip(places.tolist(), sizes.tolist(), strict=True):
+                own = ids[at : at + size]
                 at += size
-                places = seq.tolist()
-                out["key"].append(k)
-                out["n"].append(int(count[seq].sum()) if size else 0)
-                out["sha"].append(hashlib.sha256(" ".join([shown[p] for p in places]).encode()).hexdigest())
-                decoded = b"".join([back[p] for p in places])
-                out["decoded"].append(hashlib.sha256(decoded).hexdigest())
+                shown[p] = " ".join(map(str, own))
+                back[p] = b"".join([table[i] for i in own])
                 if ids_too:
-                    out["ids"].append([i for p in places for i in found[p].tolist()])
-        kind = docs.schema.field("keys").type.value_type
-        columns = {key: pa.array(out["key"], kind), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["sha"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
+                    found[p] = own
+        disk, root = pafs.FileSystem.from_uri(folder)
+        with disk.open_input_stream(f"{root}/{lists.column('block')[0].as_py()}") as f:
+            whole = pa.ipc.open_stream(f).read_next_batch()
+        keys = whole.column(0)[0].as_py()
+        data = np.frombuffer(zstandard.decompress(whole.column(1)[0].as_py()), np.int32)
+        sizes, body, at = data[: len(keys)], data[len(keys) :], 0
+        out = {k: [] for k in ("n", "sha", "decoded", "ids")}
+        for size in sizes.tolist():
+            seq = body[at : at + size]
+            at += size
+            places = seq.tolist()
+            out["n"].append(int(count[seq].sum()))
+            out["sha"].append(hashlib.sha256(" ".join([shown[p] for p in places]).encode()).hexdigest())
+            out["decoded"].append(hashlib.sha256(b"".join([back[p] for p in places])).hexdigest())
+            if ids_too:
+                out["ids"].append(np.fromiter((i for p in places for i in found[p]), np.int32, out["n"][-1]))
+        columns = {key: pa.array(keys, kind), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["sha"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
         if ids_too:
-            columns["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
+            ends = np.r_[0, np.cumsum(out["n"])].astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out["ids"], np.zeros(0, np.int32)])))
         return pa.table(columns)
 
     return run
@@ -244,14 +253,15 @@ def encode(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     ship(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    schema = f"block string, bucket int, n int, keys array<{kind}>, blob binary"
-    cut = work.table(docs.select(F.col(key), F.col(text)).mapInArrow(_blocks(buckets), schema), "blocks")
-    words = cut.where("bucket >= 0").select("block", "bucket", "n", "blob").repartition(buckets, "bucket")
-    coded = words.mapInArrow(_encoder(vocab), "block string, bucket int, n int, blob binary")
-    whole = cut.where("bucket < 0").select("block", "n", "keys", "blob")
+    field = docs.select(F.col(key)).schema[0]
+    kind = field.dataType.simpleString()
+    folder = f"{work.path}/block-files"
+    shares = docs.select(F.col(key), F.col(text)).mapInArrow(_blocks(folder, buckets), "block string, bucket int, n int, blob binary")
+    shares = work.table(shares, "shares").repartition(buckets, "bucket")
+    coded = shares.mapInArrow(_encoder(vocab), "block string, bucket int, n int, blob binary")
     out = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return whole.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(vocab, key, ids), out)
+    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    return coded.groupBy("block").applyInArrow(_assemble(folder, vocab, key, arrow, ids), out)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
