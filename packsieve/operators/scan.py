@@ -43,6 +43,7 @@ SUSPICIOUS = ["pastebin.com", "paste.ee", "hastebin.com", "0x0.st", "transfer.sh
 SHORTENERS = ["bit.ly", "t.co", "goo.gl", "tinyurl.com", "is.gd", "cli.gs", "ow.ly"]
 SUM_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128, "b2": 128}
 
+#: What fetches and runs, decodes, executes, and sets special modes.
 _FETCH = r"\b(?:curl|wget|aria2c|fetch)\b"
 _NEAR = r"(?:curl|wget|fetch)\b"
 REMOTE_EXEC = "(?i)" + "|".join(
@@ -58,27 +59,30 @@ BLOB = r"[A-Za-z0-9+/]{200,}={0,2}"
 SPECIAL_MODE = r"(?i)chmod\s+(?:-[a-z]+\s+)*0?[2-7][0-7]{3}\b|chmod\s+[ugoa]*[-+=][rwxt]*s\b|install\s.*-[a-z]*m[=\s]?0?[2-7][0-7]{3}\b"
 
 
-#: What each rule needs on a line: whole words, and pieces of text. A rule without either has its shape below.
-GATE_WORDS = (
-    "curl wget aria2c axel fetch nc ncat python[\\d.]* socat pip[23x]? poetry uv pdm conda cargo go gem composer deno systemctl crontab xmr monero btc bitcoin xmrig xmr-stak minerd cpuminer ethminer t-rex "
-    "nbminer lolminer phoenixminer base64 eval xxd gunzip zcat gzip bzcat xzcat exec sh bash chmod cp mv install npm pnpm yarn bun npx bunx pnpx perl php ruby lua [gm]?awk node(?:js)? openssl mkfifo "
-    "busybox telnet dig nslookup host env printenv user(?:add|mod) gpasswd chpasswd passwd permit NOPASSWD SigLevel setenforce ufw aa-disable iptables nft trust pacman-key gpg2? printf base32 base16 basenc "
-    "setsid nohup sqlite3 make logins key[34] cookies Login atomic-lockfile js-digest lockfile-js OnBootSec OnUnitActiveSec export"
-).split()
+#: What each rule needs on a line: pieces of its lower-cased text, or short whole words. Rules without either have the
+#: shapes below.
 GATE_PIECES = (
-    "http:// https:// /dev/ /.ssh /.gnupg .password-store .netrc .aws .kube .mozilla .config/ .local/share/keyrings /opt/ ./ /etc/ /var/spool/cron .timer systemd-init systemd-update systemd-network systemd-login "
-    "systemd-kernel systemd-core systemd-sys /usr/lib/systemd stratum+ supportxmr minexmr nanopool.org moneroocean hashvault 2miners wallet discord telegram.org \\x bit.ly t.co/ goo.gl tinyurl.com is.gd cli.gs ow.ly "
-    "rb.gy duckdns no-ip. ddns.net hopto.org zapto.org dyndns.org dynu. servebeer sytes.net ~/. $HOME ${HOME} /tmp/ LD_PRELOAD PATH= provides= scales.bpf.c src/hooks/deps hooks.slack .office transfer.sh 0x0.st file.io "
-    "anonfiles gofile.io catbox.moe bashupload temp.sh ngrok trycloudflare serveo.net kwallet .electrum .bitcoin .ethereum nkbihfbeogaeaoehlefnkodbefgpgknn pam_permit index-url --registry PIP_ NPM_CONFIG GOPROXY <<< "
-    "$( bc1 /root/. /home/ ca-certificates /ssl/certs /pki/"
+    "curl wget aria2c axel fetch ncat python socat poetry conda cargo composer deno systemctl crontab monero bitcoin xmrig xmr-stak minerd cpuminer ethminer t-rex nbminer lolminer phoenixminer base64 eval gunzip zcat gzip "
+    "exec bash chmod install pnpm yarn bunx pnpx perl ruby node openssl mkfifo busybox telnet nslookup host printenv useradd usermod passwd permit siglevel setenforce aa-disable iptables trust pacman-key printf base32 "
+    "base16 basenc setsid nohup sqlite3 make logins key3.db key4.db cookies login atomic-lockfile js-digest lockfile-js onbootsec onunitactivesec export "
+    "http:// https:// /dev/ /.ssh /.gnupg .password-store .netrc .aws .kube .mozilla .config/ .local/share/keyrings /opt/ ./ /etc/ /var/spool/cron .timer systemd- /usr/lib/systemd stratum+ supportxmr minexmr "
+    "nanopool.org moneroocean hashvault 2miners wallet discord telegram.org \\x bit.ly t.co/ goo.gl tinyurl.com is.gd cli.gs ow.ly rb.gy duckdns no-ip. ddns.net hopto.org zapto.org dyndns.org dynu. servebeer sytes.net ~/. "
+    "$home ${home} /tmp/ ld_preload path= provides= scales.bpf.c src/hooks/deps hooks.slack .office transfer.sh 0x0.st file.io anonfiles gofile.io catbox.moe bashupload temp.sh ngrok trycloudflare serveo.net kwallet "
+    ".electrum .bitcoin .ethereum nkbihfbeogaeaoehlefnkodbefgpgknn pam_permit index-url --registry pip_ npm_config goproxy <<< $( bc1 /root/. /home/ ca-certificates /ssl/certs /pki/"
 ).split()
+GATE_WORDS = "nc pip[23x]? uv pdm go gem xmr btc xxd cp mv npm bun npx php lua [gm]?awk dig env ufw nft gpg2? sh nopasswd".split()
+GATE_SHAPES = r"[\"'][A-Za-z0-9][\"']|\$\{[A-Za-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}|(?i:\b" + catalog.SHELLS + r"\b)"
+
+
+def _sql(text: str) -> str:
+    """A SQL string literal; ``${`` is split, as SQL texts have variables in that form replaced."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("${", "$' || '{") + "'"
 
 
-def line_gate() -> str:
-    """A pattern that every line with a rule hit matches; ``tests`` hold it against examples of the rules."""
-    pieces = "|".join(re.escape(p) for p in GATE_PIECES)
-    shapes = r"[\"'][A-Za-z0-9][\"']|\$\{[a-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}"
-    return rf"(?i)\b(?:{'|'.join(GATE_WORDS)})\b|{pieces}|\b{catalog.SHELLS}\b|{shapes}"
+def gate_sql(column: str) -> str:
+    """A condition that every line with a rule hit meets; ``tests`` hold it against examples of the rules."""
+    pieces = " OR ".join(f"contains(lower({column}), {_sql(p)})" for p in GATE_PIECES)
+    return f"({pieces} OR lower({column}) RLIKE {_sql(rf'\b(?:{"|".join(GATE_WORDS)})\b')} OR {column} RLIKE {_sql(GATE_SHAPES)})"
 
 
 @arrow_udf(LINE_TYPE)
@@ -178,14 +182,14 @@ def rule_matches(line_table: DataFrame, rules: list[catalog.Rule] | None = None)
     rules = [r for r in (RULES if rules is None else rules) if r.enabled]
     live = line_table.where("not is_comment and not is_info")
     if rules is RULES or all(r in RULES for r in rules):
-        gate = line_gate()
-        live = live.where(F.col("raw").rlike(gate) | F.coalesce(F.col("deobf").rlike(gate), F.lit(False)) | F.coalesce(F.col("resolved").rlike(gate), F.lit(False)))
+        live = live.where(" OR ".join(f"coalesce({gate_sql(v)}, false)" for v in ("raw", "deobf", "resolved")))
     hits = []
     for n, r in enumerate(rules):
+        types = ", ".join(f"'{t}'" for t in r.file_types)
         for i, p in enumerate(r.regexes()):
-            first = F.when(F.col("raw").rlike(p), "raw").when(F.col("deobf").rlike(p), "deobf").when(F.col("resolved").rlike(p), "resolved")
-            hits.append(F.when(F.col("file_type").isin(*r.file_types) & first.isNotNull(), F.struct(F.lit(n).alias("ord"), F.lit(i).alias("pat_idx"), first.alias("variant"))))
-    told = live.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("pkg_id", "file_type", "file", "line_no", "raw", "deobf", "resolved", "hit.*")
+            tests = " ".join(f"WHEN {v} RLIKE {_sql(p)} THEN named_struct('ord', {n}, 'pat_idx', {i}, 'variant', '{v}')" for v in ("raw", "deobf", "resolved"))
+            hits.append(f"CASE WHEN file_type NOT IN ({types}) THEN NULL {tests} END")
+    told = live.withColumn("hit", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))"))).select("pkg_id", "file_type", "file", "line_no", "raw", "deobf", "resolved", "hit.*")
     known = [(n, i, r.id, r.severity, p) for n, r in enumerate(rules) for i, p in enumerate(r.regexes())]
     dim = line_table.sparkSession.createDataFrame(known, "ord int, pat_idx int, id string, severity string, pattern string")
     text = F.when(F.col("variant") == "raw", F.col("raw")).when(F.col("variant") == "deobf", F.col("deobf")).otherwise(F.col("resolved"))

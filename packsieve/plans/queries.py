@@ -391,7 +391,7 @@ def sbom_document(spark, d):
     nodes, e = _closure(spark, d)
     text = lambda df, *cs: df.select(*[F.col(c).cast("string").alias(c) if c != "depth" else F.col(c) for c in cs])
     scans = _hits(spark, d).groupBy("pkg_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    return report.sbom(text(nodes, "name", "depth").withColumn("origin", F.lit("aur")), text(e, "parent", "child"), scans)
+    return report.sbom(text(nodes, "name", "depth").withColumn("origin", F.lit("community")), text(e, "parent", "child"), scans)
 
 
 # provenance: a user is a package, a day a version, event types its markers

@@ -72,7 +72,7 @@ def test_closure(spark):
     e = graph.edges(info)
     nodes = graph.annotate(graph.closure(e, spark.createDataFrame([("app",)], "name string")), info, e)
     got = {r.name: (r.depth, r.origin, r.orphan) for r in nodes.collect()}
-    assert got == {"app": (0, "aur", False), "lib": (1, "aur", True), "glibc": (1, "repo", False), "tool": (1, "aur", False), "t": (2, "repo", False)}
+    assert got == {"app": (0, "community", False), "lib": (1, "community", True), "glibc": (1, "repo", False), "tool": (1, "community", False), "t": (2, "repo", False)}
     assert graph.closure(e, spark.createDataFrame([("app",)], "name string"), max_depth=1).count() == 4
 
 
