@@ -70,20 +70,28 @@ def _wide_hash(data: np.ndarray, starts: np.ndarray, size) -> tuple[np.ndarray,
 
 
 def _pass1(batches):
-    """Rows (d, gram, place): the suffixes that stand for a text's windows."""
+    """Rows (d, gram, places): the suffixes that stand for a text's windows, those that begin alike in one row."""
     for b in batches:
-        digests, grams, places = [], [], []
+        digests, grams, places, sizes = [], [], [], []
         ids = b.column(0).to_pylist()
         for i, data in _texts(b.column(1)):
             if len(data) < DEPTH:
                 continue
             sums = prefix_sums(data)
             at = np.unique(chosen(data, sums))
-            places.append(at)
-            grams.append(span_hash(sums, at, at + GRAM).view(np.int64))
-            digests += [ids[i]] * len(at)
+            gram = span_hash(sums, at, at + GRAM).view(np.int64)
+            order = np.argsort(gram, kind="stable")
+            distinct, counts = np.unique(gram, return_counts=True)
+            places.append(at[order])
+            grams.append(distinct)
+            sizes.append(counts)
+            digests += [ids[i]] * len(distinct)
         if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(grams)), pa.array(np.concatenate(places).astype(np.int32))], names=["d", "gram", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(grams)), _lists(np.concatenate(places), np.concatenate(sizes))], names=["d", "gram", "places"])
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _steps(data: np.ndarray, places: np.ndarray):
@@ -97,9 +105,10 @@ def _steps(data: np.ndarray, places: np.ndarray):
 
 
 def _pass2(batches):
-    """Rows (d, suffix, step, window, n, i1, i2, o1, o2): hashes of a step's inner and outer strings. The outer ones are
-    null where the text ends before the outer string does."""
-    names = ["d", "suffix", "step", "window", "n", "i1", "i2", "o1", "o2"]
+    """Rows (d, step, n, windows, i1, i2, o1, o2): hashes of a step's inner and outer strings, and the first windows of
+    all places of the text that agree in them. The outer ones are null where the text ends before the outer string
+    does; such places are not put together."""
+    names = ["d", "step", "n", "windows", "i1", "i2", "o1", "o2"]
     for b in batches:
         ids, wanted = b.column(0).to_pylist(), b.column(2)
         for i, data in _texts(b.column(1)):
@@ -111,41 +120,49 @@ def _pass2(batches):
             first = last - STEP + 1
             fits = (first >= 0) & (last + DEPTH <= len(data))
             o1, o2 = _wide_hash(data, np.where(fits, first, 0), np.where(fits, DEPTH + STEP - 1, 0))
-            arrays = [pa.array([ids[i]] * len(suffix), pa.binary()), *(pa.array(x.astype(np.int32)) for x in (suffix, step, window, n)), pa.array(i1), pa.array(i2)]
-            arrays += [pa.array(o, mask=~fits) for o in (o1, o2)]
+            keys = np.stack([i1, i2, step, o1, o2, np.where(fits, -1, window)])
+            order = np.lexsort(keys)
+            new = np.r_[True, (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(axis=0)]
+            head = order[new]
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            # equal outer strings hold equal windows; the longest count stands for a group cut off by an end
+            most = np.maximum.reduceat(n[order], np.flatnonzero(new))
+            arrays = [pa.array([ids[i]] * len(head), pa.binary()), pa.array(step[head].astype(np.int32)), pa.array(most.astype(np.int32)), _lists(window[order], sizes)]
+            arrays += [pa.array(i1[head]), pa.array(i2[head]), *(pa.array(o[head], mask=~fits[head]) for o in (o1, o2))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _ranges(parts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and counts of a list of (windows, n)."""
+    rows = parts.values
+    lists, n = rows.field("windows"), np.asarray(rows.field("n"))
+    return np.asarray(lists.flatten()), np.repeat(n, np.asarray(lists.value_lengths()))
+
+
 def _pass3(batches):
-    """Rows (d, window, w1, w2) of the windows of the steps in (window, n) lists."""
+    """Rows (d, window, w1, w2) of the windows of the steps in (windows, n) lists."""
     for b in batches:
         ids = b.column(0).to_pylist()
         for i, data in _texts(b.column(1)):
-            at = np.concatenate([np.arange(r["window"], r["window"] + r["n"]) for r in b.column(2)[i].as_py()])
+            start, n = _ranges(b.column(2)[i])
+            at = np.unique(np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()))
             w1, w2 = _wide_hash(data, at, DEPTH)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["d", "window", "w1", "w2"])
 
 
 def _cut(batches):
     """Rows (d, spans, rest): the removed runs and the bytes left, from lists of runs of repeated windows."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
         spans, rest = [], []
-        ids = b.column(0)
         for i, data in _texts(b.column(1)):
-            merged: list[list[int]] = []
-            for r in sorted((r["window"], r["n"]) for r in b.column(2)[i].as_py()):
-                start, end = r[0], r[0] + r[1] - 1 + DEPTH
-                if merged and start <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], end)
-                else:
-                    merged.append([start, end])
-            gone = np.zeros(len(data), bool)
-            for start, end in merged:
-                gone[start:end] = True
-            spans.append([{"start": s, "end": e} for s, e in merged])
+            start, n = _ranges(b.column(2)[i])
+            edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + n - 1 + DEPTH, minlength=len(data) + 1)
+            gone = np.cumsum(edge[: len(data)]) > 0
+            change = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+            spans.append([{"start": s, "end": e} for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)])
             rest.append(data[~gone].tobytes())
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(spans, kind), pa.array(rest, pa.binary())], names=["d", "spans", "rest"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(rest, pa.binary())], names=["d", "spans", "rest"])
 
 
 def _small(f, texts: int = 256):
@@ -161,30 +178,31 @@ def repeated_spans(docs: DataFrame, work: Workspace, text: str = "text") -> Data
     """(d, spans, rest) of every distinct text, known by its digest d, that holds repeated windows and has no copy."""
     ship(docs.sparkSession)
     texts = docs.select(F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
-    suffixes = work.table(texts.mapInArrow(_small(_pass1), "d binary, gram long, place int").distinct(), "suffixes")
-    seen = F.xxhash64("d", "place")
-    twice = suffixes.groupBy("gram").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi")).where("lo != hi").select("gram")
-    wanted = suffixes.join(twice, "gram").groupBy("d").agg(F.collect_list("place").alias("places"))
+    suffixes = work.table(texts.mapInArrow(_small(_pass1), "d binary, gram long, places array<int>").dropDuplicates(["d", "gram"]), "suffixes")
+    seen = F.xxhash64("d")
+    twice = suffixes.groupBy("gram").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"), F.max(F.size("places")).alias("most"))
+    twice = twice.where("lo != hi or most > 1").select("gram")
+    wanted = suffixes.join(twice, "gram").groupBy("d").agg(F.flatten(F.collect_list("places")).alias("places"))
     # the texts that stay are kept once; later passes read them only
     left = work.table(texts.join(wanted, "d").dropDuplicates(["d"]), "texts")
-    steps = work.table(left.select("d", "t", "places").mapInArrow(_small(_pass2), "d binary, suffix int, step int, window int, n int, i1 long, i2 long, o1 long, o2 long"), "steps")
-    # groups of equal inner strings, with equal outer strings as one row
-    of = F.struct("d", "window", "n")
-    outer = steps.withColumn("alone", F.when(F.col("o1").isNull(), F.struct("d", "suffix")))
-    outer = outer.groupBy("i1", "i2", "step", "o1", "o2", "alone").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.max_by(of, "n").alias("one"))
+    steps = left.select("d", "t", "places").mapInArrow(_small(_pass2), "d binary, step int, n int, windows array<int>, i1 long, i2 long, o1 long, o2 long")
+    steps = work.table(steps, "steps")
+    # groups of equal inner strings, with equal outer strings as one row; places without outer strings stay apart
+    outer = steps.withColumns({"alone": F.when(F.col("o1").isNull(), F.xxhash64("d", "windows")), "first": F.get("windows", F.lit(0)), "many": F.size("windows").cast("long")})
+    outer = outer.groupBy("i1", "i2", "step", "o1", "o2", "alone").agg(F.sum("many").alias("c"), F.max_by(F.struct("d", "first", "n"), "n").alias("one"))
     outer = work.table(outer.drop("alone"), "outer")
-    inner = outer.groupBy("i1", "i2", "step").agg(F.count("*").alias("outers"), F.sum("c").alias("all")).where("all > 1")
+    inner = outer.groupBy("i1", "i2", "step").agg(F.count("*").alias("outers")).where("outers > 1").select("i1", "i2", "step")
     settled = outer.where("o1 is not null and c > 1").select("i1", "i2", "step", "o1", "o2")
-    sure = steps.join(settled, ["i1", "i2", "step", "o1", "o2"]).select("d", "window", "n")
-    open_ = outer.join(inner.where("outers > 1").select("i1", "i2", "step"), ["i1", "i2", "step"])
+    sure = steps.join(settled, ["i1", "i2", "step", "o1", "o2"]).select("d", "windows", "n")
+    open_ = outer.join(inner, ["i1", "i2", "step"])
     # a settled string takes part as one example, so that others can equal its windows
-    asked = open_.select("one.*").groupBy("d").agg(F.collect_list(F.struct("window", "n")).alias("parts"))
+    asked = open_.select("one.*").groupBy("d").agg(F.collect_list(F.struct(F.array("first").alias("windows"), "n")).alias("parts"))
     windows = left.select("d", "t").join(asked, "d").mapInArrow(_small(_pass3), "d binary, window int, w1 long, w2 long")
     windows = work.table(windows, "windows")
     mark = F.xxhash64("d", "window")
     equal = windows.groupBy("w1", "w2").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi").select("w1", "w2")
-    found = windows.join(equal, ["w1", "w2"]).select("d", "window", F.lit(1).alias("n"))
-    per_text = sure.unionByName(found).groupBy("d").agg(F.collect_list(F.struct("window", "n")).alias("parts"))
+    found = windows.join(equal, ["w1", "w2"]).groupBy("d").agg(F.collect_list("window").alias("windows")).select("d", "windows", F.lit(1).alias("n"))
+    per_text = sure.unionByName(found).groupBy("d").agg(F.collect_list(F.struct("windows", "n")).alias("parts"))
     return left.select("d", "t").join(per_text, "d").mapInArrow(_small(_cut), "d binary, spans array<struct<start:int,end:int>>, rest binary")
 
 
