@@ -6,6 +6,8 @@ key whose estimate lies clearly above ``MIN_SITES`` is boilerplate, one clearly
 threshold (``BAND``) get exact distinct counts. Every copy of a boilerplate line goes but the first one (smallest
 document id, then smallest place), so what a site-wide notice says is kept once.
 
+Joins are sort-merge joins at every size: what lines and documents meet grows with the corpus.
+
 Defined cases: lines of white space only are never boilerplate; a null text has no lines and stays null; a null site
 counts as one site of its own; rows that repeat a document id keep or lose lines alike; an empty table gives an empty
 result; other columns are kept by ``apply_removals`` and may have any names without a leading ``_ld``.
@@ -41,7 +43,7 @@ def boilerplate(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
     spread = work.table(spread, "spread")
     near = spread.where(F.col("_sites") <= min_sites * (1 + BAND))
     exact = (
-        lines.join(near.select("_ld_key"), "_ld_key", "left_semi")
+        lines.join(near.select("_ld_key").hint("merge"), "_ld_key", "left_semi")
         .groupBy("_ld_key").agg(F.countDistinct("_ld_site").alias("_n")).where(F.col("_n") >= min_sites)
     )
     sure = spread.where(F.col("_sites") > min_sites * (1 + BAND)).select("_ld_key", "_ld_first")
@@ -51,7 +53,7 @@ def boilerplate(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str
 def removals(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """For each document id that loses lines: the places of those lines, in order."""
     found = boilerplate(docs, work, key, text, site, min_sites)
-    hits = _exploded(docs, key, text, site).select("_ld_id", "_ld_at", "_ld_key").join(found, "_ld_key")
+    hits = _exploded(docs, key, text, site).select("_ld_id", "_ld_at", "_ld_key").join(found.hint("merge"), "_ld_key")
     per_doc = hits.groupBy("_ld_id").agg(F.collect_list(F.struct("_ld_at", "_ld_key", "_ld_first")).alias("_hits"))
     hits = F.array_sort("_hits")
     # the first copy stays: the least place of the line within the document of least id
@@ -72,7 +74,7 @@ def _rest(text: Column, drop: Column) -> Column:
 
 def apply_removals(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that ``removals`` lists, and the column ``_ld_removed``."""
-    both = docs.join(gone, docs[key].eqNullSafe(gone["_ld_id"]), "left")
+    both = docs.join(gone.hint("merge"), docs[key].eqNullSafe(gone["_ld_id"]), "left")
     return both.withColumns({text: _rest(F.col(text), F.col("_ld_drop")), "_ld_removed": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long")}).drop("_ld_id", "_ld_drop")
 
 
