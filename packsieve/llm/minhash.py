@@ -4,10 +4,11 @@ A shingle's hash goes through one permutation of 32 bits; a second permutation,
 coordinate k of the signature. Bands of ``ROWS`` coordinates are bucket keys: with ``BANDS`` bands a pair of similarity
 0.85 shares no bucket with probability 4e-7; 40 bands do as much at 0.8.
 
-Documents with equal shingle sets are one class, linked at once. Classes in a bucket are compared with the bucket's hub,
-the class that shares most buckets with others, as an original does with its edited copies. Buckets whose members then
-still lie in several components are finished exactly: all pairs of classes across components there are compared. All
-links are confirmed on full shingle sets.
+Documents with equal shingle sets are one class, linked at once. The classes of a bucket are all compared, on full
+shingle sets, in the task that holds the bucket, as products of 0/1 matrices; the task gives the links that join them,
+fewer than it has members, and never a table of pairs. A bucket over ``BLOCK`` members is cut into blocks, with a task
+for each two blocks. Bands are worked through in a few phases, and a later phase takes only buckets whose members still
+lie in several components, so a large group is compared once or twice and not in every band.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; rows with a null id get a
 null component and are kept; rows that share an id are one vertex; repeated rows repeat; an empty table gives an
@@ -29,6 +30,10 @@ from packsieve.llm.shared import Workspace, settle
 from packsieve.session import ship
 
 BANDS, ROWS = 25, 5
+#: Phases end at these bands, and at the last one.
+PHASES = (2, 6)
+#: Members of a bucket compared in one task (twice as many if it was cut), and cells of a matrix held at once.
+BLOCK, COLUMNS = 1000, 1 << 22
 TEXTS_A_BATCH = 256
 
 
@@ -86,36 +91,63 @@ def _sets(width: int):
     def run(batches):
         for b in _in_parts(batches):
             sets = [s.tobytes() for s in shingle_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
 
     return run
 
 
-def _confirm(threshold: int):
-    """Keeps the pairs with 100 * intersection >= threshold * union."""
+def _linked(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links, as pairs of places, that join exactly the sets that are joined by 100 * intersection >= threshold * union."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = max(1, COLUMNS // max(n, 1))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        part = np.zeros((n, width), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    # counts are whole numbers below 2**24, which a float32 holds exactly
+    similar = (100 + threshold) * both.astype(np.int32) >= threshold * (sizes[:, None] + sizes[None, :]).astype(np.int32)
+    out, left = [], np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], edge = False, [start]
+        while edge:
+            i = edge.pop()
+            for j in np.flatnonzero(similar[i] & left).tolist():
+                left[j] = False
+                out.append((i, j))
+                edge.append(j)
+    return out
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
-            got = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+
+def _bucket_links(threshold: int, kind: pa.DataType):
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in group.column("set").chunks for x in c]
+        ids = group.column("rep").to_pylist()
+        links = _linked(sets, threshold)
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], kind), "b": pa.array([ids[j] for _, j in links], kind)})
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, threshold: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    pairs = work.table(pairs, f"{name}-pairs")
-    kind = pairs.schema["a"].dataType.simpleString()
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(needed, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, set binary")
-    sets = work.table(sets.dropDuplicates(["id"]), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return work.table(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), f"a {kind}, b {kind}"), f"{name}-links")
+def _phase(members: DataFrame, sets: DataFrame, threshold: int, kind: str) -> DataFrame:
+    """Links found in the buckets of ``members`` (bucket, rep), as (a, b)."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    placed = members.join(blocks, "bucket").withColumn("own", own)
+    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    tasks = placed.select("rep", "bucket", F.explode(others).alias("t")).select("rep", "bucket", "t.i", "t.j")
+    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    return tasks.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_bucket_links(threshold, arrow), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", width: int = 3, threshold: int = 85, bands: int = BANDS) -> DataFrame:
@@ -127,29 +159,23 @@ def near_duplicates(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     classes = work.table(
         signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    crowd = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("bucket", "c")
+    # rows (band, bucket, rep) of buckets with two classes or more
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    crowd = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("bucket")
     shared = work.table(rows.join(crowd, "bucket"), "shared")
-    central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
-    shared = work.table(shared.join(central, "rep").select("rep", "n", "bucket", "central"), "central")
-    hubs = shared.groupBy("bucket").agg(F.max(F.struct("central", "rep")).alias("hub")).select("bucket", F.col("hub.rep").alias("hub"))
-    similar = f"100 * least(n, m) >= {threshold} * greatest(n, m)"
-    size = classes.groupBy(F.col("rep").alias("hub")).agg(F.max("n").alias("m"))
-    hubs = hubs.join(size, "hub")
-    stars = shared.join(hubs, "bucket").where(f"rep != hub and {similar}")
-    stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = _links(stars, texts, width, threshold, work, "stars")
-    comps = components(links, work)
-    # exact finish: buckets whose members are not yet of one component
-    told = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    told = work.table(told, "told")
-    mixed = told.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    open_ = told.join(mixed, "bucket")
-    other = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    pairs = open_.join(other, "bucket").where(f"rep < b and comp != comp_b and {similar}").select(F.col("rep").alias("a"), "b").distinct()
-    pairs = pairs.join(work.spark.read.schema(stars.schema).parquet(f"{work.path}/stars-pairs"), ["a", "b"], "left_anti")
-    more = _links(pairs, texts, width, threshold, work, "rest")
-    comps = components(links.unionByName(more), Workspace(work.spark, "minhash-last")) if more.limit(1).count() else comps
+    needed = shared.select(F.col("rep").alias("id")).distinct().hint("merge")
+    sets = texts.join(needed, "id", "left_semi").mapInArrow(_sets(width), f"rep {kind}, set binary")
+    sets = work.table(sets.dropDuplicates(["rep"]), "sets").hint("merge")
+    comps, links = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), None
+    ends = sorted({min(e, bands) for e in PHASES} | {bands})
+    for n, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
+        told = shared.where(f"band >= {lo} and band < {hi}").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+        told = told.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+        open_ = told.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+        found = work.table(_phase(told.select("bucket", "rep").join(open_, "bucket"), sets, threshold, kind), f"links{n}")
+        links = found if links is None else links.unionByName(found)
+        with Workspace(work.spark, "minhash-labels") as labels:
+            comps = work.table(components(links, labels), f"comps{n}")
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("id", "digest", "n").join(named, "digest", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
