@@ -3,7 +3,12 @@
 Words are runs of characters other than U+0020 and U+0009 to U+000D. A document fails the base rules if it has fewer
 than ``MIN_WORDS`` words, or if over 20 % of its words lie in five-word windows found twice or more in the text. The
 divergence test compares a document's character-class and common-word histograms with those of its language, summed
-over the whole corpus, by Jensen-Shannon distance. It is not applied to documents under ``GUARD_WORDS`` words or to
+over the whole corpus, by Jensen-Shannon distance. The word histogram has a bin for each common word of any language;
+words that aren't common have a bin in languages that aren't listed only, as those may have no common words. A
+document of a listed language without one common word has distance 1. The word threshold of a language comes from the
+distribution of its distances in the whole corpus, less what sampling alone explains (``NOISE`` over the words counted,
+as a square): the median and ``SPREAD`` times the way from the lowest tenth to the median. A document may lie over it by
+``TAIL`` times its own noise, but never over ``MAX_WORD_DISTANCE``. The test is not applied to documents under ``GUARD_WORDS`` words or to
 languages with under ``GUARD_DOCS`` documents.
 
 Everything about one document is computed within its row, without a shuffle; only the histograms' sums per language
@@ -31,7 +36,12 @@ MAX_REPEAT_PERCENT = 20
 GUARD_WORDS = 50
 GUARD_DOCS = 20
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.50
+#: Under the least distance between the references of two listed languages (0.80, es and fr on sf0.1).
+MAX_WORD_DISTANCE = 0.78
+MIN_WORD_CUT = 0.30
+SPREAD = 4
+#: Square of the distance expected of n words drawn from a reference of eight bins: 7 / (8 ln 2) / n.
+NOISE, TAIL = 1.26, 4
 #: Common words per language.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "for"],
@@ -39,6 +49,7 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "das", "den", "von", "mit", "ist"],
     "es": ["el", "los", "que", "las", "por", "con", "una", "del"],
 }
+COMMON = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = ["letters", "spaces", "symbols", "digits", "punctuation", "wide"]
 
 
@@ -51,10 +62,6 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def _among(words: list[str]):
-    return lambda w: w.isin(*words)
-
-
 def repeated_words(df: DataFrame, words: str, out: str, size: int = 5) -> DataFrame:
     """Adds ``out``: how many words lie in ``size``-word windows that the array ``words`` holds twice or more."""
     # windows are compared by a 64-bit hash; only rows that hold an equal pair are sorted
@@ -78,7 +85,6 @@ def repeated_words(df: DataFrame, words: str, out: str, size: int = 5) -> DataFr
 
 def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts and histograms of every row, computed within the row."""
-    common = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     known = F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other")
     df = docs.select(F.col(key), known.alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     df = df.withColumn("_words", words_of(F.col("_text")))
@@ -96,17 +102,17 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
             # bytes beyond one a character: how far a text is from plain letters of one byte
             "wide": (F.octet_length("_text") - F.length("_text")).cast("long"),
             "_chars": F.length("_text").cast("long"),
-            "_common": F.filter("_words", lambda w: w.isin(*common)),
+            "_common": F.filter("_words", lambda w: w.isin(*COMMON)),
         }
     )
     df = repeated_words(df, "_words", "n_repeat_words")
-    df = df.withColumns({f"w_{k}": F.size(F.filter("_common", _among(ws))).cast("long") for k, ws in COMMON_WORDS.items()})
+    rest = F.when(F.col("_lang") == "other", F.col("n_words") - F.size("_common")).otherwise(F.lit(0))
+    bins = [F.size("_common") - F.size(F.array_remove("_common", w)) for w in COMMON]
     return df.select(
         key, "_lang", "n_words", (F.col("_chars") - F.col("spaces")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("_chars") - F.col("spaces") - F.col("n_symbols") - F.col("digits") - F.col("punctuation")).alias("letters"),
         "spaces", F.col("n_symbols").alias("symbols"), "digits", "punctuation", "wide",
-        *[f"w_{k}" for k in COMMON_WORDS],
-        F.greatest(F.lit(0), F.col("n_words") - F.size("_common")).alias("w_other"),
+        F.array(*[b.cast("long") for b in bins], rest.cast("long")).alias("_bins"), F.size("_common").alias("_n_common"),
     )
 
 
@@ -124,14 +130,28 @@ def js_distance(columns: list[str], left: str, right: str) -> Column:
     return F.sqrt(F.greatest(out, F.lit(0.0)))
 
 
+def word_distance(bins: str, ref: str) -> Column:
+    """Jensen-Shannon distance of two array columns of counts; 1 if only the first is empty, 0 if the second is."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    n, m = total(bins), total(ref)
+
+    def part(x: Column, y: Column) -> Column:
+        p, q = x / n, y / m
+        one = lambda v: F.when(v > 0, v * F.log2(2 * v / (p + q))).otherwise(0.0) / 2
+        return one(p) + one(q)
+
+    out = F.aggregate(F.zip_with(bins, ref, part), F.lit(0.0), lambda a, x: a + x)
+    return F.when(m == 0, 0.0).when(n == 0, 1.0).otherwise(F.sqrt(F.greatest(out, F.lit(0.0))))
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: counts, base_failed, the two distances and kept."""
     counts = settle(base_counts(docs, key, text, lang))
-    words = [f"w_{k}" for k in COMMON_WORDS] + ["w_other"]
     enough = F.col("n_words") >= GUARD_WORDS
     refs = counts.where(enough).groupBy(F.col("_lang").alias("_ref")).agg(
-        F.count("*").alias("_docs"), *[F.sum(c).alias(f"ref_{c}") for c in CLASSES + words]
-    )
+        F.count("*").alias("_docs"), *[F.sum(c).alias(f"ref_{c}") for c in CLASSES],
+        F.array(*[F.sum(F.get("_bins", F.lit(k))) for k in range(len(COMMON) + 1)]).alias("_ref_bins"),
+    )
     # a row for each listed language and one for all others, at most
     both = counts.join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
     guarded = enough & (F.coalesce("_docs", F.lit(0)) >= GUARD_DOCS)
@@ -140,10 +160,19 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         {
             "base_failed": failed,
             "js_chars": F.when(guarded, js_distance(CLASSES, "", "ref_")).otherwise(0.0),
-            "js_words": F.when(guarded, js_distance(words, "", "ref_")).otherwise(0.0),
+            "js_words": F.when(guarded, word_distance("_bins", "_ref_bins")).otherwise(0.0),
         }
     )
-    kept = ~F.col("base_failed") & (F.col("js_chars") <= MAX_CHAR_DISTANCE) & (F.col("js_words") <= MAX_WORD_DISTANCE)
+    # distances are counted in steps of 0.001: the percentiles are exact and their state is bounded
+    n = F.when(F.col("_lang") == "other", F.col("n_words")).otherwise(F.col("_n_common"))
+    beyond = F.sqrt(F.greatest(F.lit(0.0), F.col("js_words") * F.col("js_words") - NOISE / n))
+    spread = both.where(guarded & (n > 0)).groupBy(F.col("_lang").alias("_of")).agg(F.percentile(F.round(beyond, 3), F.array(F.lit(0.1), F.lit(0.5))).alias("_q"))
+    low, mid = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    cuts = spread.select("_of", F.greatest(F.lit(MIN_WORD_CUT), mid + SPREAD * (mid - low)).alias("_cut"))
+    both = both.join(F.broadcast(cuts), F.col("_lang") == F.col("_of"), "left")
+    cut = F.when(n > 0, F.least(F.lit(MAX_WORD_DISTANCE), F.sqrt(F.col("_cut") * F.col("_cut") + TAIL * NOISE / n)))
+    cut = F.coalesce(cut, F.lit(MAX_WORD_DISTANCE))
+    kept = ~F.col("base_failed") & (F.col("js_chars") <= MAX_CHAR_DISTANCE) & (F.col("js_words") <= cut)
     return both.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "js_chars", "js_words"
     )

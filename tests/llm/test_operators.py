@@ -4,7 +4,10 @@ import base64
 import collections
 import hashlib
 import json
+import math
+import random
 import re
+import string
 import struct
 
 import pytest
@@ -285,6 +288,34 @@ def test_quality_counts(spark):
     assert quality.judge(frame(spark, texts).limit(0)).count() == 0
 
 
+def js(p, q):
+    p, q = ([x / (sum(v) or 1) for x in v] for v in (p, q))
+    return sum(x * math.log2(2 * x / (a + b)) / 2 for a, b in zip(p, q, strict=True) for x in (a, b) if x) ** 0.5
+
+
+def prose(seed, lang, n):
+    """Made-up words with the common words of a language among them, the first ones oftener."""
+    rng, common = random.Random(f"{seed}{lang}"), quality.COMMON_WORDS[lang]
+    return " ".join(rng.choices(common, range(8, 0, -1))[0] if rng.random() < 0.3 else "".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n))
+
+
+def test_quality_words(spark):
+    rows = [(100 * k + n, prose(n, lang, 60 + 12 * n), lang) for k, lang in enumerate(quality.COMMON_WORDS) for n in range(30)]
+    wrong = [(1000 + k, prose(k, a, 200), b) for k, (a, b) in enumerate((a, b) for a in quality.COMMON_WORDS for b in quality.COMMON_WORDS if a != b)]
+    rng = random.Random(1)
+    salad = [(2000 + k, " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(200)), lang) for k, lang in enumerate(quality.COMMON_WORDS)]
+    other = [(3000 + n, salad[0][1][n:], "zz") for n in range(25)]  # a language whose common words aren't known
+    docs = rows + wrong + salad + other
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert [(i, got[i].js_chars, got[i].js_words) for i, _, _ in rows + other if not got[i].kept] == []
+    assert not any(got[i].kept or got[i].base_failed for i, _, _ in wrong + salad)
+    bins = {i: [t.split().count(w) for w in quality.COMMON] for i, t, _ in docs}
+    for lang in quality.COMMON_WORDS:
+        mine = [i for i, _, x in docs if x == lang]
+        ref = [sum(c) for c in zip(*(bins[i] for i in mine), strict=True)]
+        assert all(got[i].js_words == pytest.approx(js(bins[i], ref) if any(bins[i]) else 1.0, abs=1e-9) for i in mine)
+
+
 # decontamination
 
 
