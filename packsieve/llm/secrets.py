@@ -8,6 +8,9 @@ Base kinds are plain patterns. The structural kinds decode a candidate and parse
 * ``hexder``: the same in hex;
 * ``sshkey``: base64 of the OpenSSH private key container, with its length-prefixed fields intact.
 
+A run of base64 may go on into what follows a key: a word on the next line, or the dashes of a footer. So a key ends
+where its outer header says, and a run is searched at each line start, as text may stand before a key as well.
+
 Spans are code point offsets, end exclusive, of the whole match. Defined cases: a null or empty text has no spans;
 repeated rows are each scanned; a text is scanned whole, however long; an empty table gives an empty result; other
 columns are ignored.
@@ -34,8 +37,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
-#: Runs of base64, line breaks allowed inside as in key files.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Runs of base64, line breaks allowed inside as in key files; a line of dashes ends one.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
+DASHES = re.compile(r"-{5,}")
+LINE = re.compile(r"[^\r\n]+")
+#: Base64 of the first byte of a SEQUENCE, or of the OpenSSH magic.
+KEY_HEAD = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
 HEX_BYTES = re.compile(r"[0-9A-Fa-f]{64,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -80,10 +87,11 @@ def is_der_key(data: bytes) -> bool:
     return len(parts) >= 2 and parts[0][0] == 0x02 and len(parts[0][1]) == 1 and parts[0][1][0] <= 3 and parts[1][0] in (0x02, 0x04, 0x30)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The OpenSSH container: cipher, KDF, KDF options, key count, public keys, one private block."""
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH container at the start of ``data``: cipher, KDF, KDF options, key count, public keys, one
+    private block. 0 if there is none."""
     if not data.startswith(SSH_MAGIC):
-        return False
+        return 0
     at = len(SSH_MAGIC)
 
     def field() -> bool:
@@ -94,9 +102,57 @@ def is_ssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not (field() and field() and field()) or at + 4 > len(data):
-        return False
+        return 0
     n, at = struct.unpack_from(">I", data, at)[0], at + 4
-    return 1 <= n <= 16 and all(field() for _ in range(n + 1)) and at == len(data)
+    return at if 1 <= n <= 16 and all(field() for _ in range(n + 1)) else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH container that fills ``data``."""
+    return bool(data) and ssh_size(data) == len(data)
+
+
+def _key_kind(data: bytes | None) -> tuple[int, str] | None:
+    if data and is_der_key(data):
+        return 4, "der"
+    return (6, "sshkey") if data and is_ssh_key(data) else None
+
+
+def _size_at(joined: str, at: int) -> int:
+    """Bytes that the key whose base64 starts at ``at`` says it has; 0 if its header is no key's."""
+    if joined[at] == "M":
+        head = _unbase64(joined[at : at + 16]) or b""
+        top = _tlv(head + bytes(2), 0, 1 << 40)
+        return top[2] if top and head[top[1] : top[1] + 2] == b"\x02\x01" else 0
+    left = len(joined) - at
+    return ssh_size(_unbase64(joined[at : at + left - (left % 4 == 1)]) or b"")
+
+
+def keys(text: str, start: int, end: int) -> list[tuple[int, int, str, int]]:
+    """The encoded keys in a run of base64: the whole run, or those that fill whole lines of it."""
+    if kind := _key_kind(_unbase64(text[start:end])):
+        return [(start, *kind, end)]
+    out, cuts = [], [start, *(x for m in DASHES.finditer(text, start, end) for x in m.span()), end]
+    for a, b in zip(cuts[::2], cuts[1::2], strict=True):
+        if b - a < 32:
+            continue
+        lines = [m.span() for m in LINE.finditer(text, a, b)]
+        joined = "".join(text[x:y] for x, y in lines).rstrip("=")
+        at, starts, ends = 0, [], {}
+        for x, y in lines:
+            starts.append((at, x))
+            at = min(at + y - x, len(joined))
+            ends[at] = y
+        used = 0
+        for at, x in starts:
+            if at < used or not KEY_HEAD.match(joined, at):
+                continue
+            size = _size_at(joined, at)
+            stop = at - (-size * 8 // 6)
+            if size and stop in ends and (kind := _key_kind(_unbase64(joined[at:stop]))):
+                out.append((x, *kind, ends[stop]))
+                used = stop
+    return out
 
 
 def is_token(text: str) -> bool:
@@ -117,11 +173,7 @@ def scan(text: str | None) -> list[tuple[int, int, str, int]]:
     out += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
     out += [(m.start(), 3, "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[0])]
     for m in BASE64.finditer(text):
-        data = _unbase64(m[0])
-        if data and is_der_key(data):
-            out.append((m.start(), 4, "der", m.end()))
-        elif data and is_ssh_key(data):
-            out.append((m.start(), 6, "sshkey", m.end()))
+        out += keys(text, *m.span())
     for m in HEX_BYTES.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), 5, "hexder", m.end()))

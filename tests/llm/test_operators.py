@@ -215,6 +215,30 @@ def test_secrets(spark):
     assert got[900][0].spans == "" and len(got[904]) == 2
 
 
+def test_keys_with_text_around():
+    def pem(x, end="\n"):
+        return end.join(x[k : k + 64] for k in range(0, len(x), 64))
+
+    field = lambda x: struct.pack(">I", len(x)) + x
+    ed25519 = der(b"\x02\x01\x00", b"\x30\x05\x06\x03\x2b\x65\x70", b"\x04\x22\x04\x20" + bytes(range(32)))
+    assert len(ed25519) == 48
+    found = [("der", ed25519)] + [("der", der(b"\x02\x01\x00", b"\x02\x82\x01" + bytes([n]) + b"\x9a" * (256 + n))) for n in range(3)]
+    found += [("sshkey", b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(b"k" * 51) + field(b"p" * (136 + n))) for n in range(3)]
+    for kind, key in found:
+        plain = base64.b64encode(key).decode()
+        for body in {plain, pem(plain), pem(plain, "\r\n"), plain.rstrip("="), pem(plain.rstrip("="))}:
+            around = [
+                ("", ""), ("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"),
+                ("key: ", "\nnext words follow"), ("x" * 40 + "\n", "\nword\nand/more"), ("a b\n", "\r\n-----END"),
+            ]
+            for before, after in around:
+                spans = [(k, a, b) for a, _, k, b in secrets.scan(before + body + after) if k in ("der", "sshkey")]
+                assert spans == [(kind, len(before), len(before) + len(body))], (kind, len(key), before, after)
+        bare = plain.rstrip("=")
+        assert [x[2] for x in secrets.scan(f"{bare}\n{bare}\nend") if x[2] != "hex"] == [kind, kind]
+        assert not [x for x in secrets.scan(f"{bare[:-4]}\n-----END") + secrets.scan(f"{bare}AAAA\nword") if x[2] == kind]
+
+
 # byte-level BPE
 
 
