@@ -1,6 +1,6 @@
 """The catalog of detection codes: 82 pattern rules and 35 analyzer codes, with their patterns in the Java dialect.
 
-Patterns are written for a backtracking engine: what repeats inside a repeat is bounded.
+Patterns are written for a backtracking engine: what repeats inside a repeat is possessive.
 """
 
 from __future__ import annotations
@@ -14,11 +14,29 @@ INTERPRETERS = (
     r"|groovy|expect|guile|scala|clojure|clj|racket|chicken|csi|elixir|iex|raku|crystal|babashka|bb|ts-node|tsx|pwsh|(?-i:R))"
 )
 LAUNCHERS = "(?:busybox|toybox|env|command|exec|setsid|stdbuf|nice)"
-_PATH = r"(?:/\S{1,200}/)?"
-#: Up to four launcher words, each with options and assignments, then an optional path.
-BEFORE = rf"(?:{_PATH}{LAUNCHERS}\s+(?:-\S+\s+|\w+=\S*\s+){{0,8}}){{0,4}}{_PATH}"
-SHELL = rf"{BEFORE}\b{SHELLS}\b"
-INTERPRETER = rf"{BEFORE}\b{INTERPRETERS}\b"
+_PATH = r"(?:/\S+/)?"
+#: The same where a match may start anywhere: from the first slash of a token only, as later ones give no other match.
+_FREE_PATH = r"(?:(?<!/\S{0,200})/\S+/)?"
+
+
+def _run(words: str, path: str = _PATH) -> str:
+    """One of ``words``, after any number of launcher words with options and assignments, each with an optional path.
+
+    Tokens split in one way only, so the loops are possessive: they neither recurse nor backtrack. One way passes by
+    tokens that merely start like one of ``words`` (``env sh=1 bash -c``), the other stops there (``env sh=1``)."""
+    end = rf"{_PATH}\b{words}\b"
+    item = r"(?:-\S++\s++|{0}\w++=\S*+\s++)*+"
+    launch = rf"{LAUNCHERS}\s++"
+    past = rf"(?:{_PATH}{launch}{item.format('')})*+"
+    stop = rf"(?:(?!{end}){_PATH}{launch}{item.format(f'(?!{end})')})*+"
+    if path == _PATH:
+        return rf"(?:{past}|{stop}){end}"
+    first = rf"{path}(?:{launch}{item.format('')}{past}{_PATH})?"
+    return rf"{first}\b{words}\b"
+
+
+SHELL, INTERPRETER = _run(SHELLS), _run(INTERPRETERS)
+FREE_SHELL, FREE_INTERPRETER = _run(SHELLS, _FREE_PATH), _run(INTERPRETERS, _FREE_PATH)
 PASTE = r"(?:pastebin\.com|ptpb\.pw|hastebin\.com|paste\.ee|ix\.io|sprunge\.us|termbin\.com|dpaste\.(?:com|org))"
 HOME = r"(?:~|\$HOME|\$\{HOME\})"
 
@@ -127,8 +145,8 @@ RULES: list[Rule] = [
     _r("SRC-009", "high", "network_security", "PI", 94, "disguised address in a URL", r"https?://\[[0-9a-f:.]+\]", r"https?://0x[0-9a-f]{2,8}(?:[:/]|$)", r"https?://\d{8,10}(?:[:/]|$)"),
     _r("OBF-007", "high", "obfuscation", "PI", 506, "printf of escapes", r"\bprintf\b.*(?:\\x[0-9a-f]{1,2}|\\[0-7]{2,3}).*(?:\\x[0-9a-f]{1,2}|\\[0-7]{2,3})"),
     _r("OBF-008", "high", "obfuscation", "PI", 506, "base32 or base16 decoded", r"\b(?:base32|base16|basenc)\b.*(?:-d\b|--decode\b)"),
-    _r("OBF-011", "high", "obfuscation", "PI", 94, "shell fed by a here-string", rf"{SHELL}\s*(?:-\S+\s*)*<<<"),
-    _r("EXEC-002", "critical", "malicious_code", "PI", 494, "shell runs a download", rf"{SHELL}\s+-\w*c\s+[\"']?\$\(\s*(?:curl|wget|aria2c|fetch|http)\b"),
+    _r("OBF-011", "high", "obfuscation", "PI", 94, "shell fed by a here-string", rf"{FREE_SHELL}\s*(?:-\S+\s*)*<<<"),
+    _r("EXEC-002", "critical", "malicious_code", "PI", 494, "shell runs a download", rf"{FREE_SHELL}\s+-\w*c\s+[\"']?\$\(\s*(?:curl|wget|aria2c|fetch|http)\b"),
     _r("EXEC-005", "medium", "malicious_code", "PI", 506, "detached process", rf"\b(?:setsid|nohup)\s+(?:curl\b|wget\b|{SHELLS}\b|/tmp/|\./)"),
     _r("EXEC-006", "high", "malicious_code", "PI", 94, "sqlite shell command", r"\bsqlite3\b.*\.(?:shell|system|import)\b"),
     _r("EXEC-007", "high", "command_injection", "PI", 94, "make reads its file from a pipe", r"\|\s*make\b.*-f\s*(?:-(?:\s|$)|/dev/stdin)"),

@@ -18,7 +18,7 @@ from packsieve.functions import neturl, recipe, textnorm
 from packsieve.functions.deferred import arrow_udf
 from packsieve.functions.severity import RANK, at_least
 from packsieve.operators import catalog
-from packsieve.operators.catalog import INTERPRETER, RULES, SHELL
+from packsieve.operators.catalog import FREE_INTERPRETER, FREE_SHELL, INTERPRETER, RULES, SHELL
 from packsieve.session import ship
 
 LINE_TYPE = "array<struct<line_no:int,raw:string,deobf:string,resolved:string,is_comment:boolean,is_info:boolean>>"
@@ -48,13 +48,13 @@ _FETCH = r"\b(?:curl|wget|aria2c|fetch)\b"
 _NEAR = r"(?:curl|wget|fetch)\b"
 REMOTE_EXEC = "(?i)" + "|".join(
     [
-        rf"{_FETCH}.*\|\s*{SHELL}", rf"{_FETCH}.*\|\s*{INTERPRETER}", rf"{SHELL}\s+<\(\s*{_NEAR}", rf"{INTERPRETER}\s+<\(\s*{_NEAR}",
-        rf"{INTERPRETER}[^\n|]*?(?:\$\(\s*(?:curl|wget|aria2c|fetch|http)|<<<.*\$\(\s*(?:curl|wget|fetch))",
+        rf"{_FETCH}.*\|\s*{SHELL}", rf"{_FETCH}.*\|\s*{INTERPRETER}", rf"{FREE_SHELL}\s+<\(\s*{_NEAR}", rf"{FREE_INTERPRETER}\s+<\(\s*{_NEAR}",
+        rf"{FREE_INTERPRETER}[^\n|]*?(?:\$\(\s*(?:curl|wget|aria2c|fetch|http)|<<<.*\$\(\s*(?:curl|wget|fetch))",
         rf"source\s+<\(\s*{_NEAR}", rf"\beval\s+[\"']?\$\(\s*{_NEAR}", rf"\.\s+<\(\s*{_NEAR}",
     ]
 )
 DECODES = r"(?i)base64\s+(?:-d|--decode|-[a-z]*d)|xxd\s+-r|\bbase32\s+-d|openssl\s+enc\s+.*-d|(?:gunzip|zcat|xz\s+-d|\bunzip)\b|\btr\s+.*\||(?-i:(?:\\x[0-9a-fA-F]{2}){4,})"
-EXECUTES = rf"(?i)\|\s*{SHELL}|\beval\b|{SHELL}\s+-c\b|{SHELL}\s*<<<|source\s+/dev/stdin|/dev/stdin"
+EXECUTES = rf"(?i)\|\s*{SHELL}|\beval\b|{FREE_SHELL}\s+-c\b|{FREE_SHELL}\s*<<<|source\s+/dev/stdin|/dev/stdin"
 BLOB = r"[A-Za-z0-9+/]{200,}={0,2}"
 SPECIAL_MODE = r"(?i)chmod\s+(?:-[a-z]+\s+)*0?[2-7][0-7]{3}\b|chmod\s+[ugoa]*[-+=][rwxt]*s\b|install\s.*-[a-z]*m[=\s]?0?[2-7][0-7]{3}\b"
 
