@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; one that has no other lines goes."""
+    """Documents without boilerplate lines, passages on few sites included; one that has no other lines goes."""
     with Workspace(spark, "stage-lines") as work:
-        gone = settle(linededup.removals(docs, work))
+        gone = settle(linededup.removals(docs, work, passages=True))
     out = linededup.apply_removals(docs, gone)
     left = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     size = F.when(F.col("_ld_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

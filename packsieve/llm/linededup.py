@@ -6,6 +6,10 @@ key whose estimate lies clearly above ``MIN_SITES`` is boilerplate, one clearly
 threshold (``BAND``) get exact distinct counts. Every copy of a boilerplate line goes but the first one (smallest
 document id, then smallest place), so what a site-wide notice says is kept once.
 
+With ``passages``, a line of over ``PASSAGE_WORDS`` words is boilerplate too if it lies on two or more sites, or in
+``PASSAGE_DOCS`` or more documents of one site; both are exact. The pipeline asks for that; the query ``op8_line_dedup``
+has one threshold, as its SQL tells.
+
 Joins are sort-merge joins at every size: what lines and documents meet grows with the corpus.
 
 Defined cases: lines of white space only are never boilerplate; a null text has no lines and stays null; a null site
@@ -21,38 +25,52 @@ from pyspark.sql import functions as F
 from packsieve.llm.shared import Workspace, settle
 
 MIN_SITES = 10
+PASSAGE_WORDS, PASSAGE_DOCS = 50, 10
 BAND = 0.25
 LG_K = 8
+SPACES = "\t\n\x0b\x0c\r"
 
 
-def _exploded(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """A row for each line that is not blank: id, place, line hash, site hash."""
+def _exploded(docs: DataFrame, key: str, text: str, site: str, passages: bool = False) -> DataFrame:
+    """A row for each line that is not blank: id, place, line hash, site hash; with ``passages`` whether it is a long one."""
+    words = F.size(F.split(F.translate("_ld_line", SPACES, " " * len(SPACES)), " +"))
+    long = [((F.length("_ld_line") > 2 * PASSAGE_WORDS) & (words > PASSAGE_WORDS)).alias("_ld_long")] if passages else []
     return (
         docs.select(F.col(key).alias("_ld_id"), F.xxhash64(F.col(site)).alias("_ld_site"), F.posexplode(F.split(text, "\n")).alias("_ld_at", "_ld_line"))
-        .withColumn("_ld_line", F.trim("_ld_line", F.lit(" \t\n\x0b\x0c\r")))
+        .withColumn("_ld_line", F.trim("_ld_line", F.lit(" " + SPACES)))
         .where("_ld_line != ''")
-        .select("_ld_id", "_ld_at", F.xxhash64("_ld_line").alias("_ld_key"), "_ld_site")
+        .select("_ld_id", "_ld_at", F.xxhash64("_ld_line").alias("_ld_key"), "_ld_site", *long)
     )
 
 
-def boilerplate(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, passages: bool = False
+) -> DataFrame:
     """Keys of boilerplate lines and the place of the copy that stays."""
-    lines = _exploded(docs, key, text, site)
-    spread = lines.groupBy("_ld_key").agg(F.hll_sketch_agg("_ld_site", LG_K).alias("_sketch"), F.min(F.col("_ld_id")).alias("_ld_first"))
-    spread = spread.select("_ld_key", F.hll_sketch_estimate("_sketch").alias("_sites"), "_ld_first").where(F.col("_sites") >= min_sites * (1 - BAND))
-    spread = work.table(spread, "spread")
-    near = spread.where(F.col("_sites") <= min_sites * (1 + BAND))
-    exact = (
-        lines.join(near.select("_ld_key").hint("merge"), "_ld_key", "left_semi")
-        .groupBy("_ld_key").agg(F.countDistinct("_ld_site").alias("_n")).where(F.col("_n") >= min_sites)
-    )
-    sure = spread.where(F.col("_sites") > min_sites * (1 + BAND)).select("_ld_key", "_ld_first")
-    return work.table(sure.unionByName(near.join(exact, "_ld_key", "left_semi").select("_ld_key", "_ld_first")), "boilerplate")
-
-
-def removals(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    lines = _exploded(docs, key, text, site, passages)
+    more = [F.max("_ld_long").alias("_long"), (F.min("_ld_site") < F.max("_ld_site")).alias("_two"), F.count("*").alias("_rows")] if passages else []
+    spread = lines.groupBy("_ld_key").agg(F.hll_sketch_agg("_ld_site", LG_K).alias("_sketch"), F.min(F.col("_ld_id")).alias("_ld_first"), *more)
+    spread = spread.withColumn("_sites", F.hll_sketch_estimate("_sketch")).drop("_sketch")
+    some, sure = F.col("_sites") >= min_sites * (1 - BAND), F.col("_sites") > min_sites * (1 + BAND)
+    if passages:
+        some, sure = some | (F.col("_long") & (F.col("_two") | (F.col("_rows") >= PASSAGE_DOCS))), sure | (F.col("_long") & F.col("_two"))
+    spread = work.table(spread.where(some).withColumn("_sure", sure), "spread")
+    near = spread.where("not _sure")
+    counts, enough = [F.countDistinct("_ld_site").alias("_n")], F.col("_n") >= min_sites
+    if passages:
+        # a null id counts as one document
+        counts += [F.countDistinct(F.xxhash64("_ld_id")).alias("_docs"), F.max("_ld_long").alias("_long")]
+        enough = enough | (F.col("_long") & (F.col("_docs") >= PASSAGE_DOCS))
+    exact = lines.join(near.select("_ld_key").hint("merge"), "_ld_key", "left_semi").groupBy("_ld_key").agg(*counts).where(enough)
+    known = spread.where("_sure").select("_ld_key", "_ld_first")
+    return work.table(known.unionByName(near.join(exact, "_ld_key", "left_semi").select("_ld_key", "_ld_first")), "boilerplate")
+
+
+def removals(
+    docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, passages: bool = False
+) -> DataFrame:
     """For each document id that loses lines: the places of those lines, in order."""
-    found = boilerplate(docs, work, key, text, site, min_sites)
+    found = boilerplate(docs, work, key, text, site, min_sites, passages)
     hits = _exploded(docs, key, text, site).select("_ld_id", "_ld_at", "_ld_key").join(found.hint("merge"), "_ld_key")
     per_doc = hits.groupBy("_ld_id").agg(F.collect_list(F.struct("_ld_at", "_ld_key", "_ld_first")).alias("_hits"))
     hits = F.array_sort("_hits")

@@ -30,3 +30,22 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_run_matches_stages(spark):
     assert pipeline.run(spark, D).count() > 0
+
+
+def test_passages_on_few_sites(spark):
+    words = lambda seed, n: " ".join(f"{seed}{k}" for k in range(n))
+    lines = {  # line: sites of its documents
+        words("two", 51): ["a", "b"], words("nine", 60): list("abcdefghi"), words("hot", 80): ["h"] * 10, words("cool", 80): ["h"] * 9, words("fifty", 50): list("abcdefghi"),
+        words("ten", 5): list("abcdefghij"), words("short", 5): ["h"] * 30, words("nulls", 51): [None, "a"], words("alone", 70): ["a"],
+    }
+    rows, gone = [], {}
+    for line, sites in lines.items():
+        enough = len(set(sites)) >= 10 or len(line.split()) > 50 and (len(set(sites)) >= 2 or len(sites) >= 10)
+        for n, site in enumerate(sites):
+            i = len(rows)
+            rows.append((i, f"own {i}\n  {line}\nend {i}", "en", site, 0))
+            gone[i] = enough and n > 0
+    rows.append((len(rows), "\n".join([words("self", 51)] * 12), "en", "a", 0))  # twelve times in one document only
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r.text for r in pipeline.drop_boilerplate(spark, docs, D).collect()}
+    assert got == {i: f"own {i}\nend {i}" if gone.get(i) else t for i, t, *_ in rows}
