@@ -108,6 +108,36 @@ def test_near_duplicates(spark):
     assert minhash.report(df.limit(0)).count() == 0
 
 
+def rows_of(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id is None, r.component_id or 0, r.kept) for r in df.collect())
+
+
+def test_near_duplicates_shared_and_null_ids(spark):
+    """Rows are linked as their own text is, whatever other rows share their id."""
+    a, b = sentence("a", 60), sentence("b", 60)
+    texts = [(1, a), (1, b), (3, b + " y"), (None, b), (None, "alone and without an id"), (4, "unlike the others"), (None, None), (5, a)]
+    got = rows_of(minhash.report(frame(spark, texts)))
+    want = [(False, 1, 58, False, 1, True)] * 2 + [(False, 3, 59, False, 1, False), (True, 0, 58, False, 1, False), (True, 0, 3, True, 0, True)]
+    want += [(False, 4, 1, False, 4, True), (True, 0, 0, True, 0, True), (False, 5, 58, False, 1, False)]
+    assert got == sorted(want)
+
+
+def test_near_duplicates_at_random(spark, monkeypatch):
+    """Groups of copies with edits at many distances, so that pivots settle some members and not others."""
+    monkeypatch.setattr(minhash, "PAIRS_A_SALT", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    rng, texts = random.Random(5), []
+    for g in range(4):
+        base = sentence(f"g{g}", 150).split()
+        for n in range(25):
+            w = list(base)
+            for k in range(rng.randrange(9)):
+                w[rng.randrange(150)] = f"e{g}.{n}.{k}"
+            texts.append((100 * g + n, " ".join(w[: rng.randrange(125, 151)])))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in minhash.report(frame(spark, texts)).collect())
+    assert got == minhash_expected(texts, 3, 85)
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A chain whose ends are not alike, with its buckets cut into blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
