@@ -68,12 +68,13 @@ def protocol(url: Column) -> Column:
 
 def is_vcs(source: Column) -> Column:
     low = F.lower(source["url"])
-    bare = F.regexp_extract(low, "^[^#?]*", 0)
-    return source["protocol"].isin(*VCS) | F.endswith(bare, F.lit(".git"))
+    return source["protocol"].isin(*VCS) | F.contains(low, F.lit("git+http")) | F.endswith(low, F.lit(".git"))
 
 
 def is_pinned(source: Column) -> Column:
-    return is_vcs(source) & F.coalesce(F.exists(F.split(source["fragment"], "[&? ]"), lambda p: F.startswith(p, F.lit("commit=")) | F.startswith(p, F.lit("revision="))), F.lit(False))
+    """Whether a repository's fragment names a revision that can't move."""
+    parts = F.split(F.lower(source["fragment"]), "[&? ]")
+    return is_vcs(source) & F.coalesce(F.exists(parts, lambda p: F.startswith(p, F.lit("commit=")) | F.startswith(p, F.lit("revision="))), F.lit(False))
 
 
 def dep_name(spec: Column) -> Column:

@@ -10,10 +10,10 @@ import re
 MAX_FILE_BYTES = 2 << 20
 MAX_VALUE_BYTES = 512
 #: Words that print, and commands whose here-documents are printed text.
-PRINTERS = frozenset("echo printf print cat msg msg2 warning error note".split())
-HEREDOC_PRINTERS = frozenset("cat echo printf".split())
-BUILD_VARIABLES = frozenset("pkgdir srcdir startdir pkgname pkgver pkgrel pkgbase epoch pkgdesc url source install".split())
-DECLARATIONS = frozenset("local export readonly declare typeset".split())
+PRINTERS = frozenset(["echo", "printf", "print", "cat", "msg", "msg2", "warning", "error", "note"])
+HEREDOC_PRINTERS = frozenset(["cat", "echo", "printf"])
+BUILD_VARIABLES = frozenset(["pkgdir", "srcdir", "startdir", "pkgname", "pkgver", "pkgrel", "pkgbase", "epoch", "pkgdesc", "url", "source", "install"])
+DECLARATIONS = frozenset(["local", "export", "readonly", "declare", "typeset"])
 
 
 def physical_lines(text: str) -> list[str]:

@@ -5,7 +5,7 @@ Patterns are written for a backtracking engine: what repeats inside a repeat is
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Shells and interpreters that can run piped text, and words that start them.
 SHELLS = "(?:elvish|xonsh|ksh93|pdksh|loksh|rbash|bash|dash|mksh|oksh|posh|yash|fish|tcsh|oils|zsh|csh|ksh|ash|oil|osh|nu|sh)"
@@ -16,7 +16,7 @@ INTERPRETERS = (
 LAUNCHERS = "(?:busybox|toybox|env|command|exec|setsid|stdbuf|nice)"
 _PATH = r"(?:/\S+/)?"
 #: The same where a match may start anywhere: from the first slash of a token only, as later ones give no other match.
-_FREE_PATH = r"(?:(?<!/\S{0,200})/\S+/)?"
+_FREE_PATH = r"(?:/(?<!/\S{0,200}/)\S+/)?"
 
 
 def _run(words: str, path: str = _PATH) -> str:
@@ -41,6 +41,23 @@ PASTE = r"(?:pastebin\.com|ptpb\.pw|hastebin\.com|paste\.ee|ix\.io|sprunge\.us|t
 HOME = r"(?:~|\$HOME|\$\{HOME\})"
 
 
+@dataclass(frozen=True)
+class Literal:
+    """A pattern that is a text, wherever it stands in a line."""
+
+    text: str
+    case_sensitive: bool = False
+
+
+@dataclass(frozen=True)
+class Inert:
+    """A pattern on a function's or a variable's name: it is checked when it is read, and matches no line."""
+
+    kind: str
+    name: str
+    value: str | None = None
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -49,18 +66,25 @@ class Rule:
     files: str
     cwe: str | None
     title: str
-    patterns: tuple[str, ...]
+    patterns: tuple[str | Literal | Inert, ...]
     case_sensitive: bool = False
     enabled: bool = True
     recommendation: str = "Read the flagged line and don't build the package unless you can explain it."
-    kinds: tuple[str, ...] = field(default=())
+    description: str = ""
 
     @property
     def file_types(self) -> tuple[str, ...]:
         return tuple(t for k, t in (("P", "pkgbuild"), ("I", "install_script")) if k in self.files)
 
-    def regexes(self) -> list[str]:
-        return [p if self.case_sensitive else "(?i)" + p for p in self.patterns]
+    def regexes(self) -> list[tuple[int, str]]:
+        """(place, expression) of each pattern that matches lines."""
+        out = []
+        for n, p in enumerate(self.patterns):
+            if isinstance(p, str):
+                out.append((n, p if self.case_sensitive else "(?i)" + p))
+            elif isinstance(p, Literal):
+                out.append((n, ("" if p.case_sensitive else "(?i)" if p.text.isascii() else "(?iu)") + "".join(c if c.isalnum() or c == " " or ord(c) > 127 else f"\\{c}" for c in p.text)))
+        return out
 
 
 def _r(id_, severity, category, files, cwe, title, *patterns, exact=False):
@@ -186,7 +210,7 @@ ANALYZER_CODES = [
     ("META-005", "medium", "suspicious_metadata", "odd install file name", "metadata"),
     ("META-006", "medium", "suspicious_metadata", "sensitive file in backup", "metadata"),
     ("DEP-001", "high", "dependencies", "trusted package name provided", "metadata"),
-    ("PROV-001", "high", "malicious_code", "risky behaviour gained", "provenance"),
+    ("PROV-001", "high", "suspicious_metadata", "risky behaviour gained", "provenance"),
     ("TI-VT-001", "critical", "malicious_code", "checksum known as malicious", "threat_intel"),
     ("TI-URLHAUS-001", "critical", "malicious_code", "URL known as malicious", "threat_intel"),
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ INDICATORS = [
     ("file", "scales.bpf.c", "atomic-arch-2026-06"),
     ("package", "librewolf-fix-bin", "chaos-rat-2025-07"), ("package", "firefox-patch-bin", "chaos-rat-2025-07"), ("package", "zen-browser-patched-bin", "chaos-rat-2025-07"),
 ]
+#: Up to so many values are looked for one by one.
+GATE_VALUES = 50
+#: What tokens are cut at: all but letters and digits of any script, and - _ . /
+NOT_TOKEN = r"[^\p{IsAlphabetic}\p{N}\-_./]+"
 INDICATOR_TYPE = "kind string, value string, campaign_id string"
 
 
@@ -35,9 +41,12 @@ def hits(texts: DataFrame, indicators: DataFrame) -> DataFrame:
         texts.where("masked_plain != masked").select("pkg_id", "file", F.posexplode(F.split("masked_plain", "\n")).alias("n", "text"))
     )
     lines = lines.where("text != '' and not ltrim(text) like '#%'")
-    tokens = lines.select("pkg_id", "file", "n", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9\-_./]+"))).alias("value")).where("value != ''")
+    # a few values are looked for in the lines before these are cut into tokens; a long list is not
+    few = [r.value for r in indicators.where("kind in ('npm', 'file')").select("value").limit(GATE_VALUES + 1).collect()]
+    holding = lines if len(few) > GATE_VALUES else lines.where(functools.reduce(lambda a, v: a | F.contains("text", F.lit(v)), few, F.lit(False)))
+    tokens = holding.select("pkg_id", "file", "n", F.explode(F.array_distinct(F.split("text", NOT_TOKEN))).alias("value")).where("value != ''")
     named = tokens.join(indicators.where("kind in ('npm', 'file')"), "value")
-    hosts = lines.select("pkg_id", "file", "n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:[a-z0-9-]+\.)+[a-z]{2,}"), F.lit(0)))).alias("host"))
+    hosts = lines.where("contains(text, '.')").select("pkg_id", "file", "n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:[a-z0-9-]+\.)+[a-z]{2,}"), F.lit(0)))).alias("host"))
     labels = F.split("host", r"\.")
     below = hosts.withColumn("value", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
     sites = below.drop("host").join(indicators.where("kind = 'domain'"), "value")

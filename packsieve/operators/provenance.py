@@ -14,10 +14,15 @@ MARKERS = {
     "pipe-shell": ["| sh", "|sh", "| bash", "|bash"],
     "eval": ["eval "],
     "base64-decode": ["base64 -d", "base64 --decode"],
-    "systemd": ["systemctl enable", "/etc/systemd/system"],
-    "network": ["curl ", "wget "],
-    "ebpf": ["bpf(", ".bpf.c"],
+    "reverse-shell": ["/dev/tcp/"],
+    "ebpf": [".bpf.c", ".bpf.o"],
+    "curl-net": ["curl ", "wget "],
 }
+#: What a report calls them.
+LABELS = {
+    "npm": "npm package install", "pnpm": "pnpm install", "yarn": "yarn install", "bun": "bun install", "pipe-shell": "pipe to shell", "eval": "eval",
+    "base64-decode": "base64 decode", "reverse-shell": "raw TCP socket", "ebpf": "eBPF object", "curl-net": "curl/wget fetch",
+}
 
 
 def markers(text: Column) -> Column:

@@ -1,43 +1,51 @@
 """The scan: package files to findings.
 
 ``files`` has a row per file: pkg_id, file_type (pkgbuild or install_script), file, content. Text state machines run
-once a file in Arrow-batched Python; all else is columns. A package's own checks need no shuffle: they are one array of
-structs per package row. Lines are matched by generated literal patterns behind a keyword gate.
+once a file, all in one Arrow pass (``parse``); all else is columns. A package's own checks need no shuffle: they are one
+array of structs per package row. Lines are matched by generated literal patterns; a pattern is tried only on lines that
+hold one of the pieces it needs, which are derived from the pattern.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from packsieve.functions import neturl, recipe, textnorm
-from packsieve.functions.deferred import arrow_udf
+from packsieve.functions.needles import needles
 from packsieve.functions.severity import RANK, at_least
 from packsieve.operators import catalog
 from packsieve.operators.catalog import FREE_INTERPRETER, FREE_SHELL, INTERPRETER, RULES, SHELL
 from packsieve.session import ship
+from packsieve.store import Workspace
 
-LINE_TYPE = "array<struct<line_no:int,raw:string,deobf:string,resolved:string,is_comment:boolean,is_info:boolean>>"
+#: ``groups``: the pattern groups (see ``pattern_groups``) whose pieces are in the line.
+LINE_TYPE = "array<struct<line_no:int,raw:string,deobf:string,resolved:string,is_comment:boolean,is_info:boolean,groups:array<int>>>"
 HIT_TYPE = "struct<id:string,severity:string,file:string,line:int,column:int,snippet:string,detail:string,ord:int>"
 FINDING_COLUMNS = ["pkg_id", "id", "sev_rank", "severity", "category", "title", "file", "line", "column", "snippet", "detail", "recommendation", "cwe_id", "analyzer_ord", "ord", "pat_idx"]
 
 #: Package names that only their own alternates may claim.
-TRUSTED = (
-    "bash coreutils glibc gcc-libs systemd systemd-libs util-linux shadow filesystem pacman sudo doas openssh gnupg pam grep sed gawk tar gzip xz zstd findutils which less "
-    "procps-ng psmisc iproute2 iputils e2fsprogs krb5 curl wget openssl ca-certificates ca-certificates-mozilla zlib readline ncurses dbus polkit systemd-sysvcompat linux "
-    "linux-firmware mkinitcpio grub pacman-mirrorlist archlinux-keyring apparmor firejail ufw nftables iptables audit usbguard fail2ban clamav firewalld opensnitch selinux tomb"
-).split()
+TRUSTED = [
+    "bash", "coreutils", "glibc", "gcc-libs", "systemd", "systemd-libs", "util-linux", "shadow", "filesystem", "pacman", "sudo", "doas", "openssh",
+    "gnupg", "pam", "grep", "sed", "gawk", "tar", "gzip", "xz", "zstd", "findutils", "which", "less", "procps-ng", "psmisc", "iproute2", "iputils",
+    "e2fsprogs", "krb5", "curl", "wget", "openssl", "ca-certificates", "ca-certificates-mozilla", "zlib", "readline", "ncurses", "dbus", "polkit",
+    "systemd-sysvcompat", "linux", "linux-firmware", "mkinitcpio", "grub", "pacman-mirrorlist", "archlinux-keyring", "apparmor", "firejail", "ufw",
+    "nftables", "iptables", "audit", "usbguard", "fail2ban", "clamav", "firewalld", "opensnitch", "selinux", "tomb",
+]
 #: Files that grant access or run as root.
-SENSITIVE_BACKUP = (
-    "etc/sudoers etc/ssh/ etc/pam.d/ etc/ld.so.preload etc/ld.so.conf etc/profile etc/shadow etc/passwd etc/group etc/gshadow etc/crontab etc/cron.d/ etc/polkit-1/ "
-    "etc/systemd/system/ etc/modprobe.d/ etc/sysctl.d/ etc/security/ root/.ssh/ etc/skel/"
-).split()
+SENSITIVE_BACKUP = [
+    "etc/sudoers", "etc/ssh/", "etc/pam.d/", "etc/ld.so.preload", "etc/ld.so.conf", "etc/profile", "etc/shadow", "etc/passwd", "etc/group",
+    "etc/gshadow", "etc/crontab", "etc/cron.d/", "etc/polkit-1/", "etc/systemd/system/", "etc/modprobe.d/", "etc/sysctl.d/", "etc/security/",
+    "root/.ssh/", "etc/skel/",
+]
 #: Suffixes of alternate packages.
-ALTERNATE = "git bin svn hg bzr cvs nightly beta rc dev devel debug legacy lts stable unstable".split()
+ALTERNATE = ["git", "bin", "svn", "hg", "bzr", "cvs", "nightly", "beta", "rc", "dev", "devel", "debug", "legacy", "lts", "stable", "unstable"]
 #: Parts of source URLs.
 SUSPICIOUS = ["pastebin.com", "paste.ee", "hastebin.com", "0x0.st", "transfer.sh", ".tk", ".ml", ".ga", ".cf"]
 SHORTENERS = ["bit.ly", "t.co", "goo.gl", "tinyurl.com", "is.gd", "cli.gs", "ow.ly"]
@@ -59,57 +67,67 @@ BLOB = r"[A-Za-z0-9+/]{200,}={0,2}"
 SPECIAL_MODE = r"(?i)chmod\s+(?:-[a-z]+\s+)*0?[2-7][0-7]{3}\b|chmod\s+[ugoa]*[-+=][rwxt]*s\b|install\s.*-[a-z]*m[=\s]?0?[2-7][0-7]{3}\b"
 
 
-#: What each rule needs on a line: pieces of its lower-cased text, or short whole words. Rules without either have the
-#: shapes below.
-GATE_PIECES = (
-    "curl wget aria2c axel fetch ncat python socat poetry conda cargo composer deno systemctl crontab monero bitcoin xmrig xmr-stak minerd cpuminer ethminer t-rex nbminer lolminer phoenixminer base64 eval gunzip zcat gzip "
-    "exec bash chmod install pnpm yarn bunx pnpx perl ruby node openssl mkfifo busybox telnet nslookup host printenv useradd usermod passwd permit siglevel setenforce aa-disable iptables trust pacman-key printf base32 "
-    "base16 basenc setsid nohup sqlite3 make logins key3.db key4.db cookies login atomic-lockfile js-digest lockfile-js onbootsec onunitactivesec export "
-    "http:// https:// /dev/ /.ssh /.gnupg .password-store .netrc .aws .kube .mozilla .config/ .local/share/keyrings /opt/ ./ /etc/ /var/spool/cron .timer systemd- /usr/lib/systemd stratum+ supportxmr minexmr "
-    "nanopool.org moneroocean hashvault 2miners wallet discord telegram.org \\x bit.ly t.co/ goo.gl tinyurl.com is.gd cli.gs ow.ly rb.gy duckdns no-ip. ddns.net hopto.org zapto.org dyndns.org dynu. servebeer sytes.net ~/. "
-    "$home ${home} /tmp/ ld_preload path= provides= scales.bpf.c src/hooks/deps hooks.slack .office transfer.sh 0x0.st file.io anonfiles gofile.io catbox.moe bashupload temp.sh ngrok trycloudflare serveo.net kwallet "
-    ".electrum .bitcoin .ethereum nkbihfbeogaeaoehlefnkodbefgpgknn pam_permit index-url --registry pip_ npm_config goproxy <<< $( bc1 /root/. /home/ ca-certificates /ssl/certs /pki/"
-).split()
-GATE_WORDS = "nc pip[23x]? uv pdm go gem xmr btc xxd cp mv npm bun npx php lua [gm]?awk dig env ufw nft gpg2? sh nopasswd".split()
-GATE_SHAPES = r"[\"'][A-Za-z0-9][\"']|\$\{[A-Za-z]\}|4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}|(?i:\b" + catalog.SHELLS + r"\b)"
-
-
 def _sql(text: str) -> str:
     """A SQL string literal; ``${`` is split, as SQL texts have variables in that form replaced."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("${", "$' || '{") + "'"
 
 
-def gate_sql(column: str) -> str:
-    """A condition that every line with a rule hit meets; ``tests`` hold it against examples of the rules."""
-    pieces = " OR ".join(f"contains(lower({column}), {_sql(p)})" for p in GATE_PIECES)
-    return f"({pieces} OR lower({column}) RLIKE {_sql(rf'\b(?:{"|".join(GATE_WORDS)})\b')} OR {column} RLIKE {_sql(GATE_SHAPES)})"
+BODY_TYPE = "array<struct<name:string,line_start:int,body:string,code:string,recipe:boolean>>"
+PARSED_TYPE = (
+    f"pkg_id string, file_type string, file string, lines {LINE_TYPE}, record struct<{recipe.RECIPE_TYPE.replace(' ', ':')}>, bodies {BODY_TYPE}, "
+    "code string, plain string, masked string, masked_plain string"
+)
+#: Files parsed before a batch of results is handed on.
+FILES_A_BATCH = 64
 
 
-@arrow_udf(LINE_TYPE)
-def _lines_of(content):
-    return textnorm.variants(content or "")
+def pattern_groups(rules: list[catalog.Rule]) -> list[tuple[str, ...]]:
+    """The distinct sets of pieces that patterns of ``rules`` need; the empty set is of patterns that need none."""
+    return sorted({needles(p) for r in rules if r.enabled for _, p in r.regexes()})
 
 
-@arrow_udf(f"struct<{recipe.RECIPE_TYPE.replace(' ', ':')}>")
-def _recipe_of(content):
-    return recipe.parse_recipe(content or "")
+def with_groups(lines: list[dict], groups: list[tuple[str, ...]]) -> list[dict]:
+    """The lines of a file, each with the places of the groups that it may match."""
+    texts = ["\n".join(filter(None, (x["raw"], x["deobf"], x["resolved"]))).lower() for x in lines]
+    whole = "\n".join(texts)
+    pieces = [p for p in {p for g in groups for p in g} if p in whole]
+    users: dict[str, list[int]] = {p: [k for k, g in enumerate(groups) if p in g] for p in pieces}
+    free = [k for k, g in enumerate(groups) if not g]
+    return [x | {"groups": sorted({k for p in pieces if p in t for k in users[p]} | set(free))} for x, t in zip(lines, texts, strict=True)]
 
 
-@arrow_udf(recipe.HOOK_TYPE)
-def _hooks_of(content):
-    return recipe.parse_hooks(content)
+def parse_file(file_type: str, content: str, groups: list[tuple[str, ...]]) -> dict:
+    """All that the scan needs of one file: its lines, record, functions or hooks, and texts."""
+    recipe_file = file_type == "pkgbuild"
+    record = recipe.parse_recipe(content) if recipe_file else None
+    found = (record or {}).get("functions", []) if recipe_file else recipe.parse_hooks(content) if file_type == "install_script" else []
+    if record:
+        record = record | {"variables": list(record["variables"].items())}
+    code, masked = textnorm.executable_body(content), textnorm.masked(content)
+    return {
+        "lines": with_groups(textnorm.variants(content), groups), "record": record, "code": code, "plain": textnorm.deobfuscate_text(code), "masked": masked, "masked_plain": textnorm.deobfuscate_text(masked),
+        "bodies": [{"name": f["name"], "line_start": f["line_start"], "body": f["body"], "code": textnorm.executable_body(f["body"]), "recipe": recipe_file} for f in found],
+    }
 
 
-@arrow_udf("string")
-def _body_of(text):
-    return textnorm.executable_body(text or "")
+def _parser(schema: pa.Schema, groups: list[tuple[str, ...]]):
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, FILES_A_BATCH):
+                b = whole.slice(at, FILES_A_BATCH)
+                found = [parse_file(t, c or "", groups) for t, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                made = [pa.array([x[f.name] for x in found], f.type) for f in list(schema)[3:]]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).cast(schema.field(k).type) for k in range(3)), *made], schema=schema)
 
+    return run
 
-@arrow_udf("struct<code:string,plain:string,masked:string,masked_plain:string>")
-def _texts_of(content):
-    code = textnorm.executable_body(content or "")
-    masked = textnorm.masked(content or "")
-    return {"code": code, "plain": textnorm.deobfuscate_text(code), "masked": masked, "masked_plain": textnorm.deobfuscate_text(masked)}
+
+def parse(files: DataFrame, rules: list[catalog.Rule] = RULES) -> DataFrame:
+    """One row per file of bounded size, as ``PARSED_TYPE``, in one pass."""
+    ship(files.sparkSession)
+    rows = bounded(files).select("pkg_id", "file_type", "file", "content")
+    kind = StructType.fromDDL(PARSED_TYPE)
+    return rows.mapInArrow(_parser(to_arrow_schema(kind), pattern_groups(rules)), kind)
 
 
 def bounded(files: DataFrame, limit: int = textnorm.MAX_FILE_BYTES) -> DataFrame:
@@ -122,46 +140,41 @@ def oversized(files: DataFrame, limit: int = textnorm.MAX_FILE_BYTES) -> DataFra
     return files.select("pkg_id", "file", bad.alias("reason")).where("reason is not null")
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """The fact table: a row per logical line with its variants and flags."""
-    ship(files.sparkSession)
-    return bounded(files).select("pkg_id", "file_type", "file", F.inline(_lines_of("content")))
-
-
 @dataclass
 class Context:
-    """Lazily built tables of a scan; those made by Python are kept for their several readers."""
+    """The tables of a scan, all taken from one table of parsed files. With a workspace that table is written and read
+    again, and its readers take only the columns they need; without one it is kept by the session."""
 
     files: DataFrame
+    work: Workspace | None = None
+    rules: list[catalog.Rule] = field(default_factory=lambda: RULES)
 
     @cached_property
+    def parsed(self) -> DataFrame:
+        rows = parse(self.files, self.rules)
+        return self.work.table(rows, "parsed") if self.work else rows.persist()
+
+    @property
     def lines(self) -> DataFrame:
-        return lines(self.files).persist()
+        """The fact table: a row per logical line with its variants and flags."""
+        return self.parsed.select("pkg_id", "file_type", "file", F.inline("lines"))
 
-    @cached_property
+    @property
     def packages(self) -> DataFrame:
-        ship(self.files.sparkSession)
-        rows = bounded(self.files).where("file_type = 'pkgbuild'").select("pkg_id", "file", _recipe_of("content").alias("r"))
-        return rows.where("r is not null").select("pkg_id", "file", "r.*").persist()
-
-    @cached_property
-    def hooks(self) -> DataFrame:
-        rows = bounded(self.files).where("file_type = 'install_script'")
-        return rows.select("pkg_id", "file", F.inline(_hooks_of("content"))).withColumn("code", _body_of("body")).persist()
+        return self.parsed.where("record is not null").select("pkg_id", "file", "record.*")
 
-    @cached_property
-    def functions(self) -> DataFrame:
-        return self.packages.select("pkg_id", "file", F.inline("functions")).withColumn("code", _body_of("body")).persist()
+    @property
+    def bodies(self) -> DataFrame:
+        """Functions of recipes and hooks, with their executable code."""
+        return self.parsed.select("pkg_id", "file", F.inline("bodies"))
 
-    @cached_property
+    @property
     def texts(self) -> DataFrame:
-        ship(self.files.sparkSession)
-        return bounded(self.files).select("pkg_id", "file_type", "file", _texts_of("content").alias("t")).select("pkg_id", "file_type", "file", "t.*").persist()
+        return self.parsed.select("pkg_id", "file_type", "file", "code", "plain", "masked", "masked_plain")
 
     def unpersist(self) -> None:
-        for name in ("lines", "packages", "hooks", "functions", "texts"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
+        if not self.work and "parsed" in self.__dict__:
+            self.parsed.unpersist()
 
 
 def _hit(id_, severity, file=None, line=None, column=None, snippet=None, detail=None, ord_=0) -> Column:
@@ -177,20 +190,40 @@ def _byte_column(text: Column, pattern: Column) -> Column:
     return (F.octet_length(F.substring(text, F.lit(1), at - 1)) + 1).cast("int")
 
 
-def rule_matches(line_table: DataFrame, rules: list[catalog.Rule] | None = None) -> DataFrame:
-    """One row per (line, rule, pattern) that matches; the first of raw, deobf and resolved counts."""
+def held(text: str, pieces: tuple[str, ...]) -> str:
+    """The SQL condition that a lower-case text holds one of the pieces; true without pieces."""
+    return "(" + (" OR ".join(f"contains({text}, {_sql(p)})" for p in pieces) or "true") + ")"
+
+
+def may_match(text: str, pattern: str) -> Column:
+    """A cheap condition that every text matching the pattern meets."""
+    return F.expr(held(f"lower({text})", needles(pattern)))
+
+
+def rule_matches(line_table: DataFrame, rules: list[catalog.Rule] | None = None, gated: bool = True) -> DataFrame:
+    """One row per (line, rule, pattern) that matches; the first of raw, deobf and resolved counts.
+
+    A line meets the patterns of its groups, as the parse of its file told them for the same rules; lines of other tables
+    are searched for the pieces here.
+    """
     rules = [r for r in (RULES if rules is None else rules) if r.enabled]
-    live = line_table.where("not is_comment and not is_info")
-    if rules is RULES or all(r in RULES for r in rules):
-        live = live.where(" OR ".join(f"coalesce({gate_sql(v)}, false)" for v in ("raw", "deobf", "resolved")))
-    hits = []
+    live, told_groups = line_table.where("not is_comment and not is_info"), gated and "groups" in line_table.columns
+    if told_groups:
+        live = live.where("size(groups) > 0")
+        place = {g: k for k, g in enumerate(pattern_groups(rules))}
+    else:
+        live = live.withColumn("_low", F.lower(F.concat_ws("\n", "raw", "deobf", "resolved")))
+    gate = lambda pieces: f"array_contains(groups, {place[pieces]})" if told_groups else held("_low", pieces)
+    known, groups = [], {}
     for n, r in enumerate(rules):
         types = ", ".join(f"'{t}'" for t in r.file_types)
-        for i, p in enumerate(r.regexes()):
+        for i, p in r.regexes():
+            known.append((n, i, r.id, r.severity, p))
             tests = " ".join(f"WHEN {v} RLIKE {_sql(p)} THEN named_struct('ord', {n}, 'pat_idx', {i}, 'variant', '{v}')" for v in ("raw", "deobf", "resolved"))
-            hits.append(f"CASE WHEN file_type NOT IN ({types}) THEN NULL {tests} END")
-    told = live.withColumn("hit", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))"))).select("pkg_id", "file_type", "file", "line_no", "raw", "deobf", "resolved", "hit.*")
-    known = [(n, i, r.id, r.severity, p) for n, r in enumerate(rules) for i, p in enumerate(r.regexes())]
+            groups.setdefault(needles(p) if gated else (), []).append(f"CASE WHEN file_type NOT IN ({types}) THEN NULL {tests} END")
+    hits = ", ".join(f"CASE WHEN {gate(pieces)} THEN array({', '.join(cases)}) END" for pieces, cases in groups.items())
+    found = F.expr(f"array_compact(flatten(array_compact(array({hits}))))" if groups else "cast(array() as array<struct<ord:int,pat_idx:int,variant:string>>)")
+    told = live.withColumn("hit", F.explode(found)).select("pkg_id", "file_type", "file", "line_no", "raw", "deobf", "resolved", "hit.*")
     dim = line_table.sparkSession.createDataFrame(known, "ord int, pat_idx int, id string, severity string, pattern string")
     text = F.when(F.col("variant") == "raw", F.col("raw")).when(F.col("variant") == "deobf", F.col("deobf")).otherwise(F.col("resolved"))
     out = told.join(F.broadcast(dim), ["ord", "pat_idx"])  # a row per pattern of the catalog
@@ -231,9 +264,11 @@ def package_hits(packages: DataFrame) -> DataFrame:
             "_provided": displaced(c("pkgname"), c("provides")),
             "_most": F.greatest(*map(F.size, sums)),
             "_bad": F.concat(*[F.filter(a, _malformed(n)) for n, a in zip(SUM_LENGTHS.values(), sums, strict=True)]),
-            "_forge": neturl.forge(neturl.host(c("url"))),
+            "_host": neturl.host(c("url")),
         }
     )
+    # from a column of its own: a host is a long expression, and a forge reads it many times
+    df = df.withColumn("_forge", neturl.forge(c("_host")))
     df = df.withColumn("_open", F.size(F.filter("_plain", lambda s: ~F.exists(F.array(*sums), lambda a: F.get(a, s["i"]).isNotNull()))))
     df = df.withColumn("_other", F.get(F.filter("_plain", lambda s: neturl.forge(s["host"]).isNotNull() & (neturl.forge(s["host"]) != c("_forge"))), F.lit(0)))
     none = F.lit(None).cast("string")
@@ -271,15 +306,13 @@ def package_hits(packages: DataFrame) -> DataFrame:
     return df.select("pkg_id", F.explode(F.concat(*hits)).alias("h")).select("pkg_id", "h.*")
 
 
-def privilege_hits(ctx: Context) -> DataFrame:
-    f = ctx.functions.select("pkg_id", "file", "name", F.col("line_start").alias("line"), "code", F.lit(True).alias("recipe"))
-    h = ctx.hooks.select("pkg_id", "file", "name", F.col("line_start").alias("line"), "code", F.lit(False).alias("recipe"))
-    code, where = F.col("code"), {"file": F.col("file"), "line": F.col("line"), "detail": F.col("name")}
+def privilege_hits(bodies: DataFrame) -> DataFrame:
+    code, where = F.col("code"), {"file": F.col("file"), "line": F.col("line_start"), "detail": F.col("name")}
     build = F.col("name").isin("build", "package") | F.startswith("name", F.lit("package_"))
     tests = [
         (code.rlike(r"(?i)\bsudo\b") & F.col("recipe"), _hit("PRIV-001", F.when(build, "critical").otherwise("high"), **where)),
         (code.rlike(r"(?i)\bsudo\b") & ~F.col("recipe"), _hit("PRIV-006", "high", **where)),
-        (code.rlike(SPECIAL_MODE), _hit("PRIV-002", "critical", **where)),
+        (may_match("code", SPECIAL_MODE) & code.rlike(SPECIAL_MODE), _hit("PRIV-002", "critical", **where)),
         (code.rlike(r"(?i)/etc/sudoers") & F.col("recipe"), _hit("PRIV-003", "critical", **where)),
         (code.rlike(r"(?i)setcap\s+"), _hit("PRIV-004", "medium", **where)),
         (code.rlike(r"insmod|modprobe|/lib/modules"), _hit("PRIV-005", "high", **where)),
@@ -287,15 +320,15 @@ def privilege_hits(ctx: Context) -> DataFrame:
     # special modes, capabilities and modules are looked for in recipe functions only
     tests = [(t & F.col("recipe") if n > 1 else t, x) for n, (t, x) in enumerate(tests)]
     hits = F.array_compact(F.array(*[F.when(t, x) for t, x in tests]))
-    return f.unionByName(h).select("pkg_id", F.explode(hits).alias("h")).select("pkg_id", "h.*")
+    return bodies.select("pkg_id", F.explode(hits).alias("h")).select("pkg_id", "h.*")
 
 
-def function_hits(ctx: Context) -> DataFrame:
+def function_hits(bodies: DataFrame) -> DataFrame:
     """FUNC-001: downloads in build and package functions, unless a comment in the body names the command."""
     low = F.lower(F.col("body"))
     commands = F.filter(F.array(*map(F.lit, ["curl", "wget", "fetch"])), lambda k: (F.contains(low, F.concat(k, F.lit(" "))) | F.contains(low, F.concat(F.lit("$"), k))) & ~F.contains(low, F.concat(F.lit("# "), k)))
     build = F.col("name").isin("build", "package") | F.startswith("name", F.lit("package_"))
-    rows = ctx.functions.where(build).select("pkg_id", "file", "line_start", "name", F.explode(commands).alias("k"))
+    rows = bodies.where(build & F.col("recipe")).select("pkg_id", "file", "line_start", "name", F.explode(commands).alias("k"))
     return rows.select("pkg_id", _hit("FUNC-001", "high", F.col("file"), F.col("line_start"), detail=F.col("k"), snippet=F.col("name")).alias("h")).select("pkg_id", "h.*")
 
 
@@ -303,20 +336,24 @@ def remote_exec_hits(line_table: DataFrame) -> DataFrame:
     live = line_table.where("not is_comment and not is_info")
     text = F.when(F.col("raw").rlike(REMOTE_EXEC), F.col("raw")).when(F.col("deobf").rlike(REMOTE_EXEC), F.col("deobf"))
     urls = F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit("https?://[^\\s\"'`|)><(]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[;&,.\\}]+$", "")))
-    gate = F.col("raw").rlike("(?i)curl|wget|aria2c|fetch|http") | F.coalesce(F.col("deobf").rlike("(?i)curl|wget|aria2c|fetch|http"), F.lit(False))
+    gate = may_match("raw", REMOTE_EXEC) | F.coalesce(may_match("deobf", REMOTE_EXEC), F.lit(False))
     rows = live.where(gate).withColumn("_t", text).where("_t is not null")
     return rows.select("pkg_id", _hit("EXEC-REMOTE", "critical", F.col("file"), F.col("line_no"), snippet=F.trim("_t"), detail=F.array_join(urls, " ")).alias("h")).select("pkg_id", "h.*")
 
 
 def deep_hits(texts: DataFrame) -> DataFrame:
-    """Decoding and executing anywhere in a package's code, which is its recipe and hook joined."""
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("file_type") != "pkgbuild", "file", "code"))), lambda x: x["code"]), "\n")
-    plain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("file_type") != "pkgbuild", "file", "plain"))), lambda x: x["plain"]), "\n")
-    per = texts.groupBy("pkg_id").agg(code.alias("code"), plain.alias("plain"), F.min(F.when(F.col("file_type") == "pkgbuild", F.col("file"))).alias("file"))
-    both = (F.col("code").rlike(DECODES) | F.col("plain").rlike(DECODES)) & (F.col("code").rlike(EXECUTES) | F.col("plain").rlike(EXECUTES))
-    blob = F.length(F.regexp_extract("code", BLOB, 0))
-    hits = F.array_compact(F.array(F.when(both, _hit("DEEP-001", "critical", F.col("file"))), F.when(blob > 0, _hit("DEEP-002", "high", F.col("file"), detail=blob))))
-    return per.select("pkg_id", F.explode(hits).alias("h")).select("pkg_id", "h.*")
+    """Decoding and executing anywhere in a package's code, whichever of its files does either; long encoded blobs.
+
+    Each text is judged where it is, and only texts of packages that decode are searched for what executes.
+    """
+    holds = lambda pattern: (may_match("code", pattern) & F.col("code").rlike(pattern)) | (may_match("plain", pattern) & F.col("plain").rlike(pattern))
+    first = texts.groupBy("pkg_id").agg(F.min(F.when(F.col("file_type") == "pkgbuild", F.col("file"))).alias("file"))
+    decoding = texts.where(holds(DECODES)).groupBy("pkg_id").agg(F.count("*").alias("n"))
+    # a condition on the join's own column, so that the dear pattern isn't moved in front of the join
+    both = texts.join(decoding, "pkg_id").where(F.when(F.col("n") > 0, holds(EXECUTES))).select("pkg_id").distinct().select("pkg_id", _hit("DEEP-001", "critical").alias("h"))
+    blobs = texts.select("pkg_id", (F.col("file_type") != "pkgbuild").alias("hook"), "file", F.length(F.regexp_extract("code", BLOB, 0)).alias("blob")).where("blob > 0")
+    blobs = blobs.groupBy("pkg_id").agg(F.min(F.struct("hook", "file", "blob")).alias("b")).select("pkg_id", _hit("DEEP-002", "high", detail=F.col("b.blob")).alias("h"))
+    return both.unionByName(blobs).select("pkg_id", "h.*").drop("file").join(first, "pkg_id").select("pkg_id", "id", "severity", "file", "line", "column", "snippet", "detail", "ord")
 
 
 def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "low") -> DataFrame:
@@ -325,13 +362,13 @@ def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "lo
 
     spark = ctx.files.sparkSession
     parts = [
-        ("pattern", rule_matches(ctx.lines).drop("file_type", "variant")),
-        ("pattern", function_hits(ctx)),
+        ("pattern", rule_matches(ctx.lines, ctx.rules).drop("file_type", "variant")),
+        ("pattern", function_hits(ctx.bodies)),
         ("ioc", ioc_op.hits(ctx.texts, ioc if ioc is not None else ioc_op.default_indicators(spark))),
         ("deep", deep_hits(ctx.texts)),
         ("remote_exec", remote_exec_hits(ctx.lines)),
         ("checksum", package_hits(ctx.packages)),
-        ("privilege", privilege_hits(ctx)),
+        ("privilege", privilege_hits(ctx.bodies)),
     ]
     order = {a: n for n, a in enumerate(catalog.ANALYZERS)}
     both = None

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from packsieve.functions import neturl
 from packsieve.operators import catalog, gates, graph, ioc, provenance, report, scan, verdicts
+from packsieve.sources import packages
 from packsieve.sources.scripts import scripts, scripts_sql
+from packsieve.store import Workspace, settle, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,39 +140,40 @@ def component_scan_rollup(spark, d):
 # the whole engine over scripts: state machines have no SQL, tests hold them against fixtures
 
 
-def _context(spark, d):
-    return scan.Context(scripts(_t(spark, d, "documents")))
+def _scanned(spark, d, f):
+    """``f`` of the scan of all scripts, whose parsed files are kept in the shared folder until it is computed."""
+    with Workspace(spark, "scan") as work:
+        return settle(f(scan.Context(packages.spread(scripts(_t(spark, d, "documents"))), work)))
 
 
 @query()
 def scan_findings(spark, d):
-    return scan.findings(_context(spark, d))
+    return _scanned(spark, d, scan.findings)
 
 
 @query()
 def deobf_match(spark, d):
-    m = scan.rule_matches(_context(spark, d).lines)
-    return m.groupBy("id", "variant").agg(F.count("*").alias("n"))
+    return _scanned(spark, d, lambda c: scan.rule_matches(c.lines).groupBy("id", "variant").agg(F.count("*").alias("n")))
 
 
 @query()
 def informational_mask(spark, d):
-    return _context(spark, d).lines.groupBy("is_comment", "is_info").agg(F.count("*").alias("n"), F.count("deobf").alias("n_deobf"), F.count("resolved").alias("n_resolved"))
+    return _scanned(spark, d, lambda c: c.lines.groupBy("is_comment", "is_info").agg(F.count("*").alias("n"), F.count("deobf").alias("n_deobf"), F.count("resolved").alias("n_resolved")))
 
 
 @query()
 def sarif_report(spark, d):
-    return report.sarif(scan.findings(_context(spark, d)))
+    return _scanned(spark, d, lambda c: report.sarif(scan.findings(c)))
 
 
 @query()
 def text_report(spark, d):
-    return report.text(scan.findings(_context(spark, d)))
+    return _scanned(spark, d, lambda c: report.text(scan.findings(c)))
 
 
 @query()
 def json_report(spark, d):
-    return report.scan_json(scan.findings(_context(spark, d)))
+    return _scanned(spark, d, lambda c: report.scan_json(scan.findings(c)))
 
 
 # text shapes
@@ -352,8 +355,7 @@ _REACH = f"WITH RECURSIVE {_EDGES}, r AS (SELECT max(p_partkey) AS name, 0 AS de
 
 
 def _closure(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packsieve-"))
+    shared_dir(spark)
     p = _t(spark, d, "part")
     e = p.select(F.col("p_partkey").alias("parent"), F.explode(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3))).alias("child")).where("child > 0").distinct()
     return graph.closure(e, p.agg(F.max("p_partkey").alias("name")), max_nodes=None), e

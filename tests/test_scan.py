@@ -104,10 +104,10 @@ def test_launchers_without_bounds(spark):
     ]
     misses = ["env A=1 B=2 cat", f"env {many} cat", "cat sh", "env " * 3000 + "cat"]
     lines = spark.createDataFrame([(n, f"curl x | {t}") for n, t in enumerate(hits + misses)], "n int, t string")
-    dle = next(r for r in catalog.RULES if r.id == "DLE-001").regexes()[0]
+    dle = next(r for r in catalog.RULES if r.id == "DLE-001").regexes()[0][1]
     for pattern in (dle, scan.REMOTE_EXEC, scan.EXECUTES):
         assert sorted(r.n for r in lines.where(F.col("t").rlike(pattern)).collect()) == list(range(len(hits)))
     here = spark.createDataFrame([(n, f"{t} <<< x") for n, t in enumerate(["/a/env A=1 env /b/sh", "x/a/b/sh", f"env {many} bash", "cat"])], "n int, t string")
-    obf = next(r for r in catalog.RULES if r.id == "OBF-011").regexes()[0]
+    obf = next(r for r in catalog.RULES if r.id == "OBF-011").regexes()[0][1]
     starts = {r.n: r.s for r in here.select("n", F.length(F.regexp_extract("t", obf, 0)).alias("s")).collect()}
     assert starts == {0: len("/a/env A=1 env /b/sh <<<"), 1: len("/a/b/sh <<<"), 2: len(f"env {many} bash <<<"), 3: 0}

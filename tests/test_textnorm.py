@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 
 from packsieve.functions import recipe, textnorm
+from packsieve.functions.needles import needles
 from packsieve.operators import catalog, graph, scan
 
 
@@ -80,20 +82,47 @@ EXAMPLES = [
 ]
 
 
+def line_table(spark, texts, types=("pkgbuild", "install_script")):
+    rows = [("p", t, "f", n, x, None, None, False, False) for n, x in enumerate(texts) for t in types]
+    return spark.createDataFrame(rows, "pkg_id string, file_type string, file string, line_no int, raw string, deobf string, resolved string, is_comment boolean, is_info boolean")
+
+
 def test_gate_lets_every_rule_through(spark):
-    """Every line that some rule matches passes the keyword gate, and the examples reach most rules."""
-    rows = [("p", t, "f", n, x, None, None, False, False) for n, x in enumerate(EXAMPLES) for t in ("pkgbuild", "install_script")]
-    lines = spark.createDataFrame(rows, "pkg_id string, file_type string, file string, line_no int, raw string, deobf string, resolved string, is_comment boolean, is_info boolean")
-    gated = {(r.id, r.line, r.file_type) for r in scan.rule_matches(lines).collect()}
-    copies = [catalog.Rule(**{**r.__dict__, "title": "copy"}) for r in catalog.RULES]  # not the catalog's own: no gate
-    free = {(r.id, r.line, r.file_type) for r in scan.rule_matches(lines, copies).collect()}
+    """Lines meet the same rules with and without gates, and the examples reach most rules."""
+    lines = line_table(spark, EXAMPLES + [x.upper() for x in EXAMPLES])
+    gated = {(r.id, r.pat_idx, r.line, r.file_type) for r in scan.rule_matches(lines).collect()}
+    free = {(r.id, r.pat_idx, r.line, r.file_type) for r in scan.rule_matches(lines, gated=False).collect()}
     assert gated == free
-    assert len({i for i, _, _ in free}) >= 70
+    assert len({i for i, *_ in free}) >= 70
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [
+        (r"(?i)\bcurl\b.*\|\s*(?:sh|bash)", {"curl"}), (r"a|bc+d", {"a", "b"}), (r"(?:x|[^y])z?", set()), (r"(?:ab){2,}c*", {"ab"}), (r"[\"'][A-Z]", {'"', "'"}), (r"(?:ab)*", set()), (r"(?=abc)d", {"d"}),
+        (r"K(?-i:EY)", {"k", "ey"}), ("[", set()), (r"\w+\s", set()), (r"(?:a++b|cd)", {"a", "cd"}), ("é", set()),
+    ],
+)
+def test_needles(pattern, want):
+    assert set(needles(pattern)) <= want and bool(needles(pattern)) == bool(want)
+
+
+def test_needles_are_in_every_match():
+    """Texts made of a pattern's own pieces: whatever matches holds a needle."""
+    rng = random.Random(2)
+    for rule in catalog.RULES:
+        for _, p in rule.regexes():
+            expression, pieces = re.compile(re.sub(r"\(\?<!/\\S\{0,200\}/\)", "", p)), needles(p)
+            for text in EXAMPLES:
+                for _ in range(3):
+                    k = rng.randrange(len(text) + 1)
+                    mixed = "".join(rng.choice((c.upper(), c.lower())) for c in text[:k] + rng.choice(EXAMPLES))
+                    if pieces and expression.search(mixed):
+                        assert any(x in mixed.lower() for x in pieces), (p, mixed)
 
 
 def test_patterns_end_on_long_lines(spark):
-    long = ["curl " + "env -i " * 2000 + "| x", "/" * 5000, "a=" + "'a" * 4000, "${a}" * 3000 + "!" * 3000, "curl " + "| busybox " * 1500]
-    rows = [("p", "install_script", "f", n, x, None, None, False, False) for n, x in enumerate(long)]
-    lines = spark.createDataFrame(rows, "pkg_id string, file_type string, file string, line_no int, raw string, deobf string, resolved string, is_comment boolean, is_info boolean")
-    assert scan.rule_matches(lines).count() >= 0
-    assert re.compile("x")
+    """Long lines that could make a pattern go back and forth: each ends, with the hits it should have."""
+    long = ["curl " + "env -i " * 2000 + "| x", "/" * 5000, "a=" + "'a" * 4000, "${a}" * 3000 + "!" * 3000, "curl " + "| busybox " * 1500 + "| sh"]
+    got = {(r.line, r.id) for r in scan.rule_matches(line_table(spark, long, ["install_script"])).collect()}
+    assert got == {(0, "INSTALL-003"), (3, "OBF-004"), (4, "INSTALL-003"), (4, "DLE-001")}
