@@ -66,6 +66,14 @@ def protocol(url: Column) -> Column:
     return out
 
 
+def source(item: Column) -> Column:
+    """A source entry as a struct: url, filename before ``::`` if there is one, protocol, and what stands between the first
+    two ``#``."""
+    named = F.instr(item, "::") > 0
+    url = F.when(named, F.substring(item, F.instr(item, "::") + 2, F.length(item))).otherwise(item)
+    return F.struct(url.alias("url"), F.when(named, F.substring_index(item, "::", 1)).alias("filename"), protocol(url).alias("protocol"), F.get(F.split(url, "#"), F.lit(1)).alias("fragment"))
+
+
 def is_vcs(source: Column) -> Column:
     low = F.lower(source["url"])
     return source["protocol"].isin(*VCS) | F.contains(low, F.lit("git+http")) | F.endswith(low, F.lit(".git"))

@@ -47,3 +47,27 @@ def membership(official: Column, lookup: Column) -> Column:
 
 def risk_score(malicious: Column, suspicious: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100).cast("long"), F.floor((100 * malicious + 50 * suspicious) / total))).otherwise(F.lit(0).cast("long"))
+
+
+def malicious(malicious_count: Column, suspicious_count: Column) -> Column:
+    """Whether a verdict's counts make it a malicious one."""
+    return (malicious_count > 0) | (suspicious_count > 2)
+
+
+def check_outcome(tripped: Column, threshold: Column, failures: Column, declined: Column) -> Column:
+    """A check fails if the gate trips, if a threshold was given and something couldn't be fetched, or if the user says no."""
+    return F.when(tripped | (threshold.isNotNull() & (failures > 0)) | declined, "fail").otherwise("pass")
+
+
+def consent(noconfirm: Column, tty: Column, answer: Column) -> Column:
+    """Whether to go on: without asking if told so, by the answer at a terminal, never unasked elsewhere."""
+    yes = F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin("y", "yes")
+    return F.when(noconfirm, "proceed").when(tty & yes, "proceed").otherwise("abort")
+
+
+def transaction(targets: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One outcome per transaction: the worst of its targets' (name) outcomes; a target without a verdict aborts."""
+    rank = F.create_map(*[F.lit(x) for kv in {"proceed": 0, "warn": 1, "abort": 2}.items() for x in kv])
+    told = targets.join(verdicts.select("name", "outcome"), "name", "left")
+    worst = F.max(F.coalesce(rank[F.col("outcome")], F.lit(2)))
+    return told.groupBy("transaction").agg(F.count("*").alias("n_targets"), F.element_at(F.array(F.lit("proceed"), F.lit("warn"), F.lit("abort")), worst + 1).alias("outcome"))

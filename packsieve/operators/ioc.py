@@ -25,6 +25,28 @@ def default_indicators(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INDICATORS, INDICATOR_TYPE)
 
 
+CAMPAIGN_TYPE = "id string, name string"
+
+
+def default_campaigns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CAMPAIGNS, CAMPAIGN_TYPE)
+
+
+def merge_campaigns(*tables: DataFrame) -> DataFrame:
+    """Union of campaign tables; of one id the first table's row stays."""
+    both = None
+    for n, t in enumerate(tables):
+        t = t.withColumn("_from", F.lit(n))
+        both = t if both is None else both.unionByName(t)
+    first = Window.partitionBy("id").orderBy("_from")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_from")
+
+
+def with_campaigns(hits_: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Rows with a campaign_id, and the name of the campaign where it is known."""
+    return hits_.join(campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign")), "campaign_id", "left")
+
+
 def merge(*tables: DataFrame) -> DataFrame:
     """Union of indicator tables; of one kind and value the last table's row stays."""
     both = None

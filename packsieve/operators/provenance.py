@@ -40,3 +40,43 @@ def gained(snapshots: DataFrame, key: str = "package", version: str = "version",
     changed = snapshots.withColumn("_was", F.lag(digest).over(order)).where(F.col("_was").isNull() | (F.col("_was") != F.col(digest)))
     before = changed.withColumn("_before", F.lag(marks).over(order))
     return before.where("_before is not null").select(key, version, F.array_sort(F.array_except(marks, "_before")).alias("gained")).where("size(gained) > 0")
+
+
+def known_state(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored baseline, from rows (package, record: JSON), and the rows that can't be read, to be put aside.
+
+    The state is (package, digest, markers, last_seen). A row that is no JSON or lacks a part is quarantined, so that its
+    package starts anew and the loss is seen.
+    """
+    told = raw.withColumn("_r", F.from_json("record", "digest string, markers array<string>, last_seen string"))
+    good = F.coalesce(F.col("_r.digest").isNotNull() & F.col("_r.markers").isNotNull(), F.lit(False))
+    return told.where(good).select("package", "_r.*"), told.where(~good).select("package", "record")
+
+
+def stored(state: DataFrame) -> DataFrame:
+    """The rows that ``known_state`` reads."""
+    return state.select("package", F.to_json(F.struct("digest", "markers", "last_seen")).alias("record"))
+
+
+def snapshots(files: DataFrame, now: Column) -> DataFrame:
+    """(package, file, digest, markers, last_seen) of contents (pkg_id, file, content)."""
+    return files.select(F.col("pkg_id").alias("package"), "file", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), markers(F.col("content")).alias("markers"), now.alias("last_seen"))
+
+
+def findings(current: DataFrame, state: DataFrame) -> DataFrame:
+    """PROV-001 for each package whose content shows markers that its stored snapshot lacks; a first sight is no finding."""
+    was = state.select("package", F.col("markers").alias("_was"), F.col("last_seen").alias("_seen"))
+    rows = current.join(was, "package").withColumn("_new", F.array_sort(F.array_except("markers", "_was"))).where("size(_new) > 0")
+    names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return rows.select(
+        F.col("package").alias("pkg_id"), F.lit("PROV-001").alias("id"), F.lit("high").alias("severity"), "file", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"),
+        F.lit(None).cast("string").alias("snippet"), F.array_join(F.transform("_new", lambda m: names[m]), ", ").alias("detail"), F.lit(0).alias("ord"),
+    )
+
+
+def next_state(current: DataFrame, state: DataFrame) -> DataFrame:
+    """The baseline after a scan: changed and new packages with what they are now, others as they were."""
+    now = current.select("package", *[F.col(c).alias(f"_{c}") for c in ("digest", "markers", "last_seen")])
+    both = state.join(now, "package", "full_outer")
+    same = F.col("_digest").isNull() | F.col("digest").eqNullSafe(F.col("_digest"))
+    return both.select("package", *[F.when(same, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("digest", "markers", "last_seen")])

@@ -356,9 +356,14 @@ def deep_hits(texts: DataFrame) -> DataFrame:
     return both.unionByName(blobs).select("pkg_id", "h.*").drop("file").join(first, "pkg_id").select("pkg_id", "id", "severity", "file", "line", "column", "snippet", "detail", "ord")
 
 
-def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "low") -> DataFrame:
-    """All findings at or above a severity, with the order of a report in analyzer_ord, ord, line and pat_idx."""
+def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "low", verdicts: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """All findings at or above a severity, with the order of a report in analyzer_ord, ord, line and pat_idx.
+
+    With ``verdicts`` (provider, subject, malicious, suspicious) sources are looked up; with ``baseline``, the state of
+    ``provenance``, behaviour that a package gained since is a finding.
+    """
     from packsieve.operators import ioc as ioc_op
+    from packsieve.operators import provenance, threat
 
     spark = ctx.files.sparkSession
     parts = [
@@ -370,6 +375,10 @@ def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "lo
         ("checksum", package_hits(ctx.packages)),
         ("privilege", privilege_hits(ctx.bodies)),
     ]
+    if verdicts is not None:
+        parts.append(("threat_intel", threat.hits(ctx.packages, verdicts)))
+    if baseline is not None:
+        parts.append(("provenance", provenance.findings(provenance.snapshots(bounded(ctx.files), F.lit("")), baseline)))
     order = {a: n for n, a in enumerate(catalog.ANALYZERS)}
     both = None
     for name, df in parts:

@@ -6,7 +6,6 @@ queries run on ``scripts``, which is made from ``documents`` by the same formula
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -140,10 +139,10 @@ def component_scan_rollup(spark, d):
 # the whole engine over scripts: state machines have no SQL, tests hold them against fixtures
 
 
-def _scanned(spark, d, f):
+def _scanned(spark, d, f, rules=catalog.RULES):
     """``f`` of the scan of all scripts, whose parsed files are kept in the shared folder until it is computed."""
     with Workspace(spark, "scan") as work:
-        return settle(f(scan.Context(packages.spread(scripts(_t(spark, d, "documents"))), work)))
+        return settle(f(scan.Context(packages.spread(scripts(_t(spark, d, "documents"))), work, rules)))
 
 
 @query()
@@ -373,8 +372,10 @@ def dep_depth(spark, d):
 
 @query(f"{_REACH} SELECT count(*) FILTER (p_size % 2 = 0)::BIGINT AS orphans, count(*)::BIGINT AS nodes FROM c JOIN part ON p_partkey = name")
 def orphan_count(spark, d):
-    x = _closure(spark, d)[0].join(_t(spark, d, "part"), F.col("name") == F.col("p_partkey"))
-    return x.agg(F.count_if(F.col("p_size") % 2 == 0).alias("orphans"), F.count("*").alias("nodes"))
+    """Parts of even size have no maintainer."""
+    nodes, e = _closure(spark, d)
+    info = _t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") % 2 == 1, "someone").alias("maintainer"))
+    return graph.counts(graph.annotate(nodes, info, e.withColumn("kind", F.lit("runtime")))).select("orphans", "nodes")
 
 
 @query(f"{_REACH} SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS place FROM c")
@@ -392,8 +393,9 @@ def topo_order(spark, d):
 def sbom_document(spark, d):
     nodes, e = _closure(spark, d)
     text = lambda df, *cs: df.select(*[F.col(c).cast("string").alias(c) if c != "depth" else F.col(c) for c in cs])
-    scans = _hits(spark, d).groupBy("pkg_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    return report.sbom(text(nodes, "name", "depth").withColumn("origin", F.lit("community")), text(e, "parent", "child"), scans)
+    found = _hits(spark, d).withColumn("title", F.col("id")).withColumn("recommendation", F.lit("read it"))
+    scans = found.groupBy("pkg_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    return report.sbom(text(nodes, "name", "depth").withColumn("origin", F.lit("community")), text(e, "parent", "child"), scans, found)
 
 
 # provenance: a user is a package, a day a version, event types its markers
@@ -414,27 +416,40 @@ def provenance_gained(spark, d):
     return provenance.gained(_versions(_t(spark, d, "events"))).withColumn("gained", F.array_join("gained", ","))
 
 
+#: Files that the stream comes in.
+BATCHES = 3
+
+
 @query(_GAINED)
 def provenance_stream(spark, d):
-    """The same by keyed state over a stream of daily files."""
+    """The same by keyed state over a stream of files, a batch each, so that what a package had is known from state."""
     from packsieve.session import ship
     from packsieve.streaming.provenance import gained_stream
 
     ship(spark)
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="packsieve-")
-    where = f"{spark.conf.get('spark.checkpoint.dir', base)}/provenance-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/provenance-{uuid.uuid4().hex}"
     v = _versions(_t(spark, d, "events"))
-    v.write.parquet(f"{where}/in")
-    stream = gained_stream(spark.readStream.schema(v.schema).parquet(f"{where}/in"))
-    q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    days = [r[0] for r in v.select("version").distinct().orderBy("version").collect()]  # a date each
+    for n, day in enumerate(days[:: max(1, len(days) // BATCHES)]):
+        part = v.where((F.col("version") >= day) & (F.col("version") < (days + ["~"])[min(len(days), (n + 1) * max(1, len(days) // BATCHES))]))
+        part.coalesce(1).write.mode("append").parquet(f"{where}/in")
+    source = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    q = gained_stream(source).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("package string, version string, gained array<string>").parquet(f"{where}/out").withColumn("gained", F.array_join("gained", ","))
+    with Workspace(spark, "stream") as work:
+        work.path = where
+        return settle(spark.read.schema("package string, version string, gained array<string>").parquet(f"{where}/out").withColumn("gained", F.array_join("gained", ",")))
+
 
+def _markers_sql(text: str) -> str:
+    """The sorted list of markers in a text."""
+    shown = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower({text}), $${n}$$)' for n in needles)} THEN '{k}' END" for k, needles in provenance.MARKERS.items())
+    return f"list_sort(list_filter([{shown}], lambda m: m IS NOT NULL))"
 
-@query(f"{_PHYSICAL} SELECT pkg_id, bool_or(contains(lower(line), 'curl ') OR contains(lower(line), 'wget ')) AS network, bool_or(contains(lower(line), 'eval ')) AS evals FROM p GROUP BY pkg_id")
+
+@query(f"WITH s AS ({scripts_sql()}) SELECT pkg_id, array_to_string({_markers_sql('content')}, ',') AS markers FROM s")
 def provenance_markers(spark, d):
-    s = scripts(_t(spark, d, "documents")).withColumn("m", provenance.markers(F.col("content")))
-    return s.select("pkg_id", F.array_contains("m", "network").alias("network"), F.array_contains("m", "eval").alias("evals"))
+    return scripts(_t(spark, d, "documents")).select("pkg_id", F.array_join(provenance.markers(F.col("content")), ",").alias("markers"))
 
 
 # verdict tables and gates
@@ -505,3 +520,6 @@ def ioc_stats(spark, d):
     return ioc.stats(ioc.default_indicators(spark))
 
 
+
+
+from packsieve.plans import checks  # noqa: E402, F401  further queries, which use what is defined above

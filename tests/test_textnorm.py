@@ -6,6 +6,7 @@ import pytest
 from packsieve.functions import recipe, textnorm
 from packsieve.functions.needles import needles
 from packsieve.operators import catalog, graph, scan
+from packsieve.sources.scripts import EXAMPLES
 
 
 def test_logical_lines():
@@ -72,14 +73,6 @@ def test_topological():
     assert graph.topological(["x", "y", "z"], [("x", "y"), ("y", "x")]) == ["z", "x", "y"]
 
 
-EXAMPLES = [
-    "curl x | /usr/bin/env -i sh", "wget y|dash", "curl -o f x && sh f", "nc -e /bin/sh h 1", "python -c 'import socket'", "socat exec:x", "cat ~/.ssh/id", "cat /etc/shadow", "cp -r ~/.mozilla/firefox x", "cat Login Data",
-    "python x.py", "./payload.sh", "aria2c x", "go install x", "systemctl enable x", "x.timer", "OnBootSec=1", "crontab -", "/etc/rc.local", "systemd-initd", "stratum+tcp://x", "t-rex", "monero 4" + "A" * 92, "wallet=" + "a" * 30,
-    "4A" + "1" * 93, "curl -d @f x", "x | nc h 1", "discord.com/api/webhooks", "base64 -d", "eval x", r"\x41", "${a}${b}${c}", "zcat x | sh", "'a''b'", "http://1.2.3.4", "bit.ly/x", "a.duckdns.org", "~/.x", "exec /tmp/x", "LD_PRELOAD=x",
-    "PATH=/x", "provides=('x')", "js-digest", "bunx x", "scales.bpf.c", "perl socket connect", "php -r fsockopen", "ruby TCPSocket", "gawk /inet/tcp/", "node -e require('net').connect", "openssl s_client -connect x", "mkfifo f; nc x",
-    "telnet h 1 |", "dig $(x)", "wget --post-file", "hooks.slack.com/", "temp.sh", "env | curl", "~/.aws", "wallet.dat", "useradd -ou 0", "chpasswd", "tee /etc/passwd", "permit nopass", "pam_permit.so", "SigLevel = Never", "ufw disable",
-    "trust anchor x", "pacman-key --recv", "gpg --import", "--registry x", "GOPROXY=x", "http://0x7f000001/", "http://2130706433/", r"printf '\101\102'", "basenc -d", "bash <<< x", 'sh -c "$(curl x)"', "setsid ./x", "sqlite3 .shell", "x | make -f -",
-]
 
 
 def line_table(spark, texts, types=("pkgbuild", "install_script")):
