@@ -2,7 +2,8 @@
 benchmark items go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. A stage's result is
-written and read again before the next one.
+written and read again before the next one. Every stage takes an empty table, and keeps columns it doesn't know, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -11,21 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsieve.llm import bpe, decontam, linededup, minhash, toxicity
-from packsieve.llm.shared import Workspace, settle
+from packsieve.llm.shared import Workspace, settle, text_key
 
 #: Similarity in percent, words of a shingle and bands of the near-duplicate stage.
 SIMILARITY, SHINGLE, BANDS = 80, 5, 40
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with more underscores in front until ``docs`` has no such column."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5. A null or empty text has the score of a text without words; repeated
+    rows are each judged; without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.sample(docs, labels))
-    return toxicity.attach(docs, model).where("_score < 0.5").drop("_score")
+    score = _free("_score", docs)
+    return toxicity.attach(docs, model, score=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines, passages on few sites included; one that has no other lines goes."""
+    """Documents without boilerplate lines, passages on few sites included; one that has no other lines goes. Null and
+    empty texts lose no lines and stay; rows that share an id lose their own lines only; repeated rows lose lines alike;
+    ``n_chars`` is the new length where lines went."""
     with Workspace(spark, "stage-lines") as work:
         gone = settle(linededup.removals(docs, work, passages=True))
     out = linededup.apply_removals(docs, gone)
@@ -35,27 +47,30 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group."""
+    """One document of each near-duplicate group: the one of least id, ids before nulls, of rows that share that id any one.
+    Texts without words are in no group, so null and empty texts all stay, repeated ones too."""
     with Workspace(spark, "stage-minhash") as work:
-        found = minhash.near_duplicates(docs, work, width=SHINGLE, threshold=SIMILARITY, bands=BANDS)
-        gone = settle(found.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+        # rows get an order that a lost executor can't change: it is written before it is used
+        row, key = _free("_row", docs), _free("_key", docs)
+        rows = work.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias(key), "text")
+        found = minhash.near_duplicates(keyed, work, key=key, width=SHINGLE, threshold=SIMILARITY, bands=BANDS)
+        first = found.where(F.col(key) == F.col("component_id")).select(F.col(f"{key}.row").alias(row))
+        return settle(rows.join(first.hint("merge"), row, "left_semi").select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null or empty text holds none; all rows with a text that holds one go."""
     with Workspace(spark, "stage-decontam") as work:
-        found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work)
-        gone = settle(found.select("doc_id", "_text_hash").distinct())
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["_hash"] == gone["_text_hash"])
-    return hashed.join(gone.hint("merge"), same, "left_anti").select(docs.columns)
+        gone = settle(decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work).select("_text").distinct())
+    mark = _free("_text", docs)
+    return docs.withColumn(mark, text_key("text")).join(gone.withColumnRenamed("_text", mark).hint("merge"), mark, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded bytes. Its blocks stay in the shared
-    folder, as the result is read from them."""
-    return bpe.encode(docs, Workspace(spark, "stage-bpe"), ids=True)
+    """Token ids of each document, with digests of the ids and of the decoded bytes; a null or empty text has none."""
+    with Workspace(spark, "stage-bpe") as work:
+        return settle(bpe.encode(docs, work, ids=True))
 
 
 STAGES = [
@@ -77,5 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier, the MinHash groups and the encoder have no SQL; tests hold the stages against brute force.
+#: The classifier, the MinHash groups and the encoder have no SQL; tests/llm/test_pipeline.py holds every stage, and run(),
+#: against brute force.
 ORACLE_SQL = None

@@ -9,8 +9,13 @@ search loses nothing. Candidates are then confirmed by counting all of the item'
 Text is lower-cased and cut at characters that are neither letters nor digits; shingles are ``SHINGLE`` words. An item
 with fewer words is one shingle of its own length, and documents are cut into that length too. Hashes have 64 bits.
 
+Only candidates are proved: a candidate is one pair of a text and an item, and its proof is the size of one array
+intersection. Texts are known by their digest, so copies are searched once. Tables of items are broadcast while their
+bytes are within the limit, and joined by a shuffle beyond it.
+
 Defined cases: an item or document that is null or has no words matches nothing; repeated items and documents are
-each reported; ties do not occur; empty tables give no matches; other columns are ignored.
+each reported; ties do not occur; a text is cut whole, however long; ids may be null or shared; empty tables give no
+matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsieve.llm.shared import Workspace, settle
+from packsieve.llm.shared import Workspace, settle, small, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Item shingles up to so many rows are broadcast; more are joined by a shuffle.
-BROADCAST_SHINGLES = 400_000
+#: Bytes of a row of two hashes when it is broadcast.
+ROW_BYTES = 32
 
 
 def words(text: Column) -> Column:
@@ -56,46 +61,35 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return df.select("_row", F.explode(F.expr("slice(_sorted, 1, _k)")).alias("_h"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES else df
-
-
-def matches(docs: DataFrame, items: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, item id, shingles found, item size) of each document and item whose containment reaches the threshold.
-
-    Documents are told apart by the hash of their text, so repeated ids do not mix.
-    """
+def matches(docs: DataFrame, items: DataFrame, work: Workspace, text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(_text, _item, _found, _size): the digest of each text that holds an item, the item's id, how many of its shingles
+    were found, and its size."""
     sets = work.table(item_shingles(items, item), "items")
     lengths = [r[0] for r in sets.select("_words").distinct().collect()]  # at most SHINGLE values
     if not lengths:
         none = F.lit(None).cast(sets.schema["_item"].dataType)
-        return docs.select(F.col(key), F.xxhash64(text).alias("_text_hash"), none.alias("_item"), F.lit(0).alias("_found"), F.lit(0).alias("_size")).limit(0)
-    sketch = _small(sketches(sets, threshold).select("_h", "_row"))
-    full = _small(sets.select("_row", F.explode("_set").alias("_h")))
-    df = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text_hash"), words(F.col(text)).alias("_w"))
+        return docs.select(text_key(text).alias("_text"), none.alias("_item"), F.lit(0).alias("_found"), F.lit(0).alias("_size")).limit(0)
+    sketch = small(work.table(sketches(sets, threshold).select("_h", "_row"), "sketch"), ROW_BYTES)
+    df = docs.select(text_key(text).alias("_text"), words(F.col(text)).alias("_w"))
     hashes = F.concat(*[_shingles("_w", n) for n in sorted(lengths)])
-    # the shingles that any item has at all: what both the search and the proof are made from
-    any_item = _small(sets.select(F.explode("_set").alias("_h")).distinct())
-    held = df.select("_key", "_text_hash", F.explode(hashes).alias("_h")).join(any_item, "_h", "left_semi").distinct()
+    # what an item holds at all, which is all that a proof can count
+    any_item = small(work.table(sets.select(F.explode("_set").alias("_h")).distinct(), "any"), ROW_BYTES)
+    held = df.select("_text", F.explode(hashes).alias("_h")).join(any_item, "_h", "left_semi").distinct()
     held = work.table(held, "held")
-    candidates = held.join(sketch, "_h").select("_key", "_text_hash", "_row").distinct()
-    # each candidate meets only its own document's shingles: one equi-join on document and item
-    proof = held.join(full, "_h").groupBy("_key", "_text_hash", "_row").agg(F.count("*").alias("_found"))
-    found = candidates.join(proof, (candidates["_key"].eqNullSafe(proof["_key"])) & (candidates["_text_hash"] == proof["_text_hash"]) & (candidates["_row"] == proof["_row"]))
-    found = found.select(candidates["_key"], candidates["_text_hash"], candidates["_row"].alias("_r"), "_found")
-    known = sets.select("_row", "_item", "_size")
-    out = found.join(known, found["_r"] == known["_row"]).where(F.col("_found") >= F.ceil(threshold * F.col("_size") - 1e-9))
-    return out.select(F.col("_key").alias(key), "_text_hash", "_item", "_found", "_size")
+    candidates = work.table(held.join(sketch, "_h").select("_text", "_row").distinct(), "candidates")
+    # the proof takes candidates only: one intersection each
+    asked = held.join(candidates.select("_text").distinct().hint("merge"), "_text", "left_semi").groupBy("_text").agg(F.collect_set("_h").alias("_held"))
+    items_by_row = sets.select("_row", "_item", "_size", "_set").hint("merge")
+    proof = candidates.join(asked, "_text").join(items_by_row, "_row").withColumn("_found", F.size(F.array_intersect("_held", "_set")))
+    return proof.where(F.col("_found") >= F.ceil(threshold * F.col("_size") - 1e-9)).select("_text", "_item", "_found", "_size")
 
 
 def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row per row of ``docs``: id, number of items found, their ids, kept (no item found)."""
+    """One row per row of ``docs``: key, number of items found, their ids, kept (no item found)."""
     with Workspace(docs.sparkSession, "decontam") as work:
-        found = matches(docs, items, work, key, text, item)
-        per_doc = found.groupBy(F.col(key).alias("_key"), "_text_hash").agg(F.array_sort(F.collect_set("_item")).alias("item_ids"))
-        rows = docs.select(key, F.xxhash64(text).alias("_hash"))
-        both = rows.join(per_doc, rows[key].eqNullSafe(per_doc["_key"]) & (F.col("_hash") == F.col("_text_hash")), "left")
-        ids = F.coalesce("item_ids", F.array().cast(both.schema["item_ids"].dataType))
+        per_text = matches(docs, items, work, text, item).groupBy("_text").agg(F.array_sort(F.collect_set("_item")).alias("_ids"))
+        both = docs.select(key, text_key(text).alias("_text")).join(per_text, "_text", "left")
+        ids = F.coalesce("_ids", F.array().cast(both.schema["_ids"].dataType))
         return settle(both.select(key, F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), (F.size(ids) == 0).alias("kept")))
 
 

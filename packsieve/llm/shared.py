@@ -1,55 +1,49 @@
-"""Shared storage for stages that are written and read again.
-
-Lineage is cut with tables in the folder that the session names in ``spark.checkpoint.dir``; executors and
-driver both reach it. A folder of our own is set only where that setting is empty, as in local tests.
-"""
+"""Joins that hold at any size, for rows whose keys are skewed, and the shared storage of the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from packsieve.store import Workspace, settle, shared_dir  # noqa: F401
 
+#: What is broadcast whole has at most so many bytes; of larger tables only the HOT heaviest keys are.
+BROADCAST_BYTES, HOT = 8 << 20, 1000
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder of this session."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packsieve-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, to be broadcast if its rows of ``row_bytes`` each are within the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
-class Workspace:
-    """A run's own folder below the shared one. Use as a context manager to drop it at the end."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def join_few(many: DataFrame, few: DataFrame, on: str, row_bytes: int, weight: str) -> DataFrame:
+    """Inner join of ``many`` rows with ``few``, which has a row a key and says how many rows of ``many`` have that key.
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: a stage boundary that survives lost executors."""
-        where = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+    Within the byte limit ``few`` is broadcast. Beyond it only the ``HOT`` heaviest keys are, so that none of the keys left
+    to the shuffle join holds more than 1 / ``HOT`` of the rows.
+    """
+    if few.count() * row_bytes <= BROADCAST_BYTES:
+        return many.join(F.broadcast(few), on)
+    hot = few.orderBy(F.desc(weight), on).limit(HOT)
+    cold = few.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return many.join(F.broadcast(hot), on).unionByName(many.join(cold.hint("merge"), on))
 
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def __enter__(self) -> Workspace:
-        return self
+def attach_few(many: DataFrame, few: DataFrame, on: str, spread: str, weight: str) -> DataFrame:
+    """Left join of ``many`` rows with ``few``, which has a row a key and grows with the data; ``weight`` is dropped.
 
-    def __exit__(self, *_) -> None:
-        self.drop()
+    The ``HOT`` heaviest keys are broadcast. Rows of these, and of null keys, have their match already or need none: they
+    are dealt by the hash of their column ``spread`` in the shuffle that the others go through.
+    """
+    names = [c for c in few.columns if c not in (on, weight)]
+    hot = few.orderBy(F.desc(weight), on).limit(HOT).select(on, *[F.col(c).alias(f"_hot_{c}") for c in names], F.lit(True).alias("_hot"))
+    cold = few.drop(weight).join(F.broadcast(hot.select(on)), on, "left_anti").withColumn("_salt", F.lit(0))
+    apart = F.col("_hot").isNotNull() | F.col(on).isNull()
+    salted = many.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(apart, F.pmod(F.xxhash64(spread), F.lit(1024)) + 1).otherwise(0).cast("int"))
+    out = salted.join(cold.hint("merge"), [on, "_salt"], "left")
+    return out.select(*many.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in names])
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and keep it in the shared folder, until the frame itself is garbage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def text_key(text: str) -> Column:
+    """128-bit digest of a text (null: empty)."""
+    return F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
