@@ -8,14 +8,14 @@ words that aren't common have a bin in languages that aren't listed only, as tho
 document of a listed language without one common word has distance 1. The word threshold of a language comes from the
 distribution of its distances in the whole corpus, less what sampling alone explains (``NOISE`` over the words counted,
 as a square): the median and ``SPREAD`` times the way from the lowest tenth to the median. A document may lie over it by
-``TAIL`` times its own noise, but never over ``MAX_WORD_DISTANCE``. The test is not applied to documents under ``GUARD_WORDS`` words or to
-languages with under ``GUARD_DOCS`` documents.
+``TAIL`` times its own noise, but never over ``MAX_WORD_DISTANCE``. The test is not applied to documents under
+``GUARD_WORDS`` words or to languages with under ``GUARD_DOCS`` documents, a parameter of ``judge``.
 
 Everything about one document is computed within its row, without a shuffle; only the histograms' sums per language
 are aggregated. Languages other than those listed share one reference, so that table has a few rows.
 
 Defined cases: a null text has no words; a null or unknown language counts as "other"; repeated rows are each judged;
-an empty table gives an empty result; other columns are ignored.
+a text is counted whole, however long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,8 +144,10 @@ def word_distance(bins: str, ref: str) -> Column:
     return F.when(m == 0, 0.0).when(n == 0, 1.0).otherwise(F.sqrt(F.greatest(out, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: counts, base_failed, the two distances and kept."""
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", guard_docs: int = GUARD_DOCS) -> DataFrame:
+    """One row per row of ``docs``: counts, base_failed, the two distances and kept. A language needs ``guard_docs`` documents of
+    ``GUARD_WORDS`` words for a reference: below that the sums say more about single documents than about the language, so
+    none of its documents is judged by its distances."""
     counts = settle(base_counts(docs, key, text, lang))
     enough = F.col("n_words") >= GUARD_WORDS
     refs = counts.where(enough).groupBy(F.col("_lang").alias("_ref")).agg(
@@ -154,7 +156,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     # a row for each listed language and one for all others, at most
     both = counts.join(F.broadcast(refs), F.col("_lang") == F.col("_ref"), "left")
-    guarded = enough & (F.coalesce("_docs", F.lit(0)) >= GUARD_DOCS)
+    guarded = enough & (F.coalesce("_docs", F.lit(0)) >= guard_docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     both = both.withColumns(
         {
