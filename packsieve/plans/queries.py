@@ -89,11 +89,21 @@ _RULES_SQL = "rules(id, sev_rank, severity, category, pattern) AS (VALUES " + ",
 _HITS_SQL = f"{_PHYSICAL}, {_RULES_SQL}, hits AS (SELECT p.pkg_id, p.n + 1 AS line_no, p.line, r.* FROM p JOIN rules r ON regexp_matches(p.line, r.pattern) WHERE NOT ltrim(p.line) LIKE '#%')"
 
 
+_SHARED = [catalog.Rule(i, s, c, "PI", None, i, (p,), case_sensitive=True) for i, _, s, c, p in SHARED_RULES]
+
+
 def _hits(spark, d):
-    """(pkg_id, line_no, line, rule columns) by generated literal patterns behind one gate."""
-    x = _physical(spark, d).where(~F.ltrim("line").startswith("#") & F.col("line").rlike("curl|wget|ssh|nc |timer|base64|eval|http"))
-    found = [F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("id"), F.lit(r).alias("sev_rank"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(p).alias("pattern"))) for i, r, s, c, p in SHARED_RULES]
-    return x.select("pkg_id", (F.col("n") + 1).alias("line_no"), "line", F.inline(F.array_compact(F.array(*found))))
+    """(pkg_id, line_no, id, sev_rank, severity, category, column) of the rules over physical lines, by the engine's matcher."""
+    none = F.lit(None).cast("string")
+    lines = _physical(spark, d).select(
+        "pkg_id", F.lit("pkgbuild").alias("file_type"), F.lit("PKGBUILD").alias("file"), (F.col("n") + 1).alias("line_no"), F.col("line").alias("raw"), none.alias("deobf"), none.alias("resolved"),
+        F.ltrim("line").startswith("#").alias("is_comment"), F.lit(False).alias("is_info"),
+    )
+    told = {i: (r, c) for i, r, _, c, _ in SHARED_RULES}
+    rank = F.create_map(*[F.lit(x) for i, (r, _) in told.items() for x in (i, r)])
+    category = F.create_map(*[F.lit(x) for i, (_, c) in told.items() for x in (i, c)])
+    found = scan.rule_matches(lines, _SHARED)
+    return found.select("pkg_id", F.col("line").alias("line_no"), "id", rank[F.col("id")].alias("sev_rank"), "severity", category[F.col("id")].alias("category"), "column")
 
 
 @query(f"{_HITS_SQL} SELECT pkg_id, id, count(*)::BIGINT AS n_lines FROM hits GROUP BY pkg_id, id")
@@ -109,9 +119,8 @@ def rule_hits_by_category(spark, d):
 @query(f"{_HITS_SQL}, c AS (SELECT pkg_id, id, line_no::BIGINT AS line_no, (strlen(regexp_extract(line, '^(.*?)(?:' || pattern || ')', 1)) + 1)::BIGINT AS col, row_number() OVER (PARTITION BY pkg_id, id ORDER BY line_no) AS k FROM hits) SELECT pkg_id, id, line_no, col FROM c WHERE k = 1")
 def rule_first_hit_column(spark, d):
     """First line of each rule in each script, with the match's byte column."""
-    x = _hits(spark, d).groupBy("pkg_id", "id", "pattern").agg(F.min(F.struct("line_no", "line")).alias("f"))
-    at = F.regexp_instr("f.line", F.col("pattern"))
-    return x.select("pkg_id", "id", F.col("f.line_no").cast("long").alias("line_no"), (F.octet_length(F.substring("f.line", F.lit(1), at - 1)) + 1).cast("long").alias("col"))
+    x = _hits(spark, d).groupBy("pkg_id", "id").agg(F.min(F.struct("line_no", "column")).alias("f"))
+    return x.select("pkg_id", "id", F.col("f.line_no").cast("long").alias("line_no"), F.col("f.column").cast("long").alias("col"))
 
 
 @query(f"{_HITS_SQL} SELECT pkg_id, min(sev_rank)::INTEGER AS worst, count(*)::BIGINT AS n_findings, bool_or(sev_rank <= 1) AS tripped FROM hits GROUP BY pkg_id")

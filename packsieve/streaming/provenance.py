@@ -10,24 +10,35 @@ OUT = "package string, version string, gained array<string>"
 STATE = "digest string, markers array<string>"
 
 
-def _step(key, frames, state):
-    """One package's new versions, in order, against its last changed snapshot."""
-    rows = pd.concat(list(frames)).sort_values("version", kind="stable")
-    digest, marks = state.get if state.exists else (None, None)
-    out = []
-    for r in rows.itertuples(index=False):
-        now = sorted(r.markers)
-        if digest is None:
-            digest, marks = r.digest, now
-        elif r.digest != digest:
-            gained = sorted(set(now) - set(marks))
-            if gained:
-                out.append((key[0], r.version, gained))
-            digest, marks = r.digest, now
-    state.update((digest, list(marks)))
-    yield pd.DataFrame(out, columns=["package", "version", "gained"])
-
-
-def gained_stream(versions: DataFrame) -> DataFrame:
-    """A stream of (package, version, digest, markers) to a stream of gained markers; versions must arrive in order."""
-    return versions.groupBy("package").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def _step(ttl_ms: int | None):
+    def run(key, frames, state):
+        """One package's versions of a batch, in order, against its last changed snapshot. Of each version of the batch only
+        its markers are held."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        digest, marks = state.get if state.exists else (None, None)
+        rows = sorted((v, d, sorted(m)) for f in frames for v, d, m in zip(f["version"], f["digest"], f["markers"], strict=True))
+        out = []
+        for version, now_digest, now in rows:
+            if digest is not None and now_digest != digest:
+                gained = sorted(set(now) - set(marks))
+                if gained:
+                    out.append((key[0], version, gained))
+            if now_digest != digest:
+                digest, marks = now_digest, now
+        state.update((digest, list(marks)))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=["package", "version", "gained"])
+
+    return run
+
+
+def gained_stream(versions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of (package, version, digest, markers) to a stream of gained markers; versions must arrive in order.
+
+    With ``ttl_ms`` a package that is not seen for so long is forgotten, and its next version is a baseline again.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return versions.groupBy("package").applyInPandasWithState(_step(ttl_ms), OUT, STATE, "append", timeout)

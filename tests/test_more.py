@@ -2,12 +2,16 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from packsieve import config
 from packsieve.functions import neturl
 from packsieve.operators import catalog, gates, graph, ioc, metadata, provenance, report, rulebook, scan, threat
 from packsieve.sources import indicators, packages
+from packsieve.streaming import feed
+from packsieve.streaming import provenance as stream_provenance
 
 RULES = """
 [[rule]]
@@ -169,3 +173,61 @@ def test_trees_without_recipe_and_large_files(spark, tmp_path):
 def test_operation(spark):
     ops = {a: spark.createDataFrame([(a,)], "a string").select(gates.operation(F.array("a"))).first()[0] for a in ("-S", "-Syu", "-Ss", "-Q", "name")}
     assert ops == {"-S": "install", "-Syu": "install", "-Ss": "pass", "-Q": "pass", "name": "install"}
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "c.toml"
+    assert config.read_or_default(str(path)) == config.Config()
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "a.toml").write_text(RULES)
+    path.write_text(f'min_severity = "high"\nrules_path = "{tmp_path}/rules"\nnew_setting = 1\n[cache]\nttl_hours = 2\n')
+    got = config.read(str(path))
+    assert (got.min_severity, got.cache.ttl_hours, got.cache.max_size_mb, got.timeout_seconds) == ("high", 2, 100, 30)
+    assert len(got.rules()[0]) == len(catalog.RULES) + 2 and config.Config().rules() == (catalog.RULES, {})
+    for text in ("min_severity = ", 'min_severity = "worst"', "cache = 1", 'timeout_seconds = "x"'):
+        path.write_text(text)
+        with pytest.raises(config.ConfigError):
+            config.read_or_default(str(path))
+
+
+def test_transactions_of_a_stream(spark, tmp_path):
+    targets = spark.createDataFrame([("t1", "a"), ("t1", "b"), ("t2", "a"), ("t3", "unknown")], "transaction string, name string")
+    targets.where("transaction != 't3'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    targets.where("transaction = 't3'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    verdicts = lambda: spark.createDataFrame([("a", "proceed"), ("b", "warn")], "name string, outcome string")
+    stream = spark.readStream.schema(targets.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    feed.outcomes(stream, verdicts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r.transaction: (r.n_targets, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"t1": (2, "warn"), "t2": (1, "proceed"), "t3": (1, "abort")}
+
+
+class State:
+    """A group's state, as the engine hands it over."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.duration = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.duration = ms
+
+
+def test_provenance_state_over_batches():
+    frame = lambda *rows: pd.DataFrame(rows, columns=["version", "digest", "markers"])
+    step, state = stream_provenance._step(1000), State()
+    feed_ = lambda *frames: [tuple(r) for f in step(("p",), iter(frames), state) for r in f.itertuples(index=False)]
+    assert feed_(frame(("1", "a", ["npm"]))) == [] and state.duration == 1000
+    assert feed_(frame(("3", "b", ["npm", "eval"])), frame(("2", "a", ["npm"]))) == [("p", "3", ["eval"])]
+    assert feed_(frame(("4", "b", ["npm", "eval"]))) == []
+    state.hasTimedOut = True
+    assert feed_() == [] and not state.exists
+    state.hasTimedOut = False
+    assert feed_(frame(("5", "c", ["bun"]))) == []
