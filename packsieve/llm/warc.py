@@ -12,7 +12,8 @@ others are revisits without a payload; smaller ones are responses. The digest is
 
 Defined cases: a null payload is empty; a null page id revisits an equal payload that has an id, else is a response;
 rows that repeat the least page id and its payload are all responses; an empty table gives no archives; other columns
-are ignored.
+are ignored. A record is held whole when it is written and read, however long its payload; a task holds one at a time.
+Keys that are strings are kept as such.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from packsieve.llm.shared import Workspace, settle
+from packsieve.llm.shared import Workspace, attach_few, settle
 from packsieve.session import ship
 
 LEVEL = 4
@@ -70,15 +72,17 @@ def _urn(value: str | None) -> str | None:
     return text or None
 
 
-def plan(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def plan(pages: DataFrame, work: Workspace, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Rows with the record type and the page a revisit refers to, found by digest and length."""
     body = F.coalesce(F.col(payload), F.lit(""))
     df = pages.select(F.col(key).alias("id"), F.coalesce(url, F.lit("")).alias("url"), body.alias("body"))
     df = df.withColumns({"digest": F.unhex(F.sha1(F.encode("body", "UTF-8"))), "size": F.octet_length("body").cast("long")})
     # a large group of equal payloads is reduced inside each task before the shuffle
     first = df.groupBy("digest", "size").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    groups = first.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "size", "first")
-    out = df.join(groups.select("digest", F.col("first"), F.lit(True).alias("shared")), "digest", "left")
+    groups = first.where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "first", F.lit(True).alias("shared"), "n")
+    groups = work.table(groups, "groups")
+    # pages of the largest groups are dealt by their own id, as all bodies of one group would land in one task and archive
+    out = attach_few(df, groups, "digest", "id", "n")
     return out.withColumn("revisit", F.coalesce("shared", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first")))
 
 
@@ -109,10 +113,10 @@ def _writer(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, **names) -> DataFrame:
+def write_archives(pages: DataFrame, work: Workspace, folder: str, **names) -> DataFrame:
     """Write one single-stream archive a task; a row (file, records) for each."""
     ship(pages.sparkSession)
-    rows = plan(pages, **names).select("id", "url", "body", "digest", "revisit", "first")
+    rows = plan(pages, work, **names).select("id", "url", "body", "digest", "revisit", "first")
     return rows.mapInArrow(_writer(folder), "file string, records long")
 
 
@@ -244,10 +248,11 @@ def read_archives(archives: DataFrame, folder: str, key: str = "page_id", intege
     return spread.mapInArrow(_reader(folder, key, integer), f"{key} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write, normalise and read back the archives of ``pages``: a row per row, of what the archives say."""
+def round_trip(pages: DataFrame, key: str = "page_id", **names) -> DataFrame:
+    """Write, normalise and read back the archives of ``pages``: a row per row, of what the archives say. Keys are whole
+    numbers or strings."""
     with Workspace(pages.sparkSession, "warc") as work:
         folder = f"{work.path}/archives"
-        raw = work.table(write_archives(pages, folder), "raw")
+        raw = work.table(write_archives(pages, work, folder, key=key, **names), "raw")
         done = work.table(normalise(raw, folder), "done")
-        return settle(read_archives(done, folder))
+        return settle(read_archives(done, folder, key, integer=not isinstance(pages.schema[key].dataType, StringType)))
