@@ -49,6 +49,11 @@ def risk_score(malicious: Column, suspicious: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100).cast("long"), F.floor((100 * malicious + 50 * suspicious) / total))).otherwise(F.lit(0).cast("long"))
 
 
+def exit_code(outcome: Column) -> Column:
+    """What a gate's outcome tells the caller's shell: 0 to go on, 1 to stop."""
+    return F.when(outcome.isin("pass", "proceed", "warn", "override"), 0).otherwise(1)
+
+
 def malicious(malicious_count: Column, suspicious_count: Column) -> Column:
     """Whether a verdict's counts make it a malicious one."""
     return (malicious_count > 0) | (suspicious_count > 2)

@@ -68,6 +68,12 @@ def broken(spark: SparkSession, rules: list[Rule]) -> dict[str, str]:
     return out
 
 
+def sound(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
+    """The rules that can be used: one with a broken expression is left out, and the others stay."""
+    bad = broken(spark, rules)
+    return [r for r in rules if r.id not in bad]
+
+
 def add(rules: list[Rule], more: list[Rule]) -> list[Rule]:
     """``rules`` with ``more`` behind them; disabled ones don't come in. Copies of one id all match lines."""
     return rules + [r for r in more if r.enabled]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -25,4 +26,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(name)
+    atexit.register(lambda: Path(name).unlink(missing_ok=True))
     _shipped.add(app)

@@ -64,6 +64,7 @@ def test_rules_from_toml(spark, tmp_path):
         rulebook.read_folder(str(tmp_path / "none"))
     odd = catalog.Rule("B", "low", "persistence", "P", None, "b", ("(", ))
     assert list(rulebook.broken(spark, [odd, *rules])) == ["B"] and not rulebook.broken(spark, catalog.RULES)
+    assert rulebook.sound(spark, [odd, *rules]) == rules
     off = catalog.Rule("C", "low", "persistence", "P", None, "c", ("x",), enabled=False)
     assert [r.id for r in rulebook.add(rules, [off, odd])] == ["A-1", "A-1", "B"]
 
@@ -172,6 +173,8 @@ def test_trees_without_recipe_and_large_files(spark, tmp_path):
 
 def test_operation(spark):
     ops = {a: spark.createDataFrame([(a,)], "a string").select(gates.operation(F.array("a"))).first()[0] for a in ("-S", "-Syu", "-Ss", "-Q", "name")}
+    codes = spark.createDataFrame([("pass",), ("warn",), ("block",), ("abort",), ("fail",)], "o string").select(gates.exit_code(F.col("o"))).collect()
+    assert [r[0] for r in codes] == [0, 0, 1, 1, 1]
     assert ops == {"-S": "install", "-Syu": "install", "-Ss": "pass", "-Q": "pass", "name": "install"}
 
 
