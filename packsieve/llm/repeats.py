@@ -11,12 +11,17 @@ whose first ``GRAM`` bytes hash least (leftmost on ties): equal windows choose e
   windows, occurs twice are settled: all their windows repeat.
 * Pass 3, ``DEPTH`` bytes: the windows of what remains, one by one; of equal outer strings one stands for all.
 
+Texts that lose no byte are searched with words as tokens too (``passages``), for runs of ``PASSAGE`` words or more that
+another document holds, whatever the white space in them: such a run may be shorter than ``DEPTH``. Windows of words are gathered by the least of their ``WORD_GRAM``-word suffixes; those
+whose suffix lies in one text only leave, and equal windows of different texts are passages.
+
 Texts are known by their digest, so copies are sorted once; a text of ``DEPTH`` bytes or more that has a copy goes whole.
 Digits are compared by 128-bit hashes (pass 1: 64-bit, as a sieve only). No pass sends more than the surviving
 suffixes of a text to one task, and counts of equal digits are reduced inside each task first.
 
 Defined cases: a null or empty text has no bytes; shorter texts than ``DEPTH`` lose nothing; repeated rows are copies of
-each other; ids may be null or repeat; an empty table gives an empty result; other columns are ignored.
+each other; ids may be null or repeat; a text is worked on whole in one task, with some 60 bytes of arrays a byte of the
+longest text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsieve.llm.kernel import BASES, TABLE, TABLE2, prefix_sums, runs, span_hash
-from packsieve.llm.shared import Workspace, settle
+from packsieve.llm.kernel import BASES, TABLE, TABLE2, powers, prefix_sums, runs, span_hash, word_spans
+from packsieve.llm.shared import BROADCAST_BYTES, Workspace, join_few, settle
 from packsieve.session import ship
 
 DEPTH = 400
 GRAM = 64
 STEP = 32
+#: Words of a passage, and of the suffix that stands for its windows.
+PASSAGE, WORD_GRAM = 51, 8
+#: Bytes of a row when it is broadcast: a window's hash, and a text's digest.
+WINDOW_BYTES, DIGEST_BYTES = 64, 48
+SPACES = "\t\n\x0b\x0c\r"
 
 
 def _least_leftmost(h: np.ndarray, width: int) -> np.ndarray:
@@ -52,10 +62,10 @@ def _least_leftmost(h: np.ndarray, width: int) -> np.ndarray:
     return place[:n]
 
 
-def chosen(data: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """For each window of one text, the suffix that stands for it."""
-    starts = np.arange(len(data) - GRAM + 1)
-    return _least_leftmost(span_hash(sums, starts, starts + GRAM), DEPTH - GRAM + 1)
+def chosen(n: int, sums: np.ndarray, gram: int = GRAM, depth: int = DEPTH) -> np.ndarray:
+    """For each window of ``depth`` of a text's n tokens, the suffix that stands for it."""
+    starts = np.arange(n - gram + 1)
+    return _least_leftmost(span_hash(sums, starts, starts + gram), depth - gram + 1)
 
 
 def _texts(column: pa.Array):
@@ -78,7 +88,7 @@ def _pass1(batches):
             if len(data) < DEPTH:
                 continue
             sums = prefix_sums(data)
-            at = np.unique(chosen(data, sums))
+            at = np.unique(chosen(len(data), sums))
             gram = span_hash(sums, at, at + GRAM).view(np.int64)
             order = np.argsort(gram, kind="stable")
             distinct, counts = np.unique(gram, return_counts=True)
@@ -97,7 +107,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def _steps(data: np.ndarray, places: np.ndarray):
     """Steps of the windows that the suffixes ``places`` stand for: (suffix, step, first window, windows)."""
     sums = prefix_sums(data)
-    anchor = chosen(data, sums)
+    anchor = chosen(len(data), sums)
     window = np.flatnonzero(np.isin(anchor, places))
     step = (anchor[window] - window) // STEP
     new = np.flatnonzero(np.r_[True, (anchor[window][1:] != anchor[window][:-1]) | (step[1:] != step[:-1])]) if len(window) else window
@@ -151,10 +161,11 @@ def _pass3(batches):
 
 
 def _cut(batches):
-    """Rows (d, spans, rest): the removed runs and the bytes left, from lists of runs of repeated windows."""
+    """Rows (d, spans, rest, gone_words): the removed runs, the bytes left, and how many words lost bytes, from lists of runs
+    of repeated windows."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        spans, rest = [], []
+        spans, rest, words = [], [], []
         for i, data in _texts(b.column(1)):
             start, n = _ranges(b.column(2)[i])
             edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + n - 1 + DEPTH, minlength=len(data) + 1)
@@ -162,7 +173,46 @@ def _cut(batches):
             change = np.flatnonzero(np.diff(np.r_[False, gone, False]))
             spans.append([{"start": s, "end": e} for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)])
             rest.append(data[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(rest, pa.binary())], names=["d", "spans", "rest"])
+            first, stop, _ = word_spans(data, np.array([0, len(data)]))
+            held = np.r_[0, np.cumsum(gone)]
+            words.append(int(np.count_nonzero(held[stop] > held[first])))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), pa.array(rest, pa.binary()), pa.array(words, pa.int64())], names=["d", "spans", "rest", "gone_words"])
+
+
+def _word_sums(data: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """How many words a text has, and the prefix sums of their hashes to either base."""
+    starts, stops, _ = word_spans(data, np.array([0, len(data)]))
+    words = span_hash(prefix_sums(data), starts, stops)
+    return len(words), tuple(np.r_[np.uint64(0), np.cumsum(words * powers(b, len(words) + 1)[0][: len(words)], dtype=np.uint64)] for b in BASES)
+
+
+def _word_pass1(batches):
+    """Rows (d, grams): the suffixes that stand for the windows of words of a text."""
+    for b in batches:
+        digests, grams = [], []
+        ids = b.column(0).to_pylist()
+        for i, data in _texts(b.column(1)):
+            n, (sums, _) = _word_sums(data)
+            if n < PASSAGE:
+                continue
+            at = np.unique(chosen(n, sums, WORD_GRAM, PASSAGE))
+            digests.append(ids[i])
+            grams.append(np.unique(span_hash(sums, at, at + WORD_GRAM).view(np.int64)))
+        if digests:
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, grams)))].astype(np.int32)), pa.array(np.concatenate(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), lists], names=["d", "grams"])
+
+
+def _word_pass2(batches):
+    """Rows (d, window, w1, w2) of the windows of words that the suffixes ``grams`` stand for."""
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        for i, data in _texts(b.column(1)):
+            n, (sums, more) = _word_sums(data)
+            at = chosen(n, sums, WORD_GRAM, PASSAGE)
+            window = np.flatnonzero(np.isin(span_hash(sums, at, at + WORD_GRAM).view(np.int64), np.asarray(b.column(2)[i].values)))
+            w1, w2 = (span_hash(x, window, window + PASSAGE, base).view(np.int64) for x, base in zip((sums, more), BASES, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(window), pa.binary()), pa.array(window.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["d", "window", "w1", "w2"])
 
 
 def _small(f, texts: int = 256):
@@ -175,7 +225,7 @@ def _small(f, texts: int = 256):
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, text: str = "text") -> DataFrame:
-    """(d, spans, rest) of every distinct text, known by its digest d, that holds repeated windows and has no copy."""
+    """(d, spans, rest, gone_words) of every distinct text, known by its digest d, that holds repeated windows and has no copy."""
     ship(docs.sparkSession)
     texts = docs.select(F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
     suffixes = work.table(texts.mapInArrow(_small(_pass1), "d binary, gram long, places array<int>").dropDuplicates(["d", "gram"]), "suffixes")
@@ -203,28 +253,61 @@ def repeated_spans(docs: DataFrame, work: Workspace, text: str = "text") -> Data
     equal = windows.groupBy("w1", "w2").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi").select("w1", "w2")
     found = windows.join(equal, ["w1", "w2"]).groupBy("d").agg(F.collect_list("window").alias("windows")).select("d", "windows", F.lit(1).alias("n"))
     per_text = sure.unionByName(found).groupBy("d").agg(F.collect_list(F.struct("windows", "n")).alias("parts"))
-    return left.select("d", "t").join(per_text, "d").mapInArrow(_small(_cut), "d binary, spans array<struct<start:int,end:int>>, rest binary")
+    return left.select("d", "t").join(per_text, "d").mapInArrow(_small(_cut), "d binary, spans array<struct<start:int,end:int>>, rest binary, gone_words long")
+
+
+def passages(docs: DataFrame, work: Workspace, lost: DataFrame, text: str = "text") -> DataFrame:
+    """(d, n_words) of every distinct text out of those in ``lost`` (d) that shares a passage with any other one: its words
+    that lie in such passages."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") >= 2 * PASSAGE - 1)
+    suffixes = texts.mapInArrow(_small(_word_pass1), "d binary, grams array<long>").dropDuplicates(["d"])
+    suffixes = suffixes.join(lost.select("d", F.lit(True).alias("lost")).hint("merge"), "d", "left").select("d", "grams", F.col("lost").isNull().alias("free"))
+    suffixes = work.table(suffixes, "word-suffixes")
+    each = suffixes.select("d", "free", F.explode("grams").alias("gram"))
+    # suffixes of two texts or more, one of which has lost nothing yet
+    twice = each.groupBy("gram").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.bool_or("free").alias("asked")).where("lo != hi and asked").select("gram")
+    wanted = work.table(each.join(twice, "gram").groupBy("d").agg(F.collect_list("gram").alias("grams")), "word-wanted")
+    if wanted.count() * DIGEST_BYTES <= BROADCAST_BYTES:  # few texts: the others need not be shuffled to find that out
+        texts = texts.join(F.broadcast(wanted.select("d")), "d", "left_semi")
+    windows = texts.join(wanted, "d").dropDuplicates(["d"]).select("d", "t", "grams").mapInArrow(_small(_word_pass2), "d binary, window int, w1 long, w2 long")
+    windows = work.table(windows.select("d", "window", F.struct("w1", "w2").alias("w")), "word-windows")
+    equal = windows.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("w", "n")
+    found = join_few(windows, work.table(equal, "word-equal"), "w", WINDOW_BYTES, "n").groupBy("d").agg(F.array_sort(F.collect_list("window")).alias("at"))
+    gaps = F.transform(F.expr("slice(at, 2, size(at) - 1)"), lambda p, j: F.least(F.lit(PASSAGE), p - F.get(F.col("at"), j)))
+    return found.select("d", F.aggregate(gaps, F.lit(PASSAGE), lambda a, x: a + x).cast("long").alias("n_words")).join(lost.hint("merge"), "d", "left_anti")
 
 
 def remove_repeats(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, and the spans (of copies: the whole text)."""
+    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words, and the spans (of copies: the
+    whole text). ``n_repeated_words`` are words that lost a byte; of texts that lost none, and of copies, words in passages
+    that another document holds too."""
     bytes_ = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(key), F.unhex(F.md5(bytes_)).alias("d"), F.length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("sha"))
+    words = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, " " * len(SPACES)), " "), ""))
+    rows = docs.select(F.col(key), F.unhex(F.md5(bytes_)).alias("d"), F.length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("sha"), words.alias("words"))
     copies = rows.groupBy("d").agg(F.count("*").alias("copies")).where("copies > 1").select("d", F.lit(True).alias("copied"))
-    cut = repeated_spans(docs, work, text).select("d", "spans", F.length("rest").alias("left"), F.sha2("rest", 256).alias("left_sha"))
-    cut = work.table(cut, "cut")
-    both = rows.join(copies, "d", "left").join(cut, "d", "left")
-    whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= DEPTH)
+    # the tables of either search go before the other begins
+    with Workspace(work.spark, "repeats-bytes") as own:
+        cut = repeated_spans(docs, own, text).select("d", "spans", F.length("rest").alias("left"), F.sha2("rest", 256).alias("left_sha"), "gone_words")
+        cut = work.table(cut, "cut")
+    with Workspace(work.spark, "repeats-words") as own:
+        lost = own.table(cut.select("d").unionByName(copies.select("d")).distinct(), "lost")
+        shared = work.table(passages(docs, own, lost, text).select("d", F.col("n_words").alias("shared")), "shared")
+    both = rows.join(copies, "d", "left").join(cut, "d", "left").join(shared, "d", "left")
+    copied = F.coalesce("copied", F.lit(False))
+    whole = copied & (F.col("n_bytes") >= DEPTH)
     none = F.array().cast("array<struct<start:int,end:int>>")
     return both.select(
         key, "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("left"), F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
+        F.when(whole | (copied & (F.col("words") >= PASSAGE)), F.col("words")).otherwise(F.coalesce("gone_words", "shared", F.lit(0))).cast("long").alias("n_repeated_words"),
         F.when(whole, F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))).otherwise(F.coalesce("spans", none)).alias("spans"),
     )
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``remove_repeats`` without the spans."""
     with Workspace(docs.sparkSession, "repeats") as work:
         return settle(remove_repeats(docs, work, key, text).drop("spans"))
