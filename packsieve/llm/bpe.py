@@ -34,6 +34,7 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from packsieve.llm.shared import Workspace, settle
 from packsieve.session import ship
@@ -260,7 +261,7 @@ def encode(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "t
     shares = work.table(shares, "shares").repartition(buckets, "bucket")
     coded = shares.mapInArrow(_encoder(vocab), "block string, bucket int, n int, blob binary")
     out = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    arrow = to_arrow_type(field.dataType)
     return coded.groupBy("block").applyInArrow(_assemble(folder, vocab, key, arrow, ids), out)
 
 

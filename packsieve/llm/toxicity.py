@@ -5,6 +5,8 @@ ordinary text doesn't share; each window is compressed with either dictionary, a
 says which kind of text it is like. Windows are counted by that difference and by how short the toxic dictionary makes
 them; the counts, weighed by a logistic fit on training rows, give a score of 0 to 1, and 0.5 is the threshold. A window
 is one word, twice, as blocks of a few bytes are stored raw; a word is compressed once a task, while ``CACHE`` lasts.
+Windows of several words of running text were measured and tell less (README): the one word that matters changes such a
+window's length less than its neighbours do.
 
 Training takes a bounded sample: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows, by hash of the id, none of
 them held out. Of ordinary rows one half gives the common words, the other half the dictionary and the fit; of toxic rows
