@@ -11,7 +11,9 @@ import string
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from packsieve.llm import shared
 from packsieve.llm import bpe, decontam, linededup, minhash, quality, repeats, secrets, toxicity, urlfilter, warc
 from packsieve.llm.shared import Workspace
 
@@ -38,6 +40,24 @@ def by_id(df):
     return out
 
 
+# joins with hot keys
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_joins_with_few(spark, monkeypatch, limit):
+    """Broadcast whole, or the heaviest keys only: the same rows as a plain join."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(shared, "HOT", 2)
+    rows = [(n, "hot" if n % 2 else f"k{n % 7}" if n % 5 else None) for n in range(200)]
+    many = spark.createDataFrame(rows, "id long, k string")
+    few = spark.createDataFrame([("hot", 1, 100), ("k1", 2, 10), ("k2", 3, 10), ("k3", None, 10), ("none", 5, 0)], "k string, v int, n long")
+    plain = {"hot": 1, "k1": 2, "k2": 3, "k3": None, "none": 5}
+    got = shared.attach_few(many, few, "k", "id", "n").collect()
+    assert sorted((r.id, str(r.k), str(r.v)) for r in got) == sorted((i, str(k), str(plain.get(k))) for i, k in rows)
+    got = shared.join_few(many, few, "k", 10, "n").collect()
+    assert sorted((r.id, r.k, str(r.v)) for r in got) == sorted((i, k, str(plain[k])) for i, k in rows if k in plain)
+
+
 # repeats
 
 
@@ -69,6 +89,43 @@ def test_repeats(spark):
     assert repeats.report(df.limit(0)).count() == 0
 
 
+def test_repeats_on_a_whole_table(spark):
+    """All documents of the table, with every window of 400 bytes in one dictionary."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs).collect()}
+    assert got == dict(zip(texts, repeats_expected(list(texts.values())), strict=True)) and sum(x[1] > 0 for x in got.values()) > 100
+
+
+def test_passages_of_words(spark):
+    """Words that lost a byte, else words in runs of 51 that another document holds, under other white space too."""
+    rng = random.Random(3)
+    long, short, own = sentence("l", 70), sentence("s", 50), sentence("w", 60)
+    texts = [
+        *EDGES, (1, sentence("a", 30) + " " + long), (2, long.replace(" ", "\n ") + " " + sentence("b", 40)), (3, sentence("c", 20) + " " + short), (4, short + " " + sentence("d", 60)),
+        (5, own + " " + own), (6, " ".join(long.split()[10:61])), (7, " ".join(long.split()[10:60])), (8, sentence("e", 90)), (9, sentence("e", 90)), (10, long.upper()),
+    ]
+    base = sentence("z", 400).split()
+    for n in range(20):  # pieces of one long text, some of them too short
+        at, size = rng.randrange(340), rng.randrange(30, 90)
+        texts.append((20 + n, " ".join([*sentence(f"r{n}", 20).split(), *base[at : at + size], *sentence(f"t{n}", 20).split()])))
+    words = [WORD.findall(t or "") for _, t in texts]
+    holders = collections.defaultdict(set)
+    for n, w in enumerate(words):
+        for k in range(len(w) - 50):
+            holders[tuple(w[k : k + 51])].add(n)
+    whole = [(t or "").encode() for _, t in texts]
+    seen = collections.Counter(t[k : k + 400] for t in whole for k in range(len(t) - 399))
+    want = []
+    for (i, t), w, b in zip(texts, words, whole, strict=True):
+        gone = {k + j for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1 for j in range(400)}
+        held = {k + j for k in range(len(w) - 50) if len(holders[tuple(w[k : k + 51])]) > 1 for j in range(51)}
+        ends = [(len((t or "")[: m.start()].encode()), len((t or "")[: m.end()].encode())) for m in WORD.finditer(t or "")]
+        want.append((str(i), sum(any(x in gone for x in range(*e)) for e in ends) if gone else len(held)))
+    got = [(str(r.doc_id), r.n_repeated_words) for r in repeats.report(frame(spark, texts)).collect()]
+    assert sorted(got) == sorted(want) and sum(n > 0 for _, n in want) >= 12
+
+
 # near duplicates
 
 
@@ -138,6 +195,31 @@ def test_near_duplicates_at_random(spark, monkeypatch):
     assert got == minhash_expected(texts, 3, 85)
 
 
+def test_near_duplicates_on_a_whole_table(spark):
+    """All documents of the table against exact pairs, found by the shingles that they share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, WORD.findall("".join(c.lower() if c.isascii() else c for c in r.text or ""))) for r in docs.collect()]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set() for i, w in rows}
+    holders = collections.defaultdict(list)
+    for i, x in sets.items():
+        for sh in x:
+            holders[sh].append(i)
+    both = collections.Counter((a, b) for ids in holders.values() if len(ids) > 1 for k, a in enumerate(ids) for b in ids[:k])
+    group = {i: i for i in sets}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for (a, b), n in both.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            p, q = find(a), find(b)
+            group[max(p, q)] = min(p, q)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.report(docs).collect()}
+    assert got == {i: (len(x), find(i)) for i, x in sets.items()} and sum(i != c for i, (_, c) in got.items()) > 40
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A chain whose ends are not alike, with its buckets cut into blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
@@ -165,12 +247,14 @@ def test_warc_round_trip(spark):
     got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    named = pages.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    assert sorted((str(r.page_id), str(r.refers_to)) for r in warc.round_trip(named).collect()) == sorted((w[0] if w[0] == "None" else f"p{w[0]}", "None" if w[4] is None else f"p{w[4]}") for w in want)
 
 
 def test_normaliser_makes_members(spark):
     pages = spark.createDataFrame([(n, "u", f"page {n}") for n in range(20)], "page_id long, url string, html string").coalesce(1)
     with Workspace(spark, "test") as work:
-        raw = work.table(warc.write_archives(pages, f"{work.path}/a"), "raw")
+        raw = work.table(warc.write_archives(pages, work, f"{work.path}/a"), "raw")
         done = work.table(warc.normalise(raw, f"{work.path}/a"), "done")
         r = done.first()
         disk, root = warc._open(f"{work.path}/a")
@@ -237,12 +321,90 @@ def test_secrets(spark):
     assert [got[i][0].spans.split(":")[0] for i in (3, 5, 6)] == ["der", "sshkey", "jwt"]
     assert got[4][0].spans == "hex:2:{0},hexder:2:{0}".format(2 + 2 * len(key))
     assert got[7][0].spans == got[8][0].spans == got[9][0].spans == ""
-    t = dict(texts)[1]
-    found = [(m.start(), m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12]
-    assert len(found) == 2 and got[1][0].spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted([(a, 0, "assign", b) for a, b in found] + [(m.start(), 2, "hex", m.end()) for m in secrets.HEX.finditer(t)]))
     assert (got[2][0].n_access, got[2][0].n_hex) == (1, 1)
-    assert got[1][0].base_sha256 == secrets.base_digest(dict(texts)[1])
     assert got[900][0].spans == "" and len(got[904]) == 2
+    for i, t in texts:
+        check_base(got[i][0], t)
+
+
+def base_spans(text):
+    """Base spans found character by character, without regular expressions."""
+    out, low, n = [], (text or "").lower() if (text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in text or ""), len(text or "")
+    value, at = set(string.ascii_letters + string.digits + "+/_.=-"), 0
+    while at < n:
+        best = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = at + len(name)
+                k += low[k : k + 1] in ("'", '"') and k < n
+                while low[k : k + 1] == " ":
+                    k += 1
+                if low[k : k + 1] not in (":", "=") or k >= n:
+                    continue
+                k += 1
+                while low[k : k + 1] == " ":
+                    k += 1
+                k += k < n and low[k] in "'\""
+                end = k
+                while end < n and text[end] in value:
+                    end += 1
+                if end > k:
+                    best = (at, 0, "assign", end, end - k >= 12)
+                    break
+        if best:
+            out += [best[:4]] if best[4] else []
+            at = best[3]
+        else:
+            at += 1
+    for kind, order, head, chars, least in (("access", 1, "AKIA", string.ascii_uppercase + string.digits, 18), ("hex", 2, "", "0123456789abcdef", 16)):
+        at = 0
+        while at < n:
+            end = at + len(head)
+            while text.startswith(head, at) and end < n and text[end] in chars:
+                end += 1
+            if text.startswith(head, at) and end > at + len(head):
+                out += [(at, order, kind, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def check_base(row, text):
+    want = base_spans(text)
+    counts = [sum(k == kind for _, _, k, _ in want) for kind in ("assign", "access", "hex")]
+    digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+    assert ([row.n_assign, row.n_access, row.n_hex], row.base_sha256) == (counts, digest)
+    assert set(f"{k}:{a}:{b}" for a, _, k, b in want) <= set(row.spans.split(","))
+
+
+def test_base_spans_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = random.Random(9)
+    bits = ["token", "api_key", "APIKEY", "secret", "passwd", "'", '"', " ", ":", "=", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "é", "İ", "\n", "a1.b2-c3_d4/e5", "-"]
+    made = {10_000 + n: "".join(rng.choices(bits, k=rng.randrange(1, 30))) for n in range(3000)}
+    rows = secrets.report(spark.createDataFrame(list((texts | made).items()), "doc_id long, text string")).collect()
+    for r in rows:
+        check_base(r, (texts | made)[r.doc_id])
+    assert len(rows) == len(texts) + len(made) and sum(r.n_assign for r in rows) > 50
+
+
+def test_structures_are_parsed_to_the_leaves():
+    spaced = b64url(b'{ "alg": "HS256"}') + "." + b64url(b'{"sub":"1"}') + ".c2ln"
+    broken = b64url(b'{\n "alg": "none"}') + "." + b64url(b'{}') + "."
+    assert [x[2] for x in secrets.scan(f"a {spaced} b {broken}x c")] == ["jwt", "jwt"]
+    assert not secrets.scan(b64url(b'{"typ":"x"}') + "." + b64url(b"{}") + ".c2ln")
+    algorithm, rsa = b"\x30\x05\x06\x03\x2b\x65\x70", der(b"\x02\x01\x00", b"\x02\x20" + b"\x7a" * 32)
+    for inner, fits in ((rsa, True), (rsa[:-1], False), (rsa + b"\0", False), (b"\x04\x20" + bytes(32), True), (bytes([0x30, 34, 0x04, 0x21]) + bytes(32), False)):
+        data = der(b"\x02\x01\x00", algorithm, bytes([0x04, len(inner)]) + inner)
+        assert secrets.is_der_key(data) == fits
+        assert bool(secrets.scan(base64.b64encode(data).decode())) == fits
+    assert not secrets.is_der_key(der(b"\x02\x01\x00", b"\x30\x06" + algorithm[2:], b"\x04\x22\x04\x20" + bytes(32)))  # an algorithm cut short
+    deep = b""
+    for _ in range(40):
+        deep = der(deep)
+    assert not secrets.is_der_key(der(b"\x02\x01\x00", deep))
 
 
 def test_keys_with_text_around():
@@ -282,6 +444,8 @@ def test_bpe(spark, monkeypatch):
     with Workspace(spark, "test") as work:
         rows = {r.doc_id: r.ids for r in bpe.encode(frame(spark, texts), work, ids=True).collect()}
         assert rows[1] == encoding.encode_ordinary(dict(texts)[1]) and rows[900] == []
+    named = bpe.report(frame(spark, texts[-3:]).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string"))))
+    assert sorted((r.doc_id, r.n_tokens) for r in named.collect()) == sorted((f"k{i}", out[i][0].n_tokens) for i, _ in texts[-3:])
     assert bpe.report(frame(spark, texts).limit(0)).count() == 0
 
 
@@ -368,6 +532,34 @@ def test_quality_words(spark):
         mine = [i for i, _, x in docs if x == lang]
         ref = [sum(c) for c in zip(*(bins[i] for i in mine), strict=True)]
         assert all(got[i].js_words == pytest.approx(js(bins[i], ref) if any(bins[i]) else 1.0, abs=1e-9) for i in mine)
+    assert all(quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), guard_docs=1000).where("not base_failed").select("kept").toPandas()["kept"])
+
+
+def classes(text):
+    """Letters, white space, symbols, digits, punctuation, and bytes beyond one a character."""
+    marks = (lambda c: c in " \t\n\x0b\x0c\r", lambda c: c in "#*$%&|<>", lambda c: c in string.digits, lambda c: c in ".,;:!?'\"()[]{}-_/\\+=@^~`")
+    counted = [sum(map(m, text)) for m in marks]
+    return [len(text) - sum(counted), *counted, len(text.encode()) - len(text)]
+
+
+def test_quality_characters_on_a_whole_table(spark):
+    """The distance of character classes and the verdict it gives, for every document of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: (r.text or "", r.lang if r.lang in quality.COMMON_WORDS else "other") for r in docs.collect()}
+    refs, held = {}, collections.Counter()
+    for t, lang in rows.values():
+        if len(WORD.findall(t)) >= quality.GUARD_WORDS:
+            refs[lang] = [a + b for a, b in zip(refs.get(lang, [0] * 6), classes(t))]
+            held[lang] += 1
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    rejected = 0
+    for i, (t, lang) in rows.items():
+        judged = len(WORD.findall(t)) >= quality.GUARD_WORDS and held[lang] >= quality.GUARD_DOCS
+        far = js(classes(t), refs[lang]) if judged else 0.0
+        assert got[i].js_chars == pytest.approx(far, abs=1e-9)
+        rejected += far > quality.MAX_CHAR_DISTANCE
+        assert not (got[i].kept and far > quality.MAX_CHAR_DISTANCE + 1e-9) and not (got[i].kept and got[i].base_failed)
+    assert rejected > 10
 
 
 # decontamination
