@@ -3,8 +3,8 @@
 Base kinds are plain patterns. The structural kinds decode a candidate and parse it before it is reported:
 
 * ``jwt``: three dot-joined base64url parts, the first a JSON object with a string ``alg``, the second a JSON object;
-* ``der``: base64 whose bytes are one ASN.1 SEQUENCE with exact nested lengths that starts with a version INTEGER, as
-  private keys do;
+* ``der``: base64 whose bytes are one ASN.1 SEQUENCE that starts with a version INTEGER, as private keys do, with exact
+  lengths down to the leaves; where an algorithm follows the version, its OCTET STRING is parsed too;
 * ``hexder``: the same in hex;
 * ``sshkey``: base64 of the OpenSSH private key container, with its length-prefixed fields intact.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import struct
@@ -36,7 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
+#: The head of a token is base64 of ``{`` and a quote or white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
 #: Runs of base64, line breaks allowed inside as in key files; a line of dashes ends one.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 DASHES = re.compile(r"-{5,}")
@@ -45,6 +45,8 @@ LINE = re.compile(r"[^\r\n]+")
 KEY_HEAD = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
 HEX_BYTES = re.compile(r"[0-9A-Fa-f]{64,}")
 SSH_MAGIC = b"openssh-key-v1\0"
+#: Values in values that are followed; keys have four levels.
+MAX_DEPTH = 16
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -72,19 +74,30 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
+def _parts(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """The ASN.1 values that fill data[at:end], whose constructed ones are filled likewise; None if something is amiss."""
+    out = []
+    while at < end:
+        part = _tlv(data, at, end)
+        if not part or part[0] & 0x20 and (depth == MAX_DEPTH or _parts(data, part[1], part[2], depth + 1) is None):
+            return None
+        out.append(part)
+        at = part[2]
+    return out
+
+
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that fills ``data``, whose parts fill it, and whose first part is an INTEGER 0 to 3."""
-    top = _tlv(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
+    """One SEQUENCE that fills ``data`` down to the leaves: a version from 0 to 3, then numbers or octets (RSA, DSA, EC), or
+    an algorithm and the key's own value in octets (PKCS #8)."""
+    top = _parts(data, 0, len(data))
+    if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    at, parts = top[1], []
-    while at < top[2]:
-        part = _tlv(data, at, top[2])
-        if not part:
-            return False
-        parts.append((part[0], data[part[1] : part[2]]))
-        at = part[2]
-    return len(parts) >= 2 and parts[0][0] == 0x02 and len(parts[0][1]) == 1 and parts[0][1][0] <= 3 and parts[1][0] in (0x02, 0x04, 0x30)
+    parts = _parts(data, top[0][1], top[0][2]) or []
+    if len(parts) < 2 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 3:
+        return False
+    if parts[1][0] != 0x30:
+        return parts[1][0] in (0x02, 0x04)
+    return len(parts) > 2 and parts[2][0] == 0x04 and len(_parts(data, *parts[2][1:]) or []) == 1
 
 
 def ssh_size(data: bytes) -> int:
@@ -180,10 +193,6 @@ def scan(text: str | None) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
-def _joined(spans: list[tuple[int, int, str, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
-
-
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and the spans found, as array<struct<kind, start, end>>."""
     ship(docs.sparkSession)
@@ -212,7 +221,3 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def _of(kind: str):
     return lambda s: s["kind"] == kind
 
-
-def base_digest(text: str | None) -> str:
-    """Hash of the base spans of one text, as ``report`` gives it."""
-    return hashlib.sha256(_joined([s for s in scan(text) if s[1] < 3]).encode()).hexdigest()
