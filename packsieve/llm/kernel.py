@@ -76,12 +76,12 @@ def runs(texts: pa.Array):
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and how many words each text has. Words don't cross texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and how many words each text has. Words don't cross texts; ``gaps`` tells the bytes between them."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets) - 1, np.int64)
-    gap = IS_SPACE[data]
+    gap = gaps[data]
     first = np.empty(len(data), bool)
     first[0] = True
     first[1:] = gap[:-1]

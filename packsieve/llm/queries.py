@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.llm import bpe, decontam, linededup, minhash, quality, repeats, secrets, toxicity, urlfilter, warc
+from packsieve.llm import align, bpe, chat, decontam, linededup, minhash, quality, repeats, search, secrets, toxicity, urlfilter, warc
 
 #: The rules of the URL query, as (verdict, host, path).
 URL_RULES = [
@@ -60,6 +60,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_added(_read(spark, sf_dir, "conversations")))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(_read(spark, sf_dir, "documents"))
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
@@ -90,5 +102,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_chat": op11_chat,
+    "op12_search": op12_search,
+    "op13_alignment": op13_alignment,
 }
-ORACLES = {"op4_url_filter": OP4_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL, "op11_chat": chat.ORACLE_SQL, "op12_search": search.ORACLE_SQL}
