@@ -10,10 +10,10 @@ import re
 MAX_FILE_BYTES = 2 << 20
 MAX_VALUE_BYTES = 512
 #: Words that print, and commands whose here-documents are printed text.
-PRINTERS = frozenset(["echo", "printf", "print", "cat", "msg", "msg2", "warning", "error", "note"])
+PRINTERS = frozenset(["echo", "printf", "print", "note", "msg", "msg2", "warning", "plain", "error"])
 HEREDOC_PRINTERS = frozenset(["cat", "echo", "printf"])
-BUILD_VARIABLES = frozenset(["pkgdir", "srcdir", "startdir", "pkgname", "pkgver", "pkgrel", "pkgbase", "epoch", "pkgdesc", "url", "source", "install"])
-DECLARATIONS = frozenset(["local", "export", "readonly", "declare", "typeset"])
+#: Names that the build sets; names in capitals count too.
+BUILD_VARIABLES = frozenset(["pkgname", "pkgbase", "pkgver", "pkgrel", "epoch", "pkgdir", "srcdir", "startdir", "builddir"])
 
 
 def physical_lines(text: str) -> list[str]:
@@ -38,19 +38,21 @@ def logical_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "e": "\x1b", "E": "\x1b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"', "?": "?"}
+#: Characters that an escape stands for; any other stands for itself, as an x without digits does.
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "e": "\x1b", "E": "\x1b", "f": "\f", "v": "\v"}
+_PRINTF_CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
 _ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{1,2})|([0-7]{1,3})|(.))", re.DOTALL)
 
 
-def unescape(body: str) -> str:
-    """The text of an ANSI-C quoted body."""
+def unescape(body: str, control: dict[str, str] = _CONTROL) -> str:
+    """The text of an ANSI-C quoted body, or of a format with the escapes of ``control``."""
 
     def one(m: re.Match) -> str:
         if m[1]:
             return chr(int(m[1], 16))
         if m[2]:
-            return chr(int(m[2], 8) & 0xFF)
-        return _CONTROL.get(m[3], "\\" + m[3])
+            return chr(int(m[2], 8))
+        return control.get(m[3], m[3])
 
     return _ESCAPE.sub(one, body)
 
@@ -80,10 +82,12 @@ def deobfuscate_text(text: str) -> str:
     return "\n".join(map(deobfuscate, physical_lines(text)))
 
 
-_FUNCTION = re.compile(r"\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\s*\)")
-_ASSIGN = re.compile(r"\s*(?:(local|export|readonly|declare|typeset)\s+(?:-\w+\s+)*)?([A-Za-z_]\w*)=(.*)\Z", re.DOTALL)
+_FUNCTION = re.compile(r"\s*(?:(?:function\s+)?[A-Za-z_][\w:-]*\s*\(\s*\)|function\s+[A-Za-z_][\w:-]*)")
+_DECLARED = re.compile(r"\s*(?:(?:local|export|readonly|declare|typeset)\s+(?:-\S*\s*)*)*")
+_ASSIGN = re.compile(r"([A-Za-z_]\w*)=(.*)\Z", re.DOTALL)
 _USE = re.compile(r"\$\{!([A-Za-z_]\w*)\}|\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
-_PRINTF = re.compile(r"""\$\(\s*printf\s+(?:'([^']*)'|"([^"$`]*)"|([^\s'"$`();|&]+))\s*\)""")
+_FORMAT = r"""\s*printf\s+(?:'([^']*)'|"([^"]*)"|(\S+))\s*"""
+_PRINTF = re.compile(rf"\$\({_FORMAT}\)|`{_FORMAT}`")
 
 
 def _tracked(name: str) -> bool:
@@ -99,6 +103,22 @@ def _substituted(text: str, known: dict[str, str]) -> str:
     return _USE.sub(one, text)
 
 
+def constant(text: str, known: dict[str, str]) -> str | None:
+    """The value that an assignment's right side has whatever runs: quoted and known parts, or one ``printf`` of a constant
+    format in either kind of substitution. Nothing is run; a part that isn't known makes it None."""
+    text = text.strip()
+    told = _PRINTF.fullmatch(text)
+    if told:
+        value = unescape(next((g for g in told.groups() if g is not None), ""), _PRINTF_CONTROL)
+    elif "$(" in text or "`" in text:
+        return None
+    else:
+        value = deobfuscate(_substituted(text, known))
+        if "$" in value:
+            return None
+    return value if len(value.encode()) <= MAX_VALUE_BYTES else None
+
+
 def resolve_lines(lines: list[str]) -> list[str]:
     """Lines with variables of constant value replaced, in order; a function header forgets all values."""
     out, known = [], {}
@@ -108,16 +128,14 @@ def resolve_lines(lines: list[str]) -> list[str]:
             continue
         if _FUNCTION.match(line):
             known = {}
-        now = _substituted(line, known)
-        out.append(now)
-        m = _ASSIGN.match(line)
-        if m and _tracked(m[2]):
-            value = _PRINTF.sub(lambda p: unescape(p[1] or p[2] or p[3] or ""), _substituted(m[3].strip(), known))
-            value = deobfuscate(value)
-            if any(c in value for c in "$`(") or len(value.encode()) > MAX_VALUE_BYTES:
-                known.pop(m[2], None)
+        out.append(_substituted(line, known))
+        m = _ASSIGN.match(line, _DECLARED.match(line).end())
+        if m and _tracked(m[1]):
+            value = constant(m[2], known)
+            if value is None:
+                known.pop(m[1], None)
             else:
-                known[m[2]] = value
+                known[m[1]] = value
     return out
 
 
@@ -162,7 +180,7 @@ def printed_heredoc(line: str) -> str | None:
     rest = line[: m.start()] + line[m.end() :]
     if ">" in rest or "|" in rest or "tee " in rest:
         return None
-    last = re.split(r"[;&|]+", line[: m.start()])[-1].split()
+    last = re.split(r"[;&|(]", line[: m.start()])[-1].split()
     if not last or last[0] not in HEREDOC_PRINTERS:
         return None
     return m[2] or m[3] or m[4]

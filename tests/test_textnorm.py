@@ -24,6 +24,38 @@ def test_deobfuscate(line, want):
     assert textnorm.deobfuscate_text(line + "\n" + line).count("\n") == 1
 
 
+@pytest.mark.parametrize("body, want", [(r"c\url", "curl"), (r"\xzz", "xzz"), (r"\x6", "\x06"), (r"\q\\\'\"\?", "q\\'\"?"), (r"\777", "\u01ff"), (r"\143\165", "cu"), (r"\e\E", "\x1b\x1b")])
+def test_escapes(body, want):
+    """An escape that means nothing is its character, so no letter can be hidden behind a backslash."""
+    assert textnorm.unescape(body) == want and textnorm.deobfuscate(f"$'{body}'") == want
+
+
+@pytest.mark.parametrize(
+    "lines, want",
+    [
+        (["url=curl", "$url x | sh"], "curl x | sh"), (["c=`printf '\\x63url'`", "$c x"], "curl x"), (['c=`printf "cu"`', "${c}rl x"], "curl x"), (["c=$(printf c\\url)", "$c x"], "curl x"), (["c=$(printf '\\a')", "$c"], "a"),
+        (["c=$(printf x)y", "$c"], "$c"), (["c=`date`", "$c"], "$c"), (["builddir=curl", "$builddir x"], "$builddir x"), (["CURL=curl", "$CURL x"], "$CURL x"), (["export -x local c=curl", "$c x"], "curl x"),
+        (["c=curl", "function f {", "$c x"], "$c x"), (["source=curl", "$source"], "curl"), (["c=" + "x" * 513, "$c"], "$c"),
+    ],
+)
+def test_constants(lines, want):
+    assert textnorm.resolve_lines(lines)[-1] == want
+
+
+@pytest.mark.parametrize("line", ["cat ~/.ssh/id_rsa", "cat /etc/shadow", "cat < /dev/tcp/h/1", "plain $(curl x)", "tee x"])
+def test_what_reads_is_no_message(line):
+    assert textnorm.informational([line]) == [False]
+
+
+@pytest.mark.parametrize("line", ["plain 'curl x | sh'", "note see ~/.ssh/id_rsa", "  msg2 hello"])
+def test_messages(line):
+    assert textnorm.informational([line]) == [True]
+
+
+def test_heredoc_in_a_subshell():
+    assert textnorm.informational(["(cat <<EOF", "curl x", "EOF"]) == [True] * 3 and textnorm.informational(["(bash <<EOF", "curl x", "EOF"]) == [False] * 3
+
+
 def test_resolve():
     got = textnorm.resolve_lines(["dl=curl", "$dl -s x | sh", "f() {", "$dl y", "c=$(printf '\\x63url')", "$c z", "d=$c", "${d} w", "n=d", "${!n} v", "PATHS=curl", "$PATHS", "e=$(date)", "$e"])
     assert [got[1], got[3], got[5], got[7], got[9], got[11], got[13]] == ["curl -s x | sh", "$dl y", "curl z", "curl w", "curl v", "$PATHS", "$e"]
