@@ -169,7 +169,7 @@ RULES: list[Rule] = [
     _r("SRC-009", "high", "network_security", "PI", 94, "disguised address in a URL", r"https?://\[[0-9a-f:.]+\]", r"https?://0x[0-9a-f]{2,8}(?:[:/]|$)", r"https?://\d{8,10}(?:[:/]|$)"),
     _r("OBF-007", "high", "obfuscation", "PI", 506, "printf of escapes", r"\bprintf\b.*(?:\\x[0-9a-f]{1,2}|\\[0-7]{2,3}).*(?:\\x[0-9a-f]{1,2}|\\[0-7]{2,3})"),
     _r("OBF-008", "high", "obfuscation", "PI", 506, "base32 or base16 decoded", r"\b(?:base32|base16|basenc)\b.*(?:-d\b|--decode\b)"),
-    _r("OBF-011", "high", "obfuscation", "PI", 94, "shell fed by a here-string", rf"{FREE_SHELL}\s*(?:-\S+\s*)*<<<"),
+    _r("OBF-011", "high", "obfuscation", "PI", 94, "shell fed by a here-string", rf"{FREE_SHELL}\s*(?:-\S+\s+)*(?:-\S+)?<<<"),
     _r("EXEC-002", "critical", "malicious_code", "PI", 494, "shell runs a download", rf"{FREE_SHELL}\s+-\w*c\s+[\"']?\$\(\s*(?:curl|wget|aria2c|fetch|http)\b"),
     _r("EXEC-005", "medium", "malicious_code", "PI", 506, "detached process", rf"\b(?:setsid|nohup)\s+(?:curl\b|wget\b|{SHELLS}\b|/tmp/|\./)"),
     _r("EXEC-006", "high", "malicious_code", "PI", 94, "sqlite shell command", r"\bsqlite3\b.*\.(?:shell|system|import)\b"),

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from packsieve.functions.severity import RANK, at_least
 
-INSTALL_OPTIONS = "S"
+#: Letters and long names of a helper's operations, and of what makes a sync read only.
+SYNC, UPGRADE = ("S", "sync"), ("U", "upgrade")
+NO_INSTALL = [("Q", "query"), ("R", "remove"), ("F", "files"), ("D", "database"), ("T", "deptest"), ("V", "version"), ("G", "getpkgbuild"), ("P", "show")]
+READ_ONLY_LETTERS, READ_ONLY = "silgcp", ["search", "info", "list", "groups", "clean", "print"]
 
 
 def severity_gate(findings: DataFrame, fail_on: str = "high", key: str = "pkg_id") -> DataFrame:
@@ -33,11 +36,39 @@ def policy(worst: Column, interactive: Column, reviewed: Column) -> Column:
     )
 
 
+def _arguments(argv: Column) -> tuple[Column, Column, Column]:
+    """(letters of short options, names of long options, operands) of a command's arguments."""
+    argv = F.filter(F.coalesce(argv, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    stop = F.array_position(argv, "--").cast("int")
+    own = F.when(stop > 0, F.slice(argv, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(argv)
+    after = F.when(stop > 0, F.slice(argv, stop + 1, F.size(argv))).otherwise(F.array().cast("array<string>"))
+    long = F.transform(F.filter(own, lambda x: F.startswith(x, F.lit("--"))), lambda x: F.substring_index(F.substring(x, 3, 1 << 30), "=", 1))
+    short = F.filter(own, lambda x: F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("--")))
+    return F.array_join(F.transform(short, lambda x: F.substring(x, 2, 1 << 30)), ""), long, F.concat(F.filter(own, lambda x: ~F.startswith(x, F.lit("-"))), after)
+
+
+def operands(argv: Column) -> Column:
+    """What a helper's arguments name, in order: all that are no options, and all after ``--``."""
+    return _arguments(argv)[2]
+
+
 def operation(argv: Column) -> Column:
-    """Whether a helper's arguments install packages: sync with neither search, info nor list letters, or a bare list."""
-    first = F.get(argv, F.lit(0))
-    sync = first.rlike("^-[A-Za-z]*S") & ~first.rlike("^-[A-Za-z]*[silgcp]")
-    return F.when(first.isNull(), "pass").when(sync | ~F.startswith(first, F.lit("-")), "install").otherwise("pass")
+    """Whether a helper's arguments (an array) can install packages: ``install`` or ``pass``.
+
+    All arguments count, short letters in any grouping, long names with or without a value. With something to install,
+    only a read-only sync or another operation passes; flags that are unknown don't turn an install into a pass. Nothing
+    named is a pass, as are null and empty arguments.
+    """
+    short, long, named = _arguments(argv)
+    has = lambda letter, name: F.contains(short, F.lit(letter)) | F.array_contains(long, name)
+    sync, upgrade = has(*SYNC), has(*UPGRADE)
+    other, reads = F.lit(False), short.rlike(f"[{READ_ONLY_LETTERS}]")
+    for x in NO_INSTALL:
+        other = other | has(*x)
+    for x in READ_ONLY:
+        reads = reads | F.array_contains(long, x)
+    installs = F.when(sync | upgrade, ~(sync & reads)).otherwise(~other & ~reads)
+    return F.when((F.size(named) > 0) & installs, "install").otherwise("pass")
 
 
 def membership(official: Column, lookup: Column) -> Column:

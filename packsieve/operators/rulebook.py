@@ -5,10 +5,14 @@ from __future__ import annotations
 import tomllib
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from packsieve.functions import cost
 from packsieve.functions.severity import CATEGORIES, SEVERITIES
 from packsieve.operators.catalog import Inert, Literal, Rule
+from packsieve.session import ship
 
 LETTERS = {"pkgbuild": "P", "install_script": "I"}
 RULE_TYPE = "id string, place int, kind string, pattern string, severity string, category string, enabled boolean"
@@ -55,7 +59,7 @@ def read_folder(folder: str) -> tuple[list[Rule], dict[str, str]]:
 
 
 def broken(spark: SparkSession, rules: list[Rule]) -> dict[str, str]:
-    """Rules whose expressions the engine's dialect does not take, with its message."""
+    """Rules whose expressions the engine's dialect does not take, with its message, or may take without end (``cost``)."""
     compile_, out = spark._jvm.java.util.regex.Pattern.compile, {}
     for r in rules:
         extra = [p for x in r.patterns if isinstance(x, Inert) for p in (x.name if x.kind == "function" else None, x.value) if p]
@@ -65,6 +69,10 @@ def broken(spark: SparkSession, rules: list[Rule]) -> dict[str, str]:
             except Exception as e:  # the JVM's PatternSyntaxException
                 out[r.id] = str(getattr(e, "java_exception", e)).splitlines()[0]
                 break
+            reason = cost.judge(p)[1]
+            if reason:
+                out[r.id] = reason
+                break
     return out
 
 
@@ -92,3 +100,18 @@ def frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
             kind, text = ("regex", p) if isinstance(p, str) else ("literal", p.text) if isinstance(p, Literal) else (p.kind, p.name)
             rows.append((r.id, n, kind, text, r.severity, r.category, r.enabled))
     return spark.createDataFrame(rows, RULE_TYPE)
+
+
+def costs(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Rows of a rule table with ``loops``, the repeats in a row of an expression, and ``refused``, why it cannot be run (null
+    if it can): for collections of rules that are tables themselves. A null expression is refused."""
+    ship(patterns.sparkSession)
+    schema = patterns.schema
+
+    def run(batches):
+        for b in batches:
+            told = [cost.judge(p) if p is not None else (0, "no expression") for p in b.column(schema.names.index(pattern)).to_pylist()]
+            made = [pa.array([t[0] for t in told], pa.int32()), pa.array([t[1] for t in told], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*schema.names, "loops", "refused"])
+
+    return patterns.mapInArrow(run, StructType([*schema.fields, StructField("loops", IntegerType()), StructField("refused", StringType())]))

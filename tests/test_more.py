@@ -171,11 +171,39 @@ def test_trees_without_recipe_and_large_files(spark, tmp_path):
     assert packages.read_tree(spark, str(tmp_path), "PKGBUILD").count() == 2
 
 
+OPERATIONS = {
+    "install": ["-S a", "-Syu a", "-Sy --needed a", "--sync a", "-U f.pkg", "--upgrade f", "--noconfirm -S a", "-S --noconfirm -- -a", "a", "--noconfirm a", "-y a", "-S --config=x a", "-US a", "-Ui f", "-SQ a", "--needed --asdeps a b", "-- a"],
+    "pass": ["", "-S", "-Syu", "--sync", "-Ss a", "-S --search a", "-Si a", "-Sl repo", "-Sg a", "-Sc", "-Sp a", "--sync --info a", "-Q a", "-Qi a", "-R a", "--remove a", "-F a", "-D a", "-T a", "-V", "-G a", "--getpkgbuild a", "-P a", "--show a", "-s a", "--list a", "--", "-Rns a b"],
+}
+
+
 def test_operation(spark):
-    ops = {a: spark.createDataFrame([(a,)], "a string").select(gates.operation(F.array("a"))).first()[0] for a in ("-S", "-Syu", "-Ss", "-Q", "name")}
+    rows = [(want, x.split(" ") if x else []) for want, told in OPERATIONS.items() for x in told] + [("pass", None), ("pass", [None]), ("install", [None, "a"])]
+    got = spark.createDataFrame(rows, "want string, a array<string>").select("want", "a", gates.operation(F.col("a")).alias("got"), gates.operands(F.col("a")).alias("named")).collect()
+    assert not [r for r in got if r.got != r.want]
+    named = {" ".join(r.a): r.named for r in got if r.a and None not in r.a}
+    assert named["-S --noconfirm -- -a"] == ["-a"] and named["-S --config=x a"] == ["a"] and named["--needed --asdeps a b"] == ["a", "b"] and named["--"] == []
     codes = spark.createDataFrame([("pass",), ("warn",), ("block",), ("abort",), ("fail",)], "o string").select(gates.exit_code(F.col("o"))).collect()
     assert [r[0] for r in codes] == [0, 0, 1, 1, 1]
-    assert ops == {"-S": "install", "-Syu": "install", "-Ss": "pass", "-Q": "pass", "name": "install"}
+
+
+def test_provenance_of_packages_with_several_files(spark):
+    """A package is one text: no finding without a change, one state a package, whatever the order of its files."""
+    files = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], "pkg_id string, file_type string, file string, content string")
+    recipe, hook = ("pkgbuild", "PKGBUILD", "curl x"), ("install_script", "a.install", "npm install y")
+    old = provenance.snapshots(files(hook, recipe), F.lit("1"))
+    assert [(r.file, r.markers) for r in old.collect()] == [("PKGBUILD", ["curl-net", "npm"])]
+    now = provenance.snapshots(files(recipe, hook), F.lit("2"))
+    assert provenance.findings(now, old).count() == 0 and [r.last_seen for r in provenance.next_state(now, old).collect()] == ["1"]
+    state, _ = provenance.known_state(provenance.stored(provenance.next_state(now, old)))
+    moved = provenance.snapshots(files(("pkgbuild", "PKGBUILD", "npm install y"), ("install_script", "a.install", "curl x")), F.lit("3"))
+    assert provenance.findings(moved, state).count() == 0 and [r.last_seen for r in provenance.next_state(moved, state).collect()] == ["3"]
+    more = provenance.snapshots(files(recipe, ("install_script", "a.install", "npm install y; eval z"), ("install_script", "b.install", None)), F.lit("4"))
+    assert [(r.file, r.detail) for r in provenance.findings(more, state).collect()] == [("PKGBUILD", "eval")]
+    with pytest.raises(Exception, match="two states of package p"):
+        provenance.stored(old.unionByName(now)).collect()
+    twice = spark.createDataFrame([("p", '{"digest":"a","markers":[],"last_seen":"1"}'), ("p", '{"digest":"b","markers":["npm"],"last_seen":"2"}')], "package string, record string")
+    assert [(r.digest, r.markers) for r in provenance.known_state(twice)[0].collect()] == [("b", ["npm"])]
 
 
 def test_settings(tmp_path):
