@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from packsieve.llm.shared import Workspace, settle, small
 from packsieve.session import ship
 
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 16 << 20
 #: Pieces that the libraries get at once, and parts that a pair's counts are added up in first.
 CHUNK, SALTS = 20_000, 16
 CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
@@ -69,21 +70,44 @@ class Pair:
         self.bytes_a = [bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode() for w in words]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
+        self.table_a, self.table_b = (Table(x) for x in (self.bytes_a, self.bytes_b))
         self.width = len(pieces)
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
             raise ValueError(f"{b} has pieces across the places where texts are cut")
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for pieces of texts that have a space in front already."""
-        out_a, out_b = [], []
+    def encode(self, pieces: list[str]):
+        """(ids, ids of each piece) of both for pieces of texts that have a space in front already."""
+        out = [], [], [], []
         for at in range(0, len(pieces), CHUNK):
             part = pieces[at : at + CHUNK]
-            out_a += [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
             # B puts a space in front itself; one that begins with a line break gets its own token for that space
             got = self.b.encode([p[1:] if p[0] == " " else p for p in part], num_threads=1)
-            out_b += [ids if p[0] == " " else ids[1:] for p, ids in zip(part, got, strict=True)]
-        return out_a, out_b
+            both = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)], [ids if p[0] == " " else ids[1:] for p, ids in zip(part, got, strict=True)]
+            for k, ids in enumerate(both):
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                out[2 * k].append(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum())))
+                out[2 * k + 1].append(n)
+        return [np.concatenate([*x, np.zeros(0, np.int64 if k % 2 else np.int32)]).astype(np.int64 if k % 2 else np.int32) for k, x in enumerate(out)]
+
+
+class Table:
+    """Bytes of tokens by id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(x) for x in tokens], np.int64)
+        self.starts = _heads(self.sizes)[:-1]
+
+    def join(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[spread(self.starts[ids], self.sizes[ids])]
+
+    def equal(self, ids: np.ndarray, n: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which pieces have tokens (``ids``, ``n`` a piece) whose bytes are the piece's own (``own``, ``sizes`` a piece)."""
+        good = np.diff(_heads(self.sizes[ids])[_heads(n)]) == sizes
+        wrong = self.join(ids[np.repeat(good, n)]) != own[np.repeat(good, sizes)]
+        if wrong.any():
+            good[np.flatnonzero(good)[np.searchsorted(_heads(sizes[good])[1:], np.flatnonzero(wrong), "right")]] = False
+        return good
 
 
 @functools.cache
@@ -135,81 +159,84 @@ class Block:
         if text:
             found = [seen.setdefault(p, len(seen)) for p in CUT.split(" " + text)]
             self.size += len(text)
-        self.docs.append(np.array(found, np.int64))
+        self.docs.append(np.array(found, np.int32))
 
     def aligned(self, both: Pair) -> dict:
         pieces = list(self.pieces)
-        ids_a, ids_b = both.encode(pieces)
-        good = []
-        for p, a, b in zip(pieces, ids_a, ids_b, strict=True):
-            own = p.encode()
-            good.append(b"".join([both.bytes_a[i] for i in a]) == own == b"".join([both.bytes_b[i] for i in b]))
+        own_sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        own = np.frombuffer("".join(pieces).encode(), np.uint8)
+        ids_a, n_a, ids_b, n_b = both.encode(pieces)
+        self.pieces = pieces = None
+        good = both.table_a.equal(ids_a, n_a, own, own_sizes) & both.table_b.equal(ids_b, n_b, own, own_sizes)
+        at, heads_a, heads_b, extra = _heads(own_sizes), _heads(n_a), _heads(n_b), []
         docs = []
         for d in self.docs:
-            if all([good[i] for i in d.tolist()]):
-                docs.append(d)
-                continue
-            own = b"".join([pieces[i].encode() for i in d.tolist()])
-            whole = [i for k in d.tolist() for i in ids_a[k]], [i for k in d.tolist() for i in ids_b[k]]
-            if b"".join([both.bytes_a[i] for i in whole[0]]) == own == b"".join([both.bytes_b[i] for i in whole[1]]):  # its pieces differ, it does not
-                docs.append(np.array([len(good)], np.int64))
-                ids_a.append(whole[0])
-                ids_b.append(whole[1])
-                good.append(True)
-            else:
-                docs.append(d[:0])
-        keep = np.unique(np.concatenate(docs))  # pieces of the texts that have tokens
-        place = np.zeros(len(good), np.int64)
+            if not good[d].all():
+                whole = own[spread(at[d], own_sizes[d])]
+                a, b = ids_a[spread(heads_a[d], n_a[d])], ids_b[spread(heads_b[d], n_b[d])]
+                if np.array_equal(both.table_a.join(a), whole) and np.array_equal(both.table_b.join(b), whole):  # its pieces differ, it does not
+                    d = np.array([len(n_a) + len(extra)], np.int32)
+                    extra.append((a, b))
+                else:
+                    d = d[:0]
+            docs.append(d)
+        if extra:
+            ids_a, ids_b = np.concatenate([ids_a, *[a for a, _ in extra]]), np.concatenate([ids_b, *[b for _, b in extra]])
+            n_a, n_b = np.r_[n_a, [len(a) for a, _ in extra]], np.r_[n_b, [len(b) for _, b in extra]]
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        flat, ends = np.concatenate(docs), _heads(sizes)
+        keep = np.unique(flat)  # pieces of the texts that have tokens
+        place = np.zeros(len(n_a), np.int32)
         place[keep] = np.arange(len(keep))
-        docs = [place[d] for d in docs]
-        ids_a, ids_b = [ids_a[i] for i in keep.tolist()], [ids_b[i] for i in keep.tolist()]
-        n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
-        group_a, group_b, n_groups = groups(both.size_a[flat_a], both.size_b[flat_b])
+        flat, docs = place[flat], [place[d] for d in docs]
+        ids_a, ids_b = ids_a[spread(_heads(n_a)[keep], n_a[keep])].astype(np.int64), ids_b[spread(_heads(n_b)[keep], n_b[keep])].astype(np.int64)
+        n_a, n_b = n_a[keep], n_b[keep]
+        group_a, group_b, n_groups = groups(both.table_a.sizes[ids_a], both.table_b.sizes[ids_b])
         # every piece ends in a common cut, so a group is in one piece
         last = group_a[_heads(n_a)[1:] - 1] + 1 if len(n_a) else np.zeros(0, np.int64)
-        first = np.r_[0, last[:-1]].astype(np.int64) if len(last) else last
+        first = _heads(np.diff(last, prepend=0))[:-1] if len(last) else last
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        group, pairs, times = links(flat_a, group_a, flat_b, group_b, n_groups, len(both.bytes_a), both.width)
+        group, pairs, times = links(ids_a, group_a, ids_b, group_b, n_groups, len(both.bytes_a), both.width)
         owner = np.repeat(np.arange(len(keep)), last - first)[group] if len(keep) else group
-        distinct, at = np.unique(pairs, return_inverse=True)
-        key, where = np.unique(owner * max(len(distinct), 1) + at, return_inverse=True)
+        distinct, pairs = np.unique(pairs, return_inverse=True)
+        key, where = np.unique(owner * max(len(distinct), 1) + pairs, return_inverse=True)
         weight = np.zeros(len(key), np.int64)
         np.add.at(weight, where, times)
-        piece_pairs, heads = key % max(len(distinct), 1), np.searchsorted(key // max(len(distinct), 1), np.arange(len(keep) + 1))
+        piece_pairs, heads = (key % max(len(distinct), 1)).astype(np.int32), np.searchsorted(key // max(len(distinct), 1), np.arange(len(keep) + 1))
         # in how many documents each pair is linked
-        holders = np.zeros(len(distinct), np.int64)
-        for d in docs:
-            own = np.unique(d)
-            holders[np.unique(piece_pairs[spread(heads[own], heads[own + 1] - heads[own])])] += 1
-        shown = self._shown(ids_a, ids_b, group_a, group_b, n_a, n_b)
-        many = lambda x: [int(x[d].sum()) for d in docs]
-        links_of = np.diff(np.r_[0, np.cumsum(in_a * in_b)][np.r_[0, last]]) if len(keep) else last
-        own, times_of = zip(*[np.unique(d, return_counts=True) for d in docs], strict=True)
+        holders, per = np.zeros(len(distinct), np.int64), np.diff(heads)
+        held = [np.unique(d, return_counts=True) for d in docs]
+        for d, _ in held:
+            holders[np.unique(piece_pairs[spread(heads[d], per[d])])] += 1
+        shown = _shown(ids_a, ids_b, group_a, group_b, n_a, n_b)
+        many = lambda x: np.diff(_heads(x[flat])[ends]).tolist() if len(x) else [0] * len(docs)
+        links_of = np.diff(_heads(in_a * in_b)[np.r_[0, last]]) if len(keep) else last
         return {
             "keys": self.keys, "n_a": many(n_a), "n_b": many(n_b), "n_groups": many(last - first), "n_links": many(links_of),
-            "groups_sha256": [hashlib.sha256(";".join([shown[i] for i in d.tolist()]).encode()).hexdigest() if len(d) else "" for d in docs],
+            "groups_sha256": [hashlib.sha256(b";".join([shown[i] for i in d.tolist()])).hexdigest() if len(d) else "" for d in docs],
             "pairs": distinct, "holders": holders,
-            "blob": zstandard.compress(pack([np.array([len(x) for x in own]), np.concatenate(own), np.concatenate(times_of), np.diff(heads), piece_pairs, weight]), 3),
+            "blob": zstandard.compress(pack([np.array([len(d) for d, _ in held]), np.concatenate([d for d, _ in held]), np.concatenate([n for _, n in held]), per, piece_pairs, weight]), 3),
         }
 
-    @staticmethod
-    def _shown(ids_a, ids_b, group_a, group_b, n_a, n_b) -> list[str]:
-        """The groups of each piece as text."""
-        out, la, lb, ia, ib = [], group_a.tolist(), group_b.tolist(), 0, 0
-        for a, b in zip(ids_a, ids_b, strict=True):
-            if len(a) == 1 or len(b) == 1:
-                out.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            else:
-                base, parts = la[ia], {}
-                for k, i in enumerate(a):
-                    parts.setdefault(la[ia + k] - base, ([], []))[0].append(str(i))
-                for k, i in enumerate(b):
-                    parts[lb[ib + k] - base][1].append(str(i))
-                out.append(";".join([",".join(x) + "|" + ",".join(y) for x, y in parts.values()]))
-            ia += len(a)
-            ib += len(b)
-        return out
+
+def _shown(ids_a, ids_b, group_a, group_b, n_a, n_b) -> list[bytes]:
+    """The groups of each piece as text: ids of A, a bar, ids of B, and a semicolon between groups."""
+    if not len(n_a):
+        return []
+    group, side = np.r_[group_a, group_b], np.r_[np.zeros(len(ids_a), bool), np.ones(len(ids_b), bool)]
+    order = np.argsort(2 * group + side, kind="stable")
+    ids, group, side = np.r_[ids_a, ids_b][order], group[order], side[order]
+    digits = np.ones(len(ids), np.int64)
+    for k in range(1, len(str(int(ids.max())))):
+        digits += ids >= 10**k
+    ends = np.cumsum(digits + 1)  # each id with what follows it
+    out = np.full(int(ends[-1]), 44, np.uint8)
+    out[ends[:-1] - 1] = np.where(group[1:] != group[:-1], 59, np.where(side[1:] != side[:-1], 124, 44))
+    for k in range(int(digits.max())):
+        has = digits > k
+        out[ends[has] - 2 - k] = 48 + ids[has] // 10**k % 10
+    data, stops = out.tobytes(), ends[_heads(n_a + n_b)[1:] - 1].tolist()
+    return [data[a : b - 1] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -239,7 +266,7 @@ def _blocks(a: str, b: str, kind: pa.DataType):
             arrays = [pa.array([got[c]], pa.list_(t)) for c, t in kinds.items()]
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), *arrays, pa.array([got["blob"]], pa.binary())], names=["block", *kinds, "blob"])
 
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.add(key, text)
                 if block.size >= BLOCK_CHARS:
