@@ -36,9 +36,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from packsieve.llm.shared import Workspace, settle, small
 from packsieve.session import ship
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
 #: Pieces that the libraries get at once, and parts that a pair's counts are added up in first.
-CHUNK, SALTS = 20_000, 16
+CHUNK, SALTS = 4096, 16
 CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
@@ -82,7 +82,7 @@ class Pair:
             part = pieces[at : at + CHUNK]
             # B puts a space in front itself; one that begins with a line break gets its own token for that space
             got = self.b.encode([p[1:] if p[0] == " " else p for p in part], num_threads=1)
-            both = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)], [ids if p[0] == " " else ids[1:] for p, ids in zip(part, got, strict=True)]
+            both = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], [ids if p[0] == " " else ids[1:] for p, ids in zip(part, got, strict=True)]
             for k, ids in enumerate(both):
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 out[2 * k].append(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum())))

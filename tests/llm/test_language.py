@@ -201,7 +201,7 @@ ALIGN_EDGES = [
 ]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 20])
+@pytest.mark.parametrize("block", [4 << 20, 20])
 def test_align_edges(spark, monkeypatch, block):
     monkeypatch.setattr(align, "BLOCK_CHARS", block)
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in ALIGN_EDGES], DOCS)
