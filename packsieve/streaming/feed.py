@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from packsieve.operators import gates
+from packsieve.session import ship
+from packsieve.streaming.state import use_rocksdb
 
 
 def outcomes(targets: DataFrame, verdicts: Callable[[], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
@@ -21,3 +25,73 @@ def outcomes(targets: DataFrame, verdicts: Callable[[], DataFrame], sink: str, c
         gates.transaction(batch, verdicts()).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return targets.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SESSION_OUT = "transaction string, names array<string>, late boolean"
+SESSION_STATE = "names array<string>, until long, closed boolean"
+
+
+class Session(StatefulProcessor):
+    """One transaction: its targets so far, until no target has come for ``gap_ms`` of event time; then it is closed, once,
+    and remembered as closed for ``keep_ms`` more, so that late targets are told apart."""
+
+    def __init__(self, gap_ms: int, keep_ms: int):
+        self.gap_ms, self.keep_ms = gap_ms, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", SESSION_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        names, until, closed = self.state.get() if self.state.exists() else ([], 0, False)
+        fresh, last = [], 0
+        for f in rows:
+            fresh += [str(n) for n in f["name"]]
+            last = max(last, int(f["at"].max().timestamp() * 1000))
+        if closed:
+            yield pd.DataFrame([(key[0], sorted(fresh), True)], columns=["transaction", "names", "late"])
+            return
+        if last + self.gap_ms > until:
+            if until:
+                self.handle.deleteTimer(until)
+            until = last + self.gap_ms
+            self.handle.registerTimer(until)
+        self.state.update((sorted(set(names) | set(fresh)), until, False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        names, until, closed = self.state.get()
+        if closed:
+            self.state.clear()
+            return
+        self.state.update(([], until, True))
+        self.handle.registerTimer(until + self.keep_ms)
+        yield pd.DataFrame([(key[0], list(names), False)], columns=["transaction", "names", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(targets: DataFrame, gap_ms: int, delay: str = "0 seconds", keep_ms: int = 86_400_000) -> DataFrame:
+    """(transaction, names, late) of a stream of targets (transaction, name, at), whatever batches they come in.
+
+    A transaction gives one row with all its targets once the watermark, ``delay`` behind the latest event, is ``gap_ms``
+    past its last target. Targets of a closed transaction, and those that are behind the watermark when they come, belong to
+    no outcome: the former are rows with ``late`` set. State is one value a transaction, and goes after ``keep_ms``.
+    """
+    ship(targets.sparkSession)
+    use_rocksdb(targets.sparkSession)
+    told = targets.select(F.col("transaction").cast("string").alias("transaction"), F.col("name").cast("string").alias("name"), "at").withWatermark("at", delay)
+    return told.groupBy("transaction").transformWithStateInPandas(Session(gap_ms, keep_ms), SESSION_OUT, "Append", "EventTime")
+
+
+def session_outcomes(targets: DataFrame, verdicts: Callable[[], DataFrame], sink: str, checkpoint: str, gap_ms: int, delay: str = "0 seconds", keep_ms: int = 86_400_000) -> StreamingQuery:
+    """Judge each closed transaction of ``sessions`` against the verdict table as it is then: (transaction, n_targets,
+    outcome) as Parquet below ``sink``/outcomes. A late target was never judged, so it is an outcome ``abort`` below
+    ``sink``/late. Batches that are repeated after a failure replace what they wrote."""
+
+    def judge(batch: DataFrame, number: int) -> None:
+        names = F.explode("names").alias("name")
+        gates.transaction(batch.where("not late").select("transaction", names), verdicts()).write.mode("overwrite").parquet(f"{sink}/outcomes/batch={number}")
+        batch.where("late").select("transaction", names, F.lit("abort").alias("outcome")).write.mode("overwrite").parquet(f"{sink}/late/batch={number}")
+
+    return sessions(targets, gap_ms, delay, keep_ms).writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

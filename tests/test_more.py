@@ -2,7 +2,6 @@
 
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from packsieve.functions import neturl
 from packsieve.operators import catalog, gates, graph, ioc, metadata, provenance, report, rulebook, scan, threat
 from packsieve.sources import indicators, packages
 from packsieve.streaming import feed
-from packsieve.streaming import provenance as stream_provenance
 
 RULES = """
 [[rule]]
@@ -230,35 +228,3 @@ def test_transactions_of_a_stream(spark, tmp_path):
     feed.outcomes(stream, verdicts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = {r.transaction: (r.n_targets, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"t1": (2, "warn"), "t2": (1, "proceed"), "t3": (1, "abort")}
-
-
-class State:
-    """A group's state, as the engine hands it over."""
-
-    def __init__(self):
-        self.value, self.hasTimedOut, self.duration = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.duration = ms
-
-
-def test_provenance_state_over_batches():
-    frame = lambda *rows: pd.DataFrame(rows, columns=["version", "digest", "markers"])
-    step, state = stream_provenance._step(1000), State()
-    feed_ = lambda *frames: [tuple(r) for f in step(("p",), iter(frames), state) for r in f.itertuples(index=False)]
-    assert feed_(frame(("1", "a", ["npm"]))) == [] and state.duration == 1000
-    assert feed_(frame(("3", "b", ["npm", "eval"])), frame(("2", "a", ["npm"]))) == [("p", "3", ["eval"])]
-    assert feed_(frame(("4", "b", ["npm", "eval"]))) == []
-    state.hasTimedOut = True
-    assert feed_() == [] and not state.exists
-    state.hasTimedOut = False
-    assert feed_(frame(("5", "c", ["bun"]))) == []
