@@ -41,6 +41,31 @@ def host(url: Column) -> Column:
     return F.when(~F.contains(rest, F.lit("\\")) & (name != "") & ~name.rlike(r"\s"), name)
 
 
+_LABEL = r"[a-z0-9]++(?:-++[a-z0-9]++)*+"
+#: A host of two labels or more from where a word begins, with its port and all of its path, which is no host. Its loops
+#: give nothing back, so a line is read once.
+_HOST = rf"(?i)(?<![a-z0-9-])-*+({_LABEL}(?:\.{_LABEL})++)(?!://)(?::\d++)?+(?:[/?#][^\s'\"]*+)?+"
+_USERINFO = r"(?<![^\s/@'\"])[^\s/@'\"]++@"
+
+
+def hosts_in(text: Column) -> Column:
+    """The distinct hosts that a text names, lower-case, in order: disguised spellings are undone, what stands before an ``@``
+    and paths are no hosts. A null text names none."""
+    told = F.regexp_replace(refang(F.coalesce(text, F.lit(""))), _USERINFO, "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(told, F.lit(_HOST), F.lit(1)), F.lower))
+
+
+def host_name(text: Column) -> Column:
+    """A host or domain as it is compared: undisguised, lower-case, without brackets and the root's dot."""
+    return F.lower(F.regexp_replace(refang(F.trim(text)), r"^[\[\]]+|[\[\]]+$|\.+$", ""))
+
+
+def above(host: Column) -> Column:
+    """A host and all that it is below, at label boundaries: ``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+
 def host_in(name: Column, suffixes: list[str]) -> Column:
     """Whether a host is one of the names or below one; null hosts are not."""
     out = F.lit(False)

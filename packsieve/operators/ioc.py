@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packsieve.functions import neturl
+
 #: Known campaigns and their indicators.
 CAMPAIGNS = [("atomic-arch-2026-06", "Atomic Arch"), ("chaos-rat-2025-07", "CHAOS RAT")]
 INDICATORS = [
@@ -14,8 +16,9 @@ INDICATORS = [
     ("file", "scales.bpf.c", "atomic-arch-2026-06"),
     ("package", "librewolf-fix-bin", "chaos-rat-2025-07"), ("package", "firefox-patch-bin", "chaos-rat-2025-07"), ("package", "zen-browser-patched-bin", "chaos-rat-2025-07"),
 ]
-#: Up to so many values are looked for one by one.
-GATE_VALUES = 50
+#: Values of so many bytes in all are looked for one by one; domains of so many bytes are broadcast, and of more only the
+#: bits of a sieve, SIEVE_BITS of them, which are 8 MB.
+GATE_BYTES, DOMAIN_BYTES, SIEVE_BITS = 4096, 8 << 20, 1 << 26
 #: What tokens are cut at: all but letters and digits of any script, and - _ . /
 NOT_TOKEN = r"[^\p{IsAlphabetic}\p{N}\-_./]+"
 INDICATOR_TYPE = "kind string, value string, campaign_id string"
@@ -57,6 +60,28 @@ def merge(*tables: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_from")
 
 
+def sieve(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """Rows of ``hosts`` (value, ...) whose value may be one of ``domains`` (value): none that is one is lost.
+
+    The domains' hashes are bits of a bitmap of ``SIEVE_BITS``, which is broadcast in pieces; a host of which no bit is set
+    doesn't go into the shuffle of the join.
+    """
+    bit = lambda df: df.withColumn("_bit", F.pmod(F.xxhash64("value"), F.lit(SIEVE_BITS)))
+    maps = bit(domains.select("value")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    told = bit(hosts).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")  # SIEVE_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(_bit) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return told.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_bit) % 8 as int))")) != 0).drop("_bit", "_bucket", "_map")
+
+
+def domain_hits(lines: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Rows of ``lines`` (..., text), without the text, for each domain indicator that a host in the text is, or is below."""
+    domains = indicators.where("kind = 'domain'").withColumn("shown", F.col("value")).withColumn("value", neturl.host_name(F.col("value"))).where("value != ''")
+    below = lines.where("contains(text, '.') or contains(lower(text), 'dot')").withColumn("value", F.explode(F.array_distinct(F.flatten(F.transform(neturl.hosts_in(F.col("text")), neturl.above))))).drop("text")
+    size = domains.agg(F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0))).first()[0]
+    found = below.join(F.broadcast(domains), "value") if size <= DOMAIN_BYTES else sieve(below, domains).join(domains.hint("merge"), "value")
+    return found.withColumn("value", F.col("shown")).drop("shown")
+
+
 def hits(texts: DataFrame, indicators: DataFrame) -> DataFrame:
     """IOC-001: npm and file names as whole tokens, domains at label boundaries; once per line, kind and value."""
     lines = texts.select("pkg_id", "file", F.posexplode(F.split("masked", "\n")).alias("n", "text")).unionByName(
@@ -64,15 +89,15 @@ def hits(texts: DataFrame, indicators: DataFrame) -> DataFrame:
     )
     lines = lines.where("text != '' and not ltrim(text) like '#%'")
     # a few values are looked for in the lines before these are cut into tokens; a long list is not
-    few = [r.value for r in indicators.where("kind in ('npm', 'file')").select("value").limit(GATE_VALUES + 1).collect()]
-    holding = lines if len(few) > GATE_VALUES else lines.where(functools.reduce(lambda a, v: a | F.contains("text", F.lit(v)), few, F.lit(False)))
-    tokens = holding.select("pkg_id", "file", "n", F.explode(F.array_distinct(F.split("text", NOT_TOKEN))).alias("value")).where("value != ''")
-    named = tokens.join(indicators.where("kind in ('npm', 'file')"), "value")
-    hosts = lines.where("contains(text, '.')").select("pkg_id", "file", "n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:[a-z0-9-]+\.)+[a-z]{2,}"), F.lit(0)))).alias("host"))
-    labels = F.split("host", r"\.")
-    below = hosts.withColumn("value", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
-    sites = below.drop("host").join(indicators.where("kind = 'domain'"), "value")
-    found = named.unionByName(sites).dropDuplicates(["pkg_id", "file", "n", "kind", "value"])
+    named = indicators.where("kind in ('npm', 'file')")
+    size = named.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
+    if size <= GATE_BYTES:
+        few = [r.value for r in named.select("value").collect()]  # of GATE_BYTES at most
+        lines_ = lines.where(functools.reduce(lambda a, v: a | F.contains("text", F.lit(v)), few, F.lit(False)))
+    else:
+        lines_ = lines
+    tokens = lines_.select("pkg_id", "file", "n", F.explode(F.array_distinct(F.split("text", NOT_TOKEN))).alias("value")).where("value != ''")
+    found = tokens.join(named, "value").unionByName(domain_hits(lines.select("pkg_id", "file", "n", "text"), indicators)).dropDuplicates(["pkg_id", "file", "n", "kind", "value"])
     return found.select(
         "pkg_id", F.lit("IOC-001").alias("id"), F.lit("critical").alias("severity"), "file", (F.col("n") + 1).cast("int").alias("line"), F.lit(None).cast("int").alias("column"),
         F.col("value").alias("snippet"), F.concat_ws(" ", "kind", "campaign_id").alias("detail"), F.lit(0).alias("ord"),

@@ -8,6 +8,7 @@ hold one of the pieces it needs, which are derived from the pattern.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -25,7 +26,8 @@ from packsieve.operators.catalog import FREE_INTERPRETER, FREE_SHELL, INTERPRETE
 from packsieve.session import ship
 from packsieve.store import Workspace
 
-#: ``groups``: the pattern groups (see ``pattern_groups``) whose pieces are in the line.
+#: ``groups``: digests of the pattern groups (see ``pattern_groups``) whose pieces are in the line, behind the digest of all
+#: the groups that were looked for.
 LINE_TYPE = "array<struct<line_no:int,raw:string,deobf:string,resolved:string,is_comment:boolean,is_info:boolean,groups:array<int>>>"
 HIT_TYPE = "struct<id:string,severity:string,file:string,line:int,column:int,snippet:string,detail:string,ord:int>"
 FINDING_COLUMNS = ["pkg_id", "id", "sev_rank", "severity", "category", "title", "file", "line", "column", "snippet", "detail", "recommendation", "cwe_id", "analyzer_ord", "ord", "pat_idx"]
@@ -86,14 +88,20 @@ def pattern_groups(rules: list[catalog.Rule]) -> list[tuple[str, ...]]:
     return sorted({needles(p) for r in rules if r.enabled for _, p in r.regexes()})
 
 
+def group_digest(groups) -> int:
+    """What names a list of groups: lines that were parsed for other rules can be told."""
+    return zlib.crc32(repr(groups).encode()) - (1 << 31)
+
+
 def with_groups(lines: list[dict], groups: list[tuple[str, ...]]) -> list[dict]:
-    """The lines of a file, each with the places of the groups that it may match."""
+    """The lines of a file, each with the digest of ``groups`` and the places of those that it may match."""
     texts = ["\n".join(filter(None, (x["raw"], x["deobf"], x["resolved"]))).lower() for x in lines]
     whole = "\n".join(texts)
     pieces = [p for p in {p for g in groups for p in g} if p in whole]
     users: dict[str, list[int]] = {p: [k for k, g in enumerate(groups) if p in g] for p in pieces}
     free = [k for k, g in enumerate(groups) if not g]
-    return [x | {"groups": sorted({k for p in pieces if p in t for k in users[p]} | set(free))} for x, t in zip(lines, texts, strict=True)]
+    name = group_digest(groups)
+    return [x | {"groups": [name, *sorted({k for p in pieces if p in t for k in users[p]} | set(free))]} for x, t in zip(lines, texts, strict=True)]
 
 
 def parse_file(file_type: str, content: str, groups: list[tuple[str, ...]]) -> dict:
@@ -203,17 +211,19 @@ def may_match(text: str, pattern: str) -> Column:
 def rule_matches(line_table: DataFrame, rules: list[catalog.Rule] | None = None, gated: bool = True) -> DataFrame:
     """One row per (line, rule, pattern) that matches; the first of raw, deobf and resolved counts.
 
-    A line meets the patterns of its groups, as the parse of its file told them for the same rules; lines of other tables
-    are searched for the pieces here.
+    A line meets the patterns of its groups, as the parse of its file told them. Lines that were parsed for other rules, and
+    those of other tables, are searched for the pieces here.
     """
     rules = [r for r in (RULES if rules is None else rules) if r.enabled]
     live, told_groups = line_table.where("not is_comment and not is_info"), gated and "groups" in line_table.columns
+    low = F.lower(F.concat_ws("\n", "raw", "deobf", "resolved"))
     if told_groups:
-        live = live.where("size(groups) > 0")
-        place = {g: k for k, g in enumerate(pattern_groups(rules))}
+        all_groups = pattern_groups(rules)
+        place, own = {g: k for k, g in enumerate(all_groups)}, F.get("groups", F.lit(0)) == group_digest(all_groups)
+        live = live.where(~own | (F.size("groups") > 1)).withColumn("_groups", F.when(own, F.slice("groups", 2, 1 << 30))).withColumn("_low", F.when(~own, low))
     else:
-        live = live.withColumn("_low", F.lower(F.concat_ws("\n", "raw", "deobf", "resolved")))
-    gate = lambda pieces: f"array_contains(groups, {place[pieces]})" if told_groups else held("_low", pieces)
+        live = live.withColumn("_low", low)
+    gate = lambda pieces: f"coalesce(array_contains(_groups, {place[pieces]}), {held('_low', pieces)})" if told_groups else held("_low", pieces)
     known, groups = [], {}
     for n, r in enumerate(rules):
         types = ", ".join(f"'{t}'" for t in r.file_types)
