@@ -387,15 +387,16 @@ def orphan_count(spark, d):
     return graph.counts(graph.annotate(nodes, info, e.withColumn("kind", F.lit("runtime")))).select("orphans", "nodes")
 
 
-@query(f"{_REACH} SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS place FROM c")
+@query(f"""{_REACH}, i AS (SELECT DISTINCT e.parent, e.child FROM e WHERE e.parent IN (SELECT name FROM c) AND e.child IN (SELECT name FROM c)),
+dl AS (SELECT name, 0 AS layer FROM c UNION SELECT i.parent, dl.layer + 1 FROM dl JOIN i ON i.child = dl.name),
+ly AS (SELECT name, max(layer) AS layer FROM dl GROUP BY name),
+o AS (SELECT name, layer, row_number() OVER (ORDER BY name) AS rank FROM ly WHERE layer = 0 UNION ALL
+SELECT name, layer, row_number() OVER (ORDER BY at, name) AS rank FROM (SELECT ly.name, ly.layer, max(o.rank) AS at FROM o JOIN i ON i.child = o.name JOIN ly ON ly.name = i.parent AND ly.layer = o.layer + 1 GROUP BY ly.name, ly.layer))
+SELECT name, (row_number() OVER (ORDER BY layer, rank) - 1)::BIGINT AS place FROM o""")
 def topo_order(spark, d):
-    """Dependencies first; here every dependency has a smaller number, so the order is numeric."""
+    """What a package needs comes before it, in the order in which packages become free to build."""
     nodes, e = _closure(spark, d)
-    inside = e.join(nodes.select(F.col("name").alias("parent")), "parent", "left_semi")
-    names = [r[0] for r in nodes.select("name").collect()]  # a closure's nodes are bounded by its depth here
-    width = len(str(max(names)))
-    order = graph.topological([str(n).zfill(width) for n in names], [(str(p).zfill(width), str(c).zfill(width)) for p, c in inside.collect()])
-    return spark.createDataFrame([(int(n), i) for i, n in enumerate(order)], "name long, place long")
+    return graph.order(nodes.select(F.lit(1).alias("root"), "name"), e).select("name", F.col("place").cast("long").alias("place"))
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 
 from packsieve.functions import recipe, textnorm
 from packsieve.functions.needles import needles
-from packsieve.operators import catalog, graph, scan
+from packsieve.operators import catalog, scan
 from packsieve.sources.scripts import EXAMPLES
 
 
@@ -100,13 +100,6 @@ def test_catalog():
     assert catalog.explain("dle-001")[0]["id"] == "DLE-001" and len(catalog.explain("SRC-00")) >= 8 and catalog.explain("nothing at all") == []
 
 
-def test_topological():
-    assert graph.topological(["a", "b", "c"], [("a", "b"), ("b", "c")]) == ["c", "b", "a"]
-    assert graph.topological(["x", "y", "z"], [("x", "y"), ("y", "x")]) == ["z", "x", "y"]
-
-
-
-
 def line_table(spark, texts, types=("pkgbuild", "install_script")):
     rows = [("p", t, "f", n, x, None, None, False, False) for n, x in enumerate(texts) for t in types]
     return spark.createDataFrame(rows, "pkg_id string, file_type string, file string, line_no int, raw string, deobf string, resolved string, is_comment boolean, is_info boolean")
