@@ -39,6 +39,8 @@ from packsieve.session import ship
 BLOCK_CHARS = 4 << 20
 #: Pieces that the libraries get at once, and parts that a pair's counts are added up in first.
 CHUNK, SALTS = 4096, 16
+#: Pieces whose tokens a task keeps from one block to the next.
+MEMO_PIECES = 400_000
 CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
@@ -90,6 +92,26 @@ class Pair:
         return [np.concatenate([*x, np.zeros(0, np.int64 if k % 2 else np.int32)]).astype(np.int64 if k % 2 else np.int32) for k, x in enumerate(out)]
 
 
+class Memo:
+    """Encoded pieces of a task's last blocks, ``MEMO_PIECES`` at most or those of one block."""
+
+    def __init__(self, both: Pair):
+        self.both, self.known, self.parts = both, {}, None
+
+    def encode(self, pieces: list[str]):
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if self.parts is None or len(known) + len(new) > MEMO_PIECES:
+            known.clear()
+            self.parts, new = None, pieces
+        got = self.both.encode(new)
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        self.parts = got if self.parts is None else [np.concatenate(x) for x in zip(self.parts, got, strict=True)]
+        ids_a, n_a, ids_b, n_b = self.parts
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        return ids_a[spread(_heads(n_a)[at], n_a[at])], n_a[at], ids_b[spread(_heads(n_b)[at], n_b[at])], n_b[at]
+
+
 class Table:
     """Bytes of tokens by id."""
 
@@ -161,11 +183,11 @@ class Block:
             self.size += len(text)
         self.docs.append(np.array(found, np.int32))
 
-    def aligned(self, both: Pair) -> dict:
-        pieces = list(self.pieces)
+    def aligned(self, memo: Memo) -> dict:
+        both, pieces = memo.both, list(self.pieces)
         own_sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
         own = np.frombuffer("".join(pieces).encode(), np.uint8)
-        ids_a, n_a, ids_b, n_b = both.encode(pieces)
+        ids_a, n_a, ids_b, n_b = memo.encode(pieces)
         self.pieces = pieces = None
         good = both.table_a.equal(ids_a, n_a, own, own_sizes) & both.table_b.equal(ids_b, n_b, own, own_sizes)
         at, heads_a, heads_b, extra = _heads(own_sizes), _heads(n_a), _heads(n_b), []
@@ -258,10 +280,10 @@ def _blocks(a: str, b: str, kind: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
-        both, task, made, block = pair(a, b), TaskContext.get().taskAttemptId(), 0, Block()
+        memo, task, made, block = Memo(pair(a, b)), TaskContext.get().taskAttemptId(), 0, Block()
 
         def row():
-            got = block.aligned(both)
+            got = block.aligned(memo)
             kinds = {"keys": kind, **{c: pa.int64() for c in COUNTS}, "groups_sha256": pa.string(), "pairs": pa.int64(), "holders": pa.int64()}
             arrays = [pa.array([got[c]], pa.list_(t)) for c, t in kinds.items()]
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), *arrays, pa.array([got["blob"]], pa.binary())], names=["block", *kinds, "blob"])
