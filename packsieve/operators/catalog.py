@@ -51,7 +51,8 @@ class Literal:
 
 @dataclass(frozen=True)
 class Inert:
-    """A pattern on a function's or a variable's name: it is checked when it is read, and matches no line."""
+    """A pattern on a function's or a variable's name, with one on its code or value: it matches no line. Scans that ask for
+    structures match it against the functions and variables themselves (``scan.structure_matches``)."""
 
     kind: str
     name: str

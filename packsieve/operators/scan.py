@@ -243,6 +243,33 @@ def rule_matches(line_table: DataFrame, rules: list[catalog.Rule] | None = None,
     )
 
 
+def structure_matches(bodies: DataFrame, packages: DataFrame, rules: list[catalog.Rule]) -> DataFrame:
+    """One row per function or variable that a rule's pattern of that kind is about.
+
+    A function pattern meets functions of recipes (file type pkgbuild) and hooks (install_script) whose name its expression
+    finds and in whose executable code its body expression finds something, if it has one; a variable pattern meets the
+    variable of exactly that name, on its value. Expressions fold case unless the rule says otherwise. One projection a
+    table, no shuffle. Rules that are off, and patterns of other kinds, match nothing here.
+    """
+    functions, variables = [], []
+    for n, r in enumerate(rules):
+        fold = "" if r.case_sensitive else "(?i)"
+        for i, p in enumerate(r.patterns if r.enabled else ()):
+            hit = lambda line, name, n=n, i=i, r=r: F.struct(
+                F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), F.col("file").alias("file"), line.cast("int").alias("line"), F.lit(None).cast("int").alias("column"), name.cast("string").alias("snippet"),
+                F.lit(None).cast("string").alias("detail"), F.lit(n).alias("ord"), F.lit(i).alias("pat_idx"),
+            )
+            if isinstance(p, catalog.Inert) and p.kind == "function":
+                test = F.col("recipe").isin(*["P" in r.files] * ("P" in r.files), *[False] * ("I" in r.files)) & F.col("name").rlike(fold + p.name)
+                functions.append(F.when(test & F.col("code").rlike(fold + p.value) if p.value else test, hit(F.col("line_start"), F.col("name"))))
+            elif isinstance(p, catalog.Inert) and "P" in r.files:
+                value = F.col("variables")[p.name]
+                variables.append(F.when(value.rlike(fold + p.value) if p.value else value.isNotNull(), hit(F.lit(None), F.lit(p.name))))
+    empty = F.array().cast(f"array<{HIT_TYPE[:-1]},pat_idx:int>>")
+    tell = lambda df, hits: df.select("pkg_id", F.explode(F.array_compact(F.array(*hits)) if hits else empty).alias("h")).select("pkg_id", "h.*")
+    return tell(bodies, functions).unionByName(tell(packages, variables))
+
+
 def _own_alternate(names: Column, target: Column) -> Column:
     stem = lambda p: F.regexp_replace(p, rf"(?<=.)-(?:{'|'.join(ALTERNATE)})$", "")
     return F.exists(
@@ -366,9 +393,11 @@ def deep_hits(texts: DataFrame) -> DataFrame:
     return both.unionByName(blobs).select("pkg_id", "h.*").drop("file").join(first, "pkg_id").select("pkg_id", "id", "severity", "file", "line", "column", "snippet", "detail", "ord")
 
 
-def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "low", verdicts: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "low", verdicts: DataFrame | None = None, baseline: DataFrame | None = None, structures: bool = False) -> DataFrame:
     """All findings at or above a severity, with the order of a report in analyzer_ord, ord, line and pat_idx.
 
+    With ``structures`` patterns on functions and variables count too; else they match nothing.
+
     With ``verdicts`` (provider, subject, malicious, suspicious) sources are looked up; with ``baseline``, the state of
     ``provenance``, behaviour that a package gained since is a finding.
     """
@@ -385,6 +414,8 @@ def findings(ctx: Context, ioc: DataFrame | None = None, min_severity: str = "lo
         ("checksum", package_hits(ctx.packages)),
         ("privilege", privilege_hits(ctx.bodies)),
     ]
+    if structures:
+        parts.append(("pattern", structure_matches(ctx.bodies, ctx.packages, ctx.rules)))
     if verdicts is not None:
         parts.append(("threat_intel", threat.hits(ctx.packages, verdicts)))
     if baseline is not None:
