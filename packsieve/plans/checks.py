@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packsieve.functions import neturl
 from packsieve.operators import catalog, gates, graph, ioc, metadata, provenance, report, rulebook, scan, threat
-from packsieve.plans.queries import _PHYSICAL, _REACH, _closure, _markers_sql, _scanned, _t, query
+from packsieve.plans.queries import _HITS_SQL, _PHYSICAL, _REACH, _closure, _hits, _markers_sql, _scanned, _t, query
 from packsieve.sources.scripts import EXAMPLES, PAYLOADS, scripts, scripts_sql
 
 # rules of the catalog over example lines
@@ -110,9 +110,15 @@ def custom_rules(spark, d):
     return found.select("pkg_id", "id", "pat_idx", "line", F.col("column").alias("col"))
 
 
-@query("WITH r(severity, kind, id) AS (VALUES " + ", ".join(f"('{r.severity}', 'regex', '{r.id}')" for r in catalog.RULES for _ in r.patterns) + ") SELECT severity, kind, count(*)::BIGINT AS n_patterns, count(DISTINCT id)::BIGINT AS n_rules FROM r GROUP BY severity, kind")
+_LISTED = "r(severity, kind, id) AS (VALUES " + ", ".join(f"('{r.severity}', 'regex', '{r.id}')" for r in catalog.RULES for _ in r.patterns) + ")"
+
+
+@query(f"{_HITS_SQL}, {_LISTED}, k AS (SELECT severity, kind, count(*)::BIGINT AS n_patterns, count(DISTINCT id)::BIGINT AS n_rules FROM r GROUP BY severity, kind) SELECT k.*, (SELECT count(*) FROM hits h WHERE h.severity = k.severity)::BIGINT AS n_hits FROM k")
 def rules_listing(spark, d):
-    return rulebook.frame(spark, catalog.RULES).groupBy("severity", "kind").agg(F.count("*").alias("n_patterns"), F.countDistinct("id").alias("n_rules"))
+    """The rules by severity and kind of pattern, with the hits of each severity in the scripts."""
+    listed = rulebook.frame(spark, catalog.RULES).groupBy("severity", "kind").agg(F.count("*").alias("n_patterns"), F.countDistinct("id").alias("n_rules"))
+    hits = _hits(spark, d).groupBy("severity").agg(F.count("*").alias("n_hits"))
+    return listed.join(hits, "severity", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
 
 
 @query(f"""{_PHYSICAL}, f AS (SELECT *, (length(line) - length(rtrim(line, '\\'))) % 2 = 1 AS more FROM p),
@@ -288,11 +294,12 @@ def dropped_operands(spark, d):
     return metadata.dropped_names(_t(spark, d, "part").select(F.expr(_ODD.replace("::VARCHAR", "")).alias("name"))).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, p_partkey AS name FROM orders JOIN part ON p_partkey % 50 = o_orderkey % 50 WHERE o_orderkey % 97 = 0")
+@query("SELECT o_orderkey, p_partkey AS name FROM orders JOIN part ON p_partkey // 4 = o_orderkey // 4 WHERE o_orderkey % 97 = 0")
 def base_fanout(spark, d):
-    """A base's scan given to all names that are built from it."""
-    scans = _t(spark, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", (F.col("o_orderkey") % 50).alias("package_base"))
-    return metadata.attribute(scans, _t(spark, d, "part").select((F.col("p_partkey") % 50).alias("package_base"), F.col("p_partkey").alias("name"))).select("o_orderkey", "name")
+    """A base's scan given to all names that are built from it: four a base."""
+    base = lambda c: F.floor(F.col(c) / 4).alias("package_base")
+    scans = _t(spark, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", base("o_orderkey"))
+    return metadata.attribute(scans, _t(spark, d, "part").select(base("p_partkey"), F.col("p_partkey").alias("name"))).select("o_orderkey", "name")
 
 
 @query("""SELECT count(*)::BIGINT AS packages, count(*) FILTER (c_custkey % 3 != 0 AND n > 0)::BIGINT AS with_issues, coalesce(sum(c) FILTER (c_custkey % 3 != 0), 0)::BIGINT AS critical,
@@ -368,21 +375,31 @@ def corrupt_state(spark, d):
     return provenance.known_state(raw)[1].groupBy("package").agg(F.count("*").alias("bad"))
 
 
-# gates
+# gates: orders are the cases, and each outcome is told with the number of orders that have it
 
+_BOOL = lambda n: f"(o_orderkey // {n}) % 2 = 0"
 
-@query("SELECT t AS tripped, h AS threshold, f::INTEGER AS failures, d AS declined, CASE WHEN t OR (h IS NOT NULL AND f > 0) OR d THEN 'fail' ELSE 'pass' END AS outcome FROM (VALUES (true), (false)) a(t), (VALUES ('high'), (NULL)) b(h), range(2) c(f), (VALUES (true), (false)) e(d)")
+
+@query(f"""WITH x AS (SELECT {_BOOL(1)} AS tripped, CASE WHEN {_BOOL(2)} THEN 'high' END AS threshold, ((o_orderkey // 4) % 3)::INTEGER AS failures, {_BOOL(12)} AS declined FROM orders)
+SELECT tripped, threshold, failures, declined, CASE WHEN tripped OR (threshold IS NOT NULL AND failures > 0) OR declined THEN 'fail' ELSE 'pass' END AS outcome, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
 def check_outcomes(spark, d):
-    x = spark.range(2).select(F.col("id").cast("int").alias("failures")).withColumn("tripped", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("declined", F.explode(F.array(F.lit(True), F.lit(False))))
-    x = x.withColumn("threshold", F.explode(F.array(F.lit("high"), F.lit(None).cast("string"))))
-    return x.select("tripped", "threshold", "failures", "declined", gates.check_outcome(F.col("tripped"), F.col("threshold"), F.col("failures"), F.col("declined")).alias("outcome"))
+    bit = lambda n: F.floor(F.col("o_orderkey") / n) % 2 == 0
+    x = _t(spark, d, "orders").select(bit(1).alias("tripped"), F.when(bit(2), "high").alias("threshold"), (F.floor(F.col("o_orderkey") / 4) % 3).cast("int").alias("failures"), bit(12).alias("declined"))
+    x = x.withColumn("outcome", gates.check_outcome(F.col("tripped"), F.col("threshold"), F.col("failures"), F.col("declined")))
+    return x.groupBy(x.columns).agg(F.count("*").alias("n"))
+
 
+_ANSWERS = ["y", " YES ", "no", "", None]
 
-@query("SELECT n AS noconfirm, t AS tty, a AS answer, CASE WHEN n THEN 'proceed' WHEN t AND lower(trim(coalesce(a, ''))) IN ('y', 'yes') THEN 'proceed' ELSE 'abort' END AS outcome FROM (VALUES (true), (false)) x(n), (VALUES (true), (false)) y(t), (VALUES ('y'), (' YES '), ('no'), (''), (NULL)) z(a)")
+
+@query(f"""WITH x AS (SELECT {_BOOL(1)} AS noconfirm, {_BOOL(2)} AS tty, ['y', ' YES ', 'no', '', NULL][((o_orderkey // 4) % 5 + 1)::INTEGER] AS answer FROM orders)
+SELECT noconfirm, tty, answer, CASE WHEN noconfirm THEN 'proceed' WHEN tty AND lower(trim(coalesce(answer, ''))) IN ('y', 'yes') THEN 'proceed' ELSE 'abort' END AS outcome, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
 def consent_outcomes(spark, d):
-    yes_no = F.array(F.lit(True), F.lit(False))
-    x = spark.createDataFrame([("y",), (" YES ",), ("no",), ("",), (None,)], "answer string").withColumn("noconfirm", F.explode(yes_no)).withColumn("tty", F.explode(yes_no))
-    return x.select("noconfirm", "tty", "answer", gates.consent(F.col("noconfirm"), F.col("tty"), F.col("answer")).alias("outcome"))
+    bit = lambda n: F.floor(F.col("o_orderkey") / n) % 2 == 0
+    answer = F.get(F.array(*[F.lit(a).cast("string") for a in _ANSWERS]), (F.floor(F.col("o_orderkey") / 4) % 5).cast("int"))
+    x = _t(spark, d, "orders").select(bit(1).alias("noconfirm"), bit(2).alias("tty"), answer.alias("answer"))
+    x = x.withColumn("outcome", gates.consent(F.col("noconfirm"), F.col("tty"), F.col("answer")))
+    return x.groupBy(x.columns).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey AS transaction, count(*)::BIGINT AS n_targets, ['proceed', 'warn', 'abort'][max(CASE WHEN l_partkey % 20 = 0 THEN 2 WHEN l_partkey % 20 = 1 THEN 2 WHEN l_partkey % 20 < 5 THEN 1 ELSE 0 END) + 1] AS outcome FROM lineitem GROUP BY l_orderkey""")
@@ -393,19 +410,28 @@ def transaction_outcomes(spark, d):
     return gates.transaction(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("transaction"), F.col("l_partkey").alias("name")), verdicts)
 
 
-@query("SELECT a AS argv0, CASE WHEN a IN ('-S', '-Sy', '-Syu', 'yay') THEN 'install' ELSE 'pass' END AS operation FROM (VALUES ('-S'), ('-Sy'), ('-Syu'), ('-Ss'), ('-Si'), ('-Sl'), ('-Q'), ('-R'), ('yay'), (NULL)) t(a)")
+#: Arguments of a helper and what they are, as a user of such helpers would tell: written down case by case.
+_ARGUMENTS = [
+    ("-S pkg", "install"), ("-Syu", "pass"), ("--sync pkg", "install"), ("-U pkg.file", "install"), ("--noconfirm -S pkg", "install"), ("pkg", "install"), ("--needed pkg", "install"), ("-Ss pkg", "pass"), ("-S --search pkg", "pass"),
+    ("-Si pkg", "pass"), ("-Q pkg", "pass"), ("--remove pkg", "pass"), ("-S -- -pkg", "install"), ("--upgrade=x pkg", "install"), ("-G pkg", "pass"), ("-Rns pkg", "pass"), ("-Sc", "pass"), ("-y pkg", "install"), ("-US pkg", "install"), ("-F pkg", "pass"),
+]
+
+
+@query(f"SELECT o_orderkey, [{', '.join(_quoted(o) for _, o in _ARGUMENTS)}][(o_orderkey % {len(_ARGUMENTS)} + 1)::INTEGER] AS operation, CASE WHEN o_orderkey % {len(_ARGUMENTS)} IN (1, 16) THEN 0 ELSE 1 END::INTEGER AS n_operands FROM orders")
 def helper_operations(spark, d):
-    x = spark.createDataFrame([(a,) for a in ("-S", "-Sy", "-Syu", "-Ss", "-Si", "-Sl", "-Q", "-R", "yay", None)], "argv0 string")
-    return x.select("argv0", gates.operation(F.when(F.col("argv0").isNull(), F.array().cast("array<string>")).otherwise(F.array("argv0"))).alias("operation"))
+    """Every order is a call of a helper."""
+    argv = F.split(F.get(F.array(*[F.lit(a) for a, _ in _ARGUMENTS]), (F.col("o_orderkey") % len(_ARGUMENTS)).cast("int")), " ")
+    return _t(spark, d, "orders").select("o_orderkey", gates.operation(argv).alias("operation"), F.size(gates.operands(argv)).alias("n_operands"))
 
 
-@query("SELECT o AS official, l AS lookup, CASE WHEN o THEN false ELSE coalesce(l, true) END AS community FROM (VALUES (true), (false)) a(o), (VALUES (true), (false), (NULL)) b(l)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN false WHEN n IS NULL THEN true ELSE n > 9 END AS community FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 3 != 0 GROUP BY 1) ON o_custkey = c_custkey")
 def community_membership(spark, d):
-    x = spark.createDataFrame([(o, a) for o in (True, False) for a in (True, False, None)], "official boolean, lookup boolean")
-    return x.select("official", "lookup", gates.membership(F.col("official"), F.col("lookup")).alias("community"))
+    """Every fifth customer is official; the lookup of those without orders failed, which counts as a member."""
+    seen = _t(spark, d, "orders").where("o_custkey % 3 != 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") > 9).alias("lookup"))
+    x = _t(spark, d, "customer").select("c_custkey").join(seen, "c_custkey", "left")
+    return x.select("c_custkey", gates.membership(F.col("c_custkey") % 5 == 0, F.col("lookup")).alias("community"))
 
 
-@query("SELECT m::INTEGER AS malicious, s::INTEGER AS suspicious, m > 0 OR s > 2 AS bad FROM range(3) a(m), range(5) b(s)")
+@query("SELECT p_partkey, p_partkey % 3 > 0 OR p_size % 5 > 2 AS bad FROM part")
 def malicious_verdicts(spark, d):
-    x = spark.range(3).select(F.col("id").cast("int").alias("malicious"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("suspicious"))
-    return x.withColumn("bad", gates.malicious(F.col("malicious"), F.col("suspicious")))
+    return _t(spark, d, "part").select("p_partkey", gates.malicious(F.col("p_partkey") % 3, F.col("p_size") % 5).alias("bad"))

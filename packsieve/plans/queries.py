@@ -391,7 +391,7 @@ def orphan_count(spark, d):
 dl AS (SELECT name, 0 AS layer FROM c UNION SELECT i.parent, dl.layer + 1 FROM dl JOIN i ON i.child = dl.name),
 ly AS (SELECT name, max(layer) AS layer FROM dl GROUP BY name),
 o AS (SELECT name, layer, row_number() OVER (ORDER BY name) AS rank FROM ly WHERE layer = 0 UNION ALL
-SELECT name, layer, row_number() OVER (ORDER BY at, name) AS rank FROM (SELECT ly.name, ly.layer, max(o.rank) AS at FROM o JOIN i ON i.child = o.name JOIN ly ON ly.name = i.parent AND ly.layer = o.layer + 1 GROUP BY ly.name, ly.layer))
+SELECT name, layer, row_number() OVER (ORDER BY seen, name) AS rank FROM (SELECT ly.name, ly.layer, max(o.rank) AS seen FROM o JOIN i ON i.child = o.name JOIN ly ON ly.name = i.parent AND ly.layer = o.layer + 1 GROUP BY ly.name, ly.layer))
 SELECT name, (row_number() OVER (ORDER BY layer, rank) - 1)::BIGINT AS place FROM o""")
 def topo_order(spark, d):
     """What a package needs comes before it, in the order in which packages become free to build."""
@@ -489,10 +489,14 @@ def hook_outcome(spark, d):
     return g.select("pkg_id", gates.hook_outcome(F.col("pkg_id").cast("long") % 50 == 0, F.col("c"), F.col("h")).alias("outcome"))
 
 
-@query("SELECT r AS worst, i AS interactive, v AS reviewed, CASE WHEN NOT v THEN 'block' WHEN r = 0 THEN (CASE WHEN i THEN 'typed yes' ELSE 'deny' END) WHEN r = 1 THEN (CASE WHEN i THEN 'default no' ELSE 'deny' END) ELSE 'default yes' END AS answer FROM range(5) a(r), (VALUES (true), (false)) b(i), (VALUES (true), (false)) c(v)")
+@query("""WITH x AS (SELECT o_orderkey % 5 AS worst, (o_orderkey // 5) % 2 = 0 AS interactive, (o_orderkey // 10) % 3 != 0 AS reviewed FROM orders)
+SELECT worst, interactive, reviewed, CASE WHEN NOT reviewed THEN 'block' WHEN worst = 0 THEN (CASE WHEN interactive THEN 'typed yes' ELSE 'deny' END) WHEN worst = 1 THEN (CASE WHEN interactive THEN 'default no' ELSE 'deny' END) ELSE 'default yes' END AS answer, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
 def policy_matrix(spark, d):
-    x = spark.range(5).select(F.col("id").alias("worst"), F.explode(F.array(F.lit(True), F.lit(False))).alias("interactive")).withColumn("reviewed", F.explode(F.array(F.lit(True), F.lit(False))))
-    return x.withColumn("answer", gates.policy(F.col("worst"), F.col("interactive"), F.col("reviewed")))
+    """Every order is a build: what a helper asks, with the number of builds."""
+    k = F.col("o_orderkey")
+    x = _t(spark, d, "orders").select((k % 5).alias("worst"), (F.floor(k / 5) % 2 == 0).alias("interactive"), (F.floor(k / 10) % 3 != 0).alias("reviewed"))
+    x = x.withColumn("answer", gates.policy(F.col("worst"), F.col("interactive"), F.col("reviewed")))
+    return x.groupBy(x.columns).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE least(100, (100 * (p_size % 5) + 50 * (p_size % 3)) // (p_partkey % 7)) END::BIGINT AS score FROM part")
@@ -515,21 +519,26 @@ def _catalog(spark):
     return spark.createDataFrame([tuple(e.values()) for e in catalog.entries()], catalog.CATALOG_TYPE)
 
 
-@query(f"WITH {_CATALOG} SELECT category, count(*)::BIGINT AS n, count(*) FILTER (owner = 'builtin')::BIGINT AS n_pattern FROM c GROUP BY category")
+@query(f"{_HITS_SQL}, {_CATALOG}, k AS (SELECT category, count(*)::BIGINT AS n, count(*) FILTER (owner = 'builtin')::BIGINT AS n_pattern FROM c GROUP BY category) SELECT k.*, (SELECT count(*) FROM hits h WHERE h.category = k.category)::BIGINT AS n_hits FROM k")
 def catalog_by_category(spark, d):
-    return _catalog(spark).groupBy("category").agg(F.count("*").alias("n"), F.count_if("pattern_based").alias("n_pattern"))
+    """The catalog by category, with the hits of each in the scripts."""
+    listed = _catalog(spark).groupBy("category").agg(F.count("*").alias("n"), F.count_if("pattern_based").alias("n_pattern"))
+    hits = _hits(spark, d).groupBy("category").agg(F.count("*").alias("n_hits"))
+    return listed.join(hits, "category", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
 
 
-@query(f"WITH {_CATALOG} SELECT id, count(*)::BIGINT AS n FROM c GROUP BY id HAVING count(*) > 1")
+@query(f"{_HITS_SQL}, {_CATALOG} SELECT h.id, (SELECT count(*) FROM c WHERE c.id = h.id)::BIGINT AS n, count(*)::BIGINT AS n_hits FROM hits h GROUP BY h.id")
 def catalog_duplicates(spark, d):
-    return _catalog(spark).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    """Each code that scripts give, with its entries in the catalog, of which there should be one."""
+    known = _catalog(spark).groupBy("id").agg(F.count("*").alias("n"))
+    return _hits(spark, d).groupBy("id").agg(F.count("*").alias("n_hits")).join(known, "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "n_hits")
 
 
-@query()
+@query("SELECT ['npm', 'file', 'domain'][(c_custkey % 3 + 1)::INTEGER] AS kind, count(*)::BIGINT AS n, count(DISTINCT c_nationkey)::BIGINT AS campaigns FROM customer GROUP BY 1")
 def ioc_stats(spark, d):
-    return ioc.stats(ioc.default_indicators(spark))
-
-
+    """Customers are indicators of three kinds, their nations campaigns."""
+    kind = F.get(F.array(*map(F.lit, ["npm", "file", "domain"])), (F.col("c_custkey") % 3).cast("int"))
+    return ioc.stats(_t(spark, d, "customer").select(kind.alias("kind"), F.col("c_name").alias("value"), F.col("c_nationkey").cast("string").alias("campaign_id")))
 
 
-from packsieve.plans import checks  # noqa: E402, F401  further queries, which use what is defined above
+from packsieve.plans import checks, tables  # noqa: E402, F401  further queries, which use what is defined above
