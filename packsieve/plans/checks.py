@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packsieve.functions import neturl
 from packsieve.operators import catalog, gates, graph, ioc, metadata, provenance, report, rulebook, scan, threat
-from packsieve.plans.queries import _HITS_SQL, _PHYSICAL, _REACH, _closure, _hits, _markers_sql, _scanned, _t, query
+from packsieve.plans.queries import _HITS_SQL, _PHYSICAL, _REACH, _closure, _hits, _markers_sql, _prior, _quoted, _scanned, _t, query
 from packsieve.sources.scripts import EXAMPLES, PAYLOADS, scripts, scripts_sql
 
 # rules of the catalog over example lines
@@ -20,10 +20,6 @@ def _re2(pattern: str) -> bool:
     return not any(x in pattern for x in ("(?<", "(?!", "(?>", "*+", "++"))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 _EXAMPLE = f"([{', '.join(map(_quoted, EXAMPLES))}])[(p_partkey % {len(EXAMPLES)} + 1)::INTEGER]"
 _SHARED = [(r.id, i, p, r.file_types) for r in catalog.RULES for i, p in r.regexes() if _re2(p)]
 _FILE_TYPE = "CASE WHEN p_partkey // {n} % 2 = 0 THEN 'pkgbuild' ELSE 'install_script' END".format(n=len(EXAMPLES))
@@ -346,10 +342,6 @@ def closure_truncated(spark, d):
 _WAS = f"(doc_id + 5) % {len(PAYLOADS)}"
 
 
-def _prior(spark, d):
-    return scripts(_t(spark, d, "documents"), 5)
-
-
 @query(f"""WITH a AS ({scripts_sql()}), b AS ({scripts_sql(5)}), m AS (SELECT a.pkg_id, list_filter({_markers_sql('a.content')}, lambda x: NOT list_contains({_markers_sql('b.content')}, x)) AS gained FROM a JOIN b USING (pkg_id))
 SELECT pkg_id, 'PROV-001' AS id, array_to_string(list_transform(gained, lambda x: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in provenance.LABELS.items())}}}[x]), ', ') AS detail FROM m WHERE len(gained) > 0""")
 def provenance_findings(spark, d):

@@ -25,6 +25,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prior(spark: SparkSession, d: str) -> DataFrame:
+    """The former versions of all scripts."""
+    return scripts(_t(spark, d, "documents"), 5)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from packsieve.operators import catalog, gates, graph, ioc, provenance, rulebook, scan, verdicts
-from packsieve.plans.checks import _prior, _quoted
-from packsieve.plans.queries import _EDGES, _PHYSICAL, _RULES_SQL, _SHARED, _markers_sql, _scanned, _t, query
+from packsieve.plans.queries import _EDGES, _PHYSICAL, _RULES_SQL, _SHARED, _markers_sql, _prior, _quoted, _scanned, _t, query
 from packsieve.sources import baseline, dumps
 from packsieve.sources.scripts import PAYLOADS, scripts, scripts_sql
 from packsieve.store import Workspace, settle

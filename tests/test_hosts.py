@@ -54,3 +54,15 @@ def test_lines_parsed_for_other_rules(spark):
     assert [(r.id, r.line) for r in scan.rule_matches(lines, own).collect()] == [("OWN", 2)]
     both = sorted((r.id, r.line) for r in scan.rule_matches(lines).collect())
     assert both == sorted((r.id, r.line) for r in scan.rule_matches(scan.Context(files, rules=own).lines).collect()) and ("DLE-001", 3) in both
+
+
+URLS = [
+    ("https://Github.com/u/r", "github.com"), ("git+https://h.example/r.git#commit=a", "h.example"), ("https://u:p@h.example:80/x", "h.example"), ("h.example/x", "h.example"), ("h.example", "h.example"), ("https://[2001:db8::1]:443/x", "2001:db8::1"),
+    ("https://h.example./x", "h.example"), ("https://a\\b/x", None), ("https://a b/x", None), ("", None), (None, None), ("https:///x", None), ("x/y://z", None), ("hxxp://evil[.]example/x", "evil.example"), ("h.example:8080", "h.example"),
+    ("https://a@b@h.example/", "h.example"), ("h.example?x=https", "h.example"), ("https://h.example#f", "h.example"), ("h#://x", "h"), ("BZR+ssh://H.example/x", "h.example"), ("x.patch", "x.patch"), ("https://h.example:/x", "h.example"), ("https://u\\@h.example/", None),
+]
+
+
+def test_host_of_a_url(spark):
+    rows = spark.createDataFrame(URLS, "u string, h string").select("u", "h", neturl.host(F.col("u")).alias("got")).collect()
+    assert {r.u: r.got for r in rows} == dict(URLS)
