@@ -33,6 +33,7 @@ class Reputation:
 @dataclass(frozen=True)
 class Config:
     rules_path: str | None = None
+    rule_folders: tuple[str, ...] = ()
     min_severity: str = "low"
     enable_threat_intel: bool = False
     threat_intel: Reputation = field(default_factory=Reputation)
@@ -40,10 +41,12 @@ class Config:
     timeout_seconds: int = 30
 
     def rules(self) -> tuple[list[Rule], dict[str, str]]:
-        """The catalog with the folder's rules behind it, and the files there that couldn't be read."""
-        if not self.rules_path:
-            return list(RULES), {}
-        more, bad = rulebook.read_folder(self.rules_path)
+        """The catalog with the rules of ``rule_folders`` in order and of ``rules_path`` behind it, and the files there that
+        couldn't be read. A folder of ``rule_folders`` may be missing, ``rules_path`` may not."""
+        more, bad = rulebook.read_folders(list(self.rule_folders))
+        if self.rules_path:
+            last, wrong = rulebook.read_folder(self.rules_path)
+            more, bad = more + last, bad | wrong
         return rulebook.add(list(RULES), more), bad
 
 
@@ -58,6 +61,10 @@ def _made(kind, told: dict, where: str):
             if not isinstance(value, dict):
                 raise ConfigError(f"{where}: {name} is no table")
             value = _made(type(default), value, where)
+        elif isinstance(default, tuple):
+            if not isinstance(value, list) or not all(isinstance(v, str) for v in value):
+                raise ConfigError(f"{where}: {name} should be a list of texts")
+            value = tuple(value)
         elif default is not None and type(value) is not type(default):
             raise ConfigError(f"{where}: {name} should be {type(default).__name__}")
         values[name] = value

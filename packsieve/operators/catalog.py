@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from packsieve.functions.severity import RANK
+
 #: Shells and interpreters that can run piped text, and words that start them.
 SHELLS = "(?:elvish|xonsh|ksh93|pdksh|loksh|rbash|bash|dash|mksh|oksh|posh|yash|fish|tcsh|oils|zsh|csh|ksh|ash|oil|osh|nu|sh)"
 INTERPRETERS = (
@@ -59,6 +61,38 @@ class Inert:
     value: str | None = None
 
 
+#: What to do about a pattern rule's finding, by category.
+ADVICE = {
+    "malicious_code": "Don't build this package. Report it, and look for what an earlier build of it left behind.",
+    "command_injection": "Fetch the script by itself, read it, and have it among the sources with a checksum before anything runs it.",
+    "credential_theft": "Don't build this package. If it was built, replace the keys and passwords that the line reads.",
+    "data_exfiltration": "Don't build this package. Find out what the line sends and to whom, and treat that data as known to others.",
+    "privilege_escalation": "A build needs no more rights than its own folder. Ask why this one takes them before it gets any.",
+    "persistence": "Look at what the line starts or schedules, and remove it unless the package is there for just that.",
+    "obfuscation": "Decode what is hidden without running it, and judge that. Plain packages have no reason to hide code.",
+    "cryptomining": "Don't build this package. Stop the process if it runs already.",
+    "network_security": "Use the project's own address, by name and over an encrypted protocol.",
+    "suspicious_metadata": "Compare the claim with what the package really is, and ask its maintainer.",
+    "dependencies": "Check that the name belongs to the software it claims to be.",
+    "cryptography": "Verify every source by a strong checksum or a signature.",
+    "configuration": "Change the setting if nothing speaks for it.",
+}
+#: The same for codes of the structural checks.
+CODE_ADVICE = {
+    "FUNC-001": "Move the download to the sources, with a checksum.", "IOC-001": "Don't build this package: it carries a mark of a known campaign. Check machines that built it.",
+    "DEEP-001": "Decode the text without running it and read it first.", "DEEP-002": "Find out what the blob holds; data belongs in a source file with a checksum.",
+    "EXEC-REMOTE": "What is fetched can change at any time: have it among the sources, pinned and verified.", "SRC-001": "Take the same source over an encrypted protocol.",
+    "SRC-002": "Take the source from where its project publishes it.", "SRC-003": "Ask for a source with a host name that somebody answers for.", "SRC-004": "Write the address out that the short one leads to.",
+    "SRC-005": "Find out where the code comes from that is built here.", "SRC-006": "See whether the project itself points to this host.", "SRC-007": "Pin the repository to a commit.",
+    "SRC-008": "See whether the project moved; if not, take the source from its own forge.", "CHK-001": "Add checksums for all sources.", "CHK-002": "Replace MD5 by SHA-256 or better.", "CHK-003": "Replace SHA-1 by SHA-256 or better.",
+    "CHK-004": "Add checksums for the sources that lack one.", "CHK-005": "Replace SKIP by real checksums where the source is no repository.", "CHK-006": "Bring the list of checksums in line with the sources.", "CHK-008": "Compute the checksum again: this one can't match anything.",
+    "PRIV-001": "Take sudo out of the build; files belong below the package folder.", "PRIV-002": "Ask which program needs the bits, and set them for that one only.", "PRIV-003": "Leave the list of those who may become root alone.", "PRIV-004": "See that the capability is the least that the program needs.",
+    "PRIV-005": "Modules belong to packages that are built for that.", "PRIV-006": "A hook runs as root already: find out what sudo is for.", "META-002": "Add the signatures that the keys are for, or drop the keys.", "META-003": "Don't let this package take the place of a trusted one.",
+    "META-004": "See whether the version really has to go back.", "META-005": "Have the hook beside the recipe under its usual name.", "META-006": "Don't keep changed copies of such a file with this package.", "DEP-001": "See whether the package may stand in for the trusted one.",
+    "PROV-001": "Read the changes since the last version before the next build.", "TI-VT-001": "Don't build this package: others know the file as malicious.", "TI-URLHAUS-001": "Don't fetch this source: others know the address as malicious.",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -70,7 +104,7 @@ class Rule:
     patterns: tuple[str | Literal | Inert, ...]
     case_sensitive: bool = False
     enabled: bool = True
-    recommendation: str = "Read the flagged line and don't build the package unless you can explain it."
+    recommendation: str = ""
     description: str = ""
 
     @property
@@ -89,7 +123,7 @@ class Rule:
 
 
 def _r(id_, severity, category, files, cwe, title, *patterns, exact=False):
-    return Rule(id_, severity, category, files, f"CWE-{cwe}" if cwe else None, title, patterns, exact)
+    return Rule(id_, severity, category, files, f"CWE-{cwe}" if cwe else None, title, patterns, exact, recommendation=ADVICE[category])
 
 
 RULES: list[Rule] = [
@@ -225,7 +259,7 @@ def entries() -> list[dict]:
         for r in RULES
     ]
     out += [
-        {"id": c, "name": t, "severity": s, "category": g, "recommendation": Rule.recommendation, "cwe": None, "owner": a, "pattern_based": False} for c, s, g, t, a in ANALYZER_CODES
+        {"id": c, "name": t, "severity": s, "category": g, "recommendation": CODE_ADVICE[c], "cwe": None, "owner": a, "pattern_based": False} for c, s, g, t, a in ANALYZER_CODES
     ]
     return sorted(out, key=lambda e: e["id"])
 
@@ -238,3 +272,10 @@ def explain(code: str) -> list[dict]:
     rows = entries()
     exact = [e for e in rows if e["id"] == code.upper()]
     return exact or [e for e in rows if code.lower() in e["id"].lower() or code.lower() in e["name"].lower()]
+
+
+def listing(category: str | None = None, severity: str | None = None, owner: str | None = None) -> list[dict]:
+    """Catalog rows, worst first and then by id, of one category, severity or analyzer where these are told."""
+    asked = {"category": category, "severity": severity, "owner": owner}
+    rows = [e for e in entries() if all(v is None or e[k] == v for k, v in asked.items())]
+    return sorted(rows, key=lambda e: (RANK[e["severity"]], e["id"]))

@@ -58,6 +58,19 @@ def read_folder(folder: str) -> tuple[list[Rule], dict[str, str]]:
     return rules, bad
 
 
+def read_folders(folders: list[str]) -> tuple[list[Rule], dict[str, str]]:
+    """Rules of several folders in order, as a distribution, an administrator and a user each have one: later ones stand
+    behind earlier ones, so that of one id the last counts (``by_id``). Folders that aren't there are passed by. Bad files are
+    told with their path."""
+    rules, bad = [], {}
+    for folder in folders:
+        if Path(folder).is_dir():
+            more, wrong = read_folder(folder)
+            rules += more
+            bad |= {f"{folder}/{name}": why for name, why in wrong.items()}
+    return rules, bad
+
+
 def broken(spark: SparkSession, rules: list[Rule]) -> dict[str, str]:
     """Rules whose expressions the engine's dialect does not take, with its message, or may take without end (``cost``)."""
     compile_, out = spark._jvm.java.util.regex.Pattern.compile, {}

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from packsieve.operators import catalog, gates, graph, ioc, provenance, rulebook, scan, verdicts
+from packsieve.operators import graph, ioc, metadata, provenance, rulebook, scan, verdicts
 from packsieve.plans.queries import _EDGES, _PHYSICAL, _RULES_SQL, _SHARED, _markers_sql, _prior, _quoted, _scanned, _t, query
 from packsieve.sources import baseline, dumps
 from packsieve.sources.scripts import PAYLOADS, scripts, scripts_sql
@@ -195,6 +195,14 @@ def resolved_providers(spark, d):
     return graph.resolve_provides(edges, info, "rank").select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"))
 
 
+@query("SELECT c_custkey AS name, coalesce(n > 0, false) AS requested FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) ON o_custkey = c_custkey AND c_custkey % 4 = 0")
+def local_requests(spark, d):
+    """Local folders (customers) of which those are asked for that stand among the targets (some orders'), the others only
+    shadow a name."""
+    targets = _t(spark, d, "orders").where("o_orderkey % 4 = 0 and o_custkey % 4 = 0").select(F.col("o_custkey").alias("name"))
+    return metadata.requested(targets, _t(spark, d, "customer").select(F.col("c_custkey").alias("name")))
+
+
 # stored tables
 
 

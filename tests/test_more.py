@@ -67,6 +67,28 @@ def test_rules_from_toml(spark, tmp_path):
     assert [r.id for r in rulebook.add(rules, [off, odd])] == ["A-1", "A-1", "B"]
 
 
+def test_rule_folders_in_order(tmp_path):
+    for n, name in enumerate(("dist", "admin", "user")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "r.toml").write_text(RULES.replace('name = "One"', f'name = "Of {name}"').split("[[rule]]", 2)[0] + "[[rule]]" + RULES.replace('name = "One"', f'name = "Of {name}"').split("[[rule]]", 2)[1])
+    (tmp_path / "admin" / "bad.toml").write_text("[[rule]")
+    folders = [str(tmp_path / x) for x in ("dist", "missing", "admin", "user")]
+    rules, bad = rulebook.read_folders(folders)
+    assert [r.title for r in rules] == ["Of dist", "Of admin", "Of user"] and rulebook.by_id(rules)["A-1"].title == "Of user" and list(bad) == [f"{folders[2]}/bad.toml"]
+    (tmp_path / "c.toml").write_text(f"rule_folders = {json.dumps(folders)}\nrules_path = {json.dumps(folders[0])}\n")
+    assert [r.title for r in config.read(str(tmp_path / "c.toml")).rules()[0]][-4:] == ["Of dist", "Of admin", "Of user", "Of dist"]
+    (tmp_path / "c.toml").write_text("rule_folders = 1")
+    with pytest.raises(config.ConfigError):
+        config.read(str(tmp_path / "c.toml"))
+
+
+def test_listing_and_advice():
+    low = catalog.listing(category="persistence", severity="critical")
+    assert low and all(e["category"] == "persistence" and e["severity"] == "critical" for e in low) and len(catalog.listing()) == 117
+    assert [e["severity"] for e in catalog.listing(owner="checksum")][0] == "high" and not catalog.listing(category="none")
+    assert all(e["recommendation"] for e in catalog.entries()) and len({e["recommendation"] for e in catalog.entries()}) > 40
+
+
 def test_indicator_files(spark, tmp_path):
     first, second, broken = tmp_path / "1.toml", tmp_path / "2.toml", tmp_path / "3.toml"
     first.write_text('[npm_packages]\n"js-digest" = "new"\n"x" = "new"\n[[campaigns]]\nid = "new"\nname = "New"\n[sha256]\n"ABCD" = "new"\n')
