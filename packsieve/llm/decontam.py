@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsieve.llm.shared import Workspace, settle, small, text_key
+from packsieve.llm.shared import Workspace, join_few, settle, small, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -79,8 +79,11 @@ def matches(docs: DataFrame, items: DataFrame, work: Workspace, text: str = "tex
     candidates = work.table(held.join(sketch, "_h").select("_text", "_row").distinct(), "candidates")
     # the proof takes candidates only: one intersection each
     asked = held.join(candidates.select("_text").distinct().hint("merge"), "_text", "left_semi").groupBy("_text").agg(F.collect_set("_h").alias("_held"))
-    items_by_row = sets.select("_row", "_item", "_size", "_set").hint("merge")
-    proof = candidates.join(asked, "_text").join(items_by_row, "_row").withColumn("_found", F.size(F.array_intersect("_held", "_set")))
+    # one item may be in a large part of all texts: items go to the candidates, not candidates to the task of their item
+    held_by = candidates.groupBy("_row").agg(F.count("*").alias("_n"))
+    items_by_row = work.table(sets.join(held_by, "_row").select("_row", "_item", "_size", "_set", "_n"), "asked_items")
+    row_bytes = 64 + 8 * (items_by_row.agg(F.max("_size")).first()[0] or 0)
+    proof = join_few(candidates.join(asked, "_text"), items_by_row, "_row", row_bytes, "_n").withColumn("_found", F.size(F.array_intersect("_held", "_set")))
     return proof.where(F.col("_found") >= F.ceil(threshold * F.col("_size") - 1e-9)).select("_text", "_item", "_found", "_size")
 
 
