@@ -13,7 +13,8 @@ Three passes, cut by tables in the shared folder:
    id up in the token-byte table, which has as many rows as the vocabulary.
 
 White space never joins what precedes it, so runs of white space with the characters after them are cut once a block
-and looked up afterwards. What tasks hold is bounded by the block size, the longest document and the vocabulary.
+and looked up afterwards. What tasks hold is bounded by the block size, the longest document, ``KNOWN_WORDS`` and the
+vocabulary.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are each encoded; a document over
 the block size is a block of its own; an empty table gives an empty result; other columns are ignored.
@@ -40,6 +41,8 @@ from packsieve.llm.shared import Workspace, settle
 from packsieve.session import ship
 
 BLOCK_BYTES = 32 << 20
+#: Words of a bucket that a task keeps encoded; beyond that it starts anew, and words that come again are encoded again.
+KNOWN_WORDS = 1_000_000
 #: Fixed value: Unicode white space.
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -186,6 +189,8 @@ def _encoder(vocab: str):
         for b in batches:
             out = []
             for n, blob in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
                 places, words = blob[: 4 * n], _unpack(blob[4 * n :])
                 ids = []
                 for w in words:

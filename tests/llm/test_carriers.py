@@ -84,3 +84,26 @@ def test_cost_grows_with_the_text():
 
     seconds(1000)
     assert seconds(40_000) < 8 * seconds(10_000) + 0.2
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_an_item_in_half_of_the_texts(spark, monkeypatch, limit):
+    """One benchmark item held by half of all documents, with items broadcast whole or the heaviest only."""
+    from packsieve.llm import decontam, shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(shared, "HOT", 1)
+    item, other = " ".join(f"w{k}" for k in range(20)), " ".join(f"x{k}" for k in range(9))
+    docs = [(n, f"text {n} " + (item if n % 2 else other if n % 10 == 0 else "nothing here at all")) for n in range(300)]
+    got = decontam.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, other), (3, item), (4, None)], "item_id long, text string"))
+    assert {r.doc_id: r.item_ids for r in got.collect()} == {n: "1,3" if n % 2 else "2" if n % 10 == 0 else "" for n, _ in docs}
+
+
+def test_words_are_encoded_again_beyond_the_bound(spark, monkeypatch):
+    from packsieve.llm import bpe
+
+    docs = spark.createDataFrame([(n, f"some words {n} and {n % 7} more words") for n in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    want = {tuple(r) for r in bpe.report(docs).collect()}
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 0)
+    assert {tuple(r) for r in bpe.report(docs).collect()} == want
