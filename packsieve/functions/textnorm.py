@@ -57,12 +57,12 @@ def unescape(body: str, control: dict[str, str] = _CONTROL) -> str:
     return _ESCAPE.sub(one, body)
 
 
-_QUOTED = re.compile(r"""\$'((?:[^'\\]|\\.)*)'|'([^']*)'|"((?:[^"\\]|\\.)*)"|\\(.)""", re.DOTALL)
+_QUOTED = re.compile(r"""\$'((?:[^'\\]|\\.|\\\Z)*)(?:'|\Z)|'([^']*)(?:'|\Z)|"((?:[^"\\]|\\.|\\\Z)*)(?:"|\Z)|\\(.)""", re.DOTALL)
 _IN_DOUBLE = re.compile(r'\\([$`"\\])')
 
 
 def deobfuscate(line: str) -> str:
-    """The line as the shell reads it once quotes are taken off. Unclosed quotes stay."""
+    """The line as the shell reads it once quotes are taken off. One that isn't closed on its line ends with it."""
     if not any(c in line for c in "'\"\\"):
         return line
 

@@ -17,7 +17,7 @@ def test_logical_lines():
 
 @pytest.mark.parametrize(
     "line, want",
-    [("echo plain", "echo plain"), ("\"b\"'u''n' add", "bun add"), (r"$'\x63\165rl' x", "curl x"), (r"cu\rl", "curl"), ('"$x"', "$x"), ("it's open", "it's open")],
+    [("echo plain", "echo plain"), ("\"b\"'u''n' add", "bun add"), (r"$'\x63\165rl' x", "curl x"), (r"cu\rl", "curl"), ('"$x"', "$x"), ("it's open", "its open"), ('curl x | "sh', "curl x | sh"), ("$'\\x73h", "sh"), ('"a\\', "a\\"), ("a\\", "a\\")],
 )
 def test_deobfuscate(line, want):
     assert textnorm.deobfuscate(line) == want
