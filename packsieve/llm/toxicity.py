@@ -162,17 +162,31 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """The training rows: at most ``TOXIC_ROWS`` + ``ORDINARY_ROWS`` of them."""
+def sample_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The training rows (text, toxic): at most ``TOXIC_ROWS`` + ``ORDINARY_ROWS`` of them."""
     told = labels.select(key, "toxic").where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col(key))).distinct()
     ids = []
     for y, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
         ids += told.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(n).collect()
-    if not ids:
-        return []
     # bounded by the two sample sizes
     wanted = docs.sparkSession.createDataFrame(ids, told.schema)
-    return [(r[0], r[1]) for r in docs.select(key, text).join(F.broadcast(wanted), key).select(text, "toxic").collect()]
+    return docs.select(key, text).join(F.broadcast(wanted), key).select(text, "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    return [(r[0], r[1]) for r in sample_rows(docs, labels, key, text).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of a corpus. One task trains on the bounded sample, so that the driver gets the model and no texts."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        rows = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    trained = sample_rows(docs, labels, key, text).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(trained[0][0]) if trained else train([])
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,5 +220,5 @@ def attach(docs: DataFrame, model: Model, text: str = "text", score: str = "_sco
 
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, held_out, score, predicted."""
-    out = scores(docs, train(sample(docs, labels, key, text)), key, text)
+    out = scores(docs, fit(docs, labels, key, text), key, text)
     return out.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
