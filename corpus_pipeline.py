@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5. A null or empty text has the score of a text without words; repeated
     rows are each judged; without labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.fit(docs, labels)
     score = _free("_score", docs)
     return toxicity.attach(docs, model, score=score).where(F.col(score) < 0.5).drop(score)
 
