@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 
+from packsieve.operators import metadata
 from packsieve.plans import queries as plans
 
 
@@ -23,3 +24,11 @@ def test_lookup_quota_takes_the_nearest_second(spark, tmp_path):
     rows = [(k, at(s)) for k, s in enumerate([0.0, 0.2, 0.5, 1.5, 1.2, 59.7, 59.4, 60.1, 60.2, 60.3, 61.0, 86399.6])]
     got, want = both(spark, tmp_path, "lookup_quota", events=("event_id long, ts timestamp_ntz", rows))
     assert got == want and 0 < len(want) < len(rows)
+
+
+def test_base_fanout_is_whole(spark, tmp_path, monkeypatch):
+    """Every name of a base gets each scan of it, also of bases whose names are dealt to several blocks."""
+    monkeypatch.setattr(metadata, "NAMES_A_BLOCK", 2)
+    orders, parts = [(97 * k,) for k in range(60)] + [(5,)], [(k,) for k in range(1, 400)]
+    got, want = both(spark, tmp_path, "base_fanout", orders=("o_orderkey long", orders), part=("p_partkey long", parts))
+    assert got == want == Counter((o, p) for (o,) in orders for (p,) in parts if o % 97 == 0 and o % 50 == p % 50)
