@@ -4,9 +4,11 @@ import datetime
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
-from packsieve.operators import metadata
+from packsieve.operators import graph, metadata
 from packsieve.plans import queries as plans
+from packsieve.store import settle
 
 
 def both(spark, tmp_path, name, **tables):
@@ -32,3 +34,24 @@ def test_base_fanout_is_whole(spark, tmp_path, monkeypatch):
     orders, parts = [(97 * k,) for k in range(60)] + [(5,)], [(k,) for k in range(1, 400)]
     got, want = both(spark, tmp_path, "base_fanout", orders=("o_orderkey long", orders), part=("p_partkey long", parts))
     assert got == want == Counter((o, p) for (o,) in orders for (p,) in parts if o % 97 == 0 and o % 50 == p % 50)
+
+
+def test_graph_tables_are_not_broadcast(spark, monkeypatch):
+    """A table that is joined level after level would pass the driver as often."""
+    plans_seen = []
+
+    def keep(df, run=settle):
+        out = run(df)
+        plans_seen.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    monkeypatch.setattr(graph, "settle", keep)
+    n = spark.range(1, 200).select(F.col("id").alias("n"))
+    edges = n.select(F.col("n").alias("parent"), F.floor(F.col("n") / 2).alias("child")).where("child > 0")
+    roots = n.where("n % 50 = 49").select(F.col("n").alias("root"))
+    found = graph.closures(edges, roots, 9, 50, n.where("n % 7 = 3").select(F.col("n").alias("name")))
+    one = graph.closure(edges, roots, 9, None)
+    info = n.select(F.col("n").alias("name"), F.lit("x").alias("maintainer"))
+    for df in (graph.order(found, edges), graph.truncated(one, edges), graph.annotate(one, info, edges.withColumn("kind", F.lit("runtime")))):
+        keep(df, lambda x: x.collect())
+    assert len(plans_seen) > 20 and not [p for p in plans_seen if "Broadcast" in p.split("== Initial Plan")[0]]
