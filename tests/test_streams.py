@@ -3,6 +3,8 @@
 import datetime
 import time
 
+import pandas as pd
+
 from packsieve.streaming import feed, provenance
 
 VERSIONS = "package string, version string, digest string, markers array<string>"
@@ -68,3 +70,35 @@ def test_transactions_over_batches(spark, tmp_path):
     outcomes, late = go()
     assert outcomes == [("t1", 3, "abort"), ("t2", 1, "proceed"), ("t3", 1, "proceed"), ("t4", 1, "abort")] and late == [("t2", "c", "abort")]
     assert go() == (outcomes, late)  # a restart without input gives nothing twice
+
+
+class Held:
+    """What a bucket's step sees of its state."""
+
+    def __init__(self, get=None, now=0, out=False):
+        self.get, self.exists, self.now, self.hasTimedOut = get, get is not None, now, out
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        self.at = at
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+def test_one_call_serves_a_bucket():
+    step, rows = feed._sessions(10, 100), pd.DataFrame({"transaction": ["p", "q", None, "p"], "name": ["b", "a", "a", "a"], "ms": [1, 2, 50, 3]})
+    first = Held()
+    assert list(step((0,), [rows], first)) == [] and first.at == 12
+    due = Held(first.get, 40, True)
+    assert [tuple(r) for f in step((0,), [], due) for r in f.itertuples(index=False)] == [("p", ["a", "b"], False), ("q", ["a"], False)] and due.at == 60
+    again = Held(due.get, 41)
+    assert [tuple(r) for f in step((0,), [rows[:1]], again) for r in f.itertuples(index=False)] == [("p", ["b"], True)]
+    gone = Held(again.get, 1000, True)
+    assert len(list(step((0,), [], gone))) == 1 and gone.exists  # the one without a name is closed now
+    assert list(step((0,), [], last := Held(gone.get, 2000, True))) == [] and not last.exists
