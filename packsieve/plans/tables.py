@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packsieve.operators import graph, ioc, metadata, provenance, rulebook, scan, verdicts
 from packsieve.plans.queries import _EDGES, _PHYSICAL, _RULES_SQL, _SHARED, _markers_sql, _prior, _quoted, _scanned, _t, query
-from packsieve.sources import baseline, dumps
+from packsieve.sources import baseline, dumps, packages
 from packsieve.sources.scripts import PAYLOADS, scripts, scripts_sql
 from packsieve.store import Workspace, settle
 
@@ -117,10 +117,11 @@ def function_rules(spark, d):
     """Rules on functions and variables over recipes made of parts."""
     line = F.get(F.array(*map(F.lit, PAYLOADS)), (F.col("p_partkey") % len(PAYLOADS)).cast("int"))
     content = F.concat(F.lit(_RECIPE[0]), F.col("p_partkey").cast("string"), F.lit(_RECIPE[1]), "p_brand", F.lit(_RECIPE[2]), line, F.lit(_RECIPE[3]))
-    files = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pkg_id"), F.lit("pkgbuild").alias("file_type"), F.lit("PKGBUILD").alias("file"), content.alias("content"))
+    part = packages.spread(_t(spark, d, "part").select("p_partkey", "p_brand"))  # a short table that makes long files
+    files = part.select(F.col("p_partkey").cast("string").alias("pkg_id"), F.lit("pkgbuild").alias("file_type"), F.lit("PKGBUILD").alias("file"), content.alias("content"))
     rules = rulebook.read_toml(_STRUCTURES)
     with Workspace(spark, "functions") as work:
-        ctx = scan.Context(files, work, rules)
+        ctx = scan.Context(files, work, rules, ("record", "bodies"))
         found = scan.structure_matches(ctx.bodies, ctx.packages, rules)
         return settle(found.select(F.col("pkg_id").cast("long").alias("p_partkey"), "pat_idx", F.col("snippet").alias("name")))
 
