@@ -20,13 +20,13 @@ _MESSAGE = r"""regexp_matches(line, '^\s*(echo|printf|print|note|msg|msg2|warnin
 @query(f"{_PHYSICAL}, {_RULES_SQL} SELECT p.pkg_id, r.id, count(*)::BIGINT AS n_lines FROM p JOIN rules r ON regexp_matches(p.line, r.pattern) WHERE NOT ltrim(p.line) LIKE '#%' AND NOT ({_MESSAGE}) GROUP BY p.pkg_id, r.id")
 def live_rule_lines(spark, d):
     """Rules over the lines that the engine parsed itself, its own flags of comments and messages included."""
-    found = _scanned(spark, d, lambda c: scan.rule_matches(c.lines, _SHARED).where("variant = 'raw'"), _SHARED)
+    found = _scanned(spark, d, lambda c: scan.rule_matches(c.lines, _SHARED).where("variant = 'raw'"), _SHARED, ("lines",))
     return found.groupBy("pkg_id", "id").agg(F.count("*").alias("n_lines"))
 
 
 @query(f"{_PHYSICAL} SELECT pkg_id, count(*)::BIGINT AS n_messages FROM p WHERE {_MESSAGE} GROUP BY pkg_id")
 def message_lines(spark, d):
-    return _scanned(spark, d, lambda c: c.lines.where("is_info").groupBy("pkg_id").agg(F.count("*").alias("n_messages")))
+    return _scanned(spark, d, lambda c: c.lines.where("is_info").groupBy("pkg_id").agg(F.count("*").alias("n_messages")), parts=("lines",))
 
 
 # provenance of packages of two files

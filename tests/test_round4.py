@@ -13,3 +13,54 @@ def test_function_rules_deal_a_short_table_and_parse_functions_alone(spark, tmp_
     assert made[0].files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert scan.parse(made[0].files, made[0].rules, made[0].parts).columns == ["pkg_id", "file_type", "file", "record", "bodies"]
     assert {(r.pat_idx, r.name) for r in rows} == {(0, "build"), (1, "package"), (2, "_site")} and sum(r.pat_idx == 1 for r in rows) == 39
+
+
+def test_scans_of_lines_parse_lines_alone_in_small_batches(spark, monkeypatch):
+    from packsieve.functions import recipe, textnorm
+
+    def never(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(recipe, "parse_recipe", never)
+    monkeypatch.setattr(textnorm, "masked", never)
+    assert list(scan.parse_file("pkgbuild", "curl x | sh", [], ("lines",))) == ["lines"]
+    made, real = [], scan.Workspace.table
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(scan.Workspace, "table", lambda self, df, name: made.append(spark.conf.get(key)) or real(self, df, name))
+    files = spark.createDataFrame([("p", "pkgbuild", "PKGBUILD", "pkgname=a\ncurl x | sh\n")], "pkg_id string, file_type string, file string, content string")
+    with scan.Workspace(spark, "lines") as work:
+        ctx = scan.Context(files, work, parts=("lines",))
+        assert ctx.lines.count() == 2 and ctx.parsed.columns == ["pkg_id", "file_type", "file", "lines"]
+    assert [int(n) for n in made] == [scan.FILES_SENT] and spark.conf.get(key) == before
+
+
+def test_parts_find_what_their_expression_finds(spark):
+    """Each part is tried behind the pieces it needs, and none of its matches is lost; null texts match nothing."""
+    from pyspark.sql import functions as F
+
+    texts = [
+        "base64 --decode x", "BASE64 -Xd", "xxd -r", "base32 -d", "openssl enc -aes -d", "gunzip f", "zcat", "xz -d f", "unzip a", "tr a b | sh", "tr a b", "TR\n a |", r"\x41\x42\x43\x44", r"\X41\X42\X43\X44", "eval x", "x | BASH",
+        "env A=1 sh -c y", "dash <<< z", "source /dev/stdin", "cat /dev/stdin", "curl u | python3", "bash <(curl u)", "python <(wget u)", "perl -e $(curl u)", "source <(fetch u)", "eval \"$(curl u)\"", ". <(curl u)", "curl u", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for parts, whole in ((scan.DECODES_PARTS, scan.DECODES), (scan.EXECUTES_PARTS, scan.EXECUTES), (scan.REMOTE_EXEC_PARTS, scan.REMOTE_EXEC)):
+        rows = df.select("t", scan.any_part("t", parts).alias("got"), F.coalesce(F.col("t").rlike(whole), F.lit(False)).alias("want")).collect()
+        assert [r for r in rows if r.got != r.want] == [] and 3 < sum(r.want for r in rows) < len(texts)
+
+
+def test_no_host_is_looked_for_without_domains(spark, monkeypatch):
+    from packsieve.operators import ioc
+
+    monkeypatch.setattr(ioc, "domain_hits", lambda *_: 1 / 0)
+    text = "npm i js-digest\nsee a.example.org"
+    texts = spark.createDataFrame([("p", "f", text, text)], "pkg_id string, file string, masked string, masked_plain string")
+    assert [r.snippet for r in ioc.hits(texts, ioc.default_indicators(spark)).collect()] == ["js-digest"]
+
+
+def test_deep_checks_shuffle_flags_once(spark):
+    """Decoding in one file and executing in another count together, in one pass over the texts."""
+    code = [("a", "pkgbuild", "P", "base64 -d x"), ("a", "install_script", "I", "eval y"), ("b", "pkgbuild", "P", "base64 -d x"), ("c", "install_script", "I", "k=" + "A" * 250), ("d", "pkgbuild", "P", "A" * 199)]
+    texts = spark.createDataFrame([(*r, r[3]) for r in code], "pkg_id string, file_type string, file string, code string, plain string")
+    found = scan.deep_hits(texts)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.pkg_id, r.id, r.file, r.detail) for r in found.collect()} == {("a", "DEEP-001", "P", None), ("c", "DEEP-002", None, "250")}
