@@ -64,3 +64,27 @@ def test_deep_checks_shuffle_flags_once(spark):
     found = scan.deep_hits(texts)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.pkg_id, r.id, r.file, r.detail) for r in found.collect()} == {("a", "DEEP-001", "P", None), ("c", "DEEP-002", None, "250")}
+
+
+def test_hosts_are_looked_for_where_they_count(spark, monkeypatch):
+    """Plain sources on hosts that are no forge cost no host; disguised forges still count, and so do malformed sums."""
+    from pyspark.sql import functions as F
+
+    from packsieve.functions import neturl
+
+    urls = [f"https://{x.replace('.', '[.]', 1)}/a" for x in neturl.FORGES] + [f"hxxps://U.{x.upper()}/a" for x in neturl.FORGES] + ["https://h.example/a", "git://h.example/a", "://x", "x", "", "git+https://h/r", "GIT+x", "svn://h", "ftp://h", "n::hg+ssh://h/r#tag=a#b", "h#", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    lost = df.where(neturl.forge(neturl.host(F.col("u"))).isNotNull() & ~neturl.may_be_forge(F.lower("u")))
+    assert lost.count() == 0 and df.where(neturl.may_be_forge(F.lower("u"))).count() == 2 * len(neturl.FORGES)
+    from packsieve.functions import recipe
+
+    for r in df.where("u is not null").select("u", neturl.source(F.col("u")).alias("s")).collect():
+        assert r.s.asDict() == recipe.source_entry(r.u), r.u
+    sums = ["a" * 64, "A1" * 32, "g" * 64, "a" * 63, "a" * 65, "a" * 64 + "\n", "", "٣" * 64, None]
+    rows = spark.createDataFrame([(x,) for x in sums], "x string").select("x", scan._malformed(64)(F.col("x")).alias("bad"), (F.col("x").isNotNull() & ~F.col("x").rlike(r"^[0-9a-fA-F]{64}\z")).alias("want")).collect()
+    assert [r for r in rows if r.bad != r.want] == []
+    seen, real = [], neturl.refang
+    monkeypatch.setattr(neturl, "refang", lambda x: seen.append(1) or real(x))
+    item = F.get(F.transform(F.array("u"), neturl.source), F.lit(0))
+    plan = df.select(item.alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and not seen
