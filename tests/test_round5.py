@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from packsieve.operators import metadata
+from packsieve.operators import graph, metadata
+from test_round3 import both
 
 
 def test_fanout_writes_small_and_whole(spark, tmp_path):
@@ -24,3 +25,16 @@ def test_fanout_writes_small_and_whole(spark, tmp_path):
     want = Counter({(1, "a", 1, "x"): 4, (1, "a", 1, None): 2, (1, None, None, "x"): 2, (1, None, None, None): 1})
     assert Counter((r.package_base, r.s, (r.m or {}).get("k"), r.name) for r in rows.collect()) == want
     assert metadata.attribute(odd.select("package_base"), names).count() == 9
+
+
+#: Parts that lead to each other down to 1, which is 19 levels away: 4 leads to 1, and a third of the others to no part.
+CHAIN = [2**k for k in range(21)]
+
+
+def test_closures_go_to_their_end(spark, tmp_path):
+    """More than 16 levels, and what follows on a level of more than 2,000 names."""
+    got, want = both(spark, tmp_path, "dep_closure", part=("p_partkey long", [(k,) for k in CHAIN]))
+    assert got == want and got[1, 19] == 1 and max(depth for _, depth in got) == 19
+    edges = spark.createDataFrame([("r", f"c{k}") for k in range(2100)] + [("c7", "leaf")], "parent string, child string")
+    nodes = graph.closure(edges, spark.createDataFrame([("r",)], "name string"))
+    assert nodes.count() == 2102 and nodes.where("name = 'leaf' and depth = 2").count() == 1
