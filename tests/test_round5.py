@@ -38,3 +38,10 @@ def test_closures_go_to_their_end(spark, tmp_path):
     edges = spark.createDataFrame([("r", f"c{k}") for k in range(2100)] + [("c7", "leaf")], "parent string, child string")
     nodes = graph.closure(edges, spark.createDataFrame([("r",)], "name string"))
     assert nodes.count() == 2102 and nodes.where("name = 'leaf' and depth = 2").count() == 1
+
+
+def test_orphans_are_counted_to_the_end(spark, tmp_path):
+    """Also on levels beyond 16, with parts that are missing, doubled, or of no size."""
+    rows = [(k, None if k == 8 else 3 if k == 64 else 2) for k in CHAIN if k != 2] + [(4, 2)]
+    got, want = both(spark, tmp_path, "orphan_count", part=("p_partkey long, p_size int", rows))
+    assert got == want == {(19, 21): 1}
